@@ -347,10 +347,15 @@ def treatment_statistics_snowball(spark, folder):
     return B.rounded(vocab.treatment_statistics(rows, count_col="n"))
 
 
-@query("A25", f"""WITH {B.TOK}
-SELECT 'length differs between treatments' AS check_name, 0::BIGINT AS violations
-UNION ALL SELECT 'pair counts differ from term counts', 0::BIGINT
-UNION ALL SELECT 'document missing under a treatment', 0::BIGINT""")
+@query("A25", f"""WITH {B.TOK}, long AS (SELECT doc_id, 'raw' AS treatment, token AS term FROM tok
+ UNION ALL SELECT doc_id, 'truncate5', substr(token, 1, 5) FROM tok UNION ALL SELECT doc_id, 'truncate6', substr(token, 1, 6) FROM tok),
+sizes AS (SELECT doc_id, treatment, count(*) AS n FROM long GROUP BY ALL),
+docs AS (SELECT doc_id, count(*) AS treatments, min(n) AS lo, max(n) AS hi FROM sizes GROUP BY doc_id),
+pair_sums AS (SELECT normalized, sum(n) AS n FROM (SELECT token, substr(token, 1, 5) AS normalized, count(*) AS n FROM tok GROUP BY ALL) GROUP BY 1),
+terms AS (SELECT term AS normalized, count(*) AS n FROM long WHERE treatment = 'truncate5' GROUP BY 1)
+SELECT 'length differs between treatments' AS check_name, count(*) AS violations FROM docs WHERE lo <> hi
+UNION ALL SELECT 'pair counts differ from term counts', count(*) FROM pair_sums p FULL JOIN terms t USING (normalized) WHERE p.n IS DISTINCT FROM t.n
+UNION ALL SELECT 'document missing under a treatment', count(*) FROM docs WHERE treatments <> 3""")
 def consistency_checks(spark, folder):
     tokens = B.tokens(spark, folder)
     treatments = treat.column_treatments()

@@ -345,3 +345,8 @@ def inherited_genres(spark, folder):
 @query("T5", f"WITH {_NODES} SELECT id FROM nodes WHERE id NOT IN (SELECT parent FROM nodes)")
 def tree_leaves(spark, folder):
     return tree.leaves(_nodes(spark, folder))
+
+
+def negative_coherence_sql(extra: str) -> str:
+    return (f"WITH {_TC}, {_TOP}, {_COH} SELECT topic, total::DOUBLE AS {extra}, round(coherence, 6) AS coherence, "
+            f"round(-coherence, 6) AS negative_coherence FROM coh JOIN totals USING (topic)")
