@@ -67,10 +67,10 @@ def _slot(word: Column) -> Column:
     return B.slot_of(word, F.col("lang"))
 
 
-@query("S4,P19,P20,P22", f"""WITH {B.GOLD} SELECT source AS genre, length(surface) % 7 <> 0 AS analysed, surface,
+@query("S4,P19,P20", f"""WITH {B.GOLD} SELECT source AS genre, length(surface) % 7 <> 0 AS analysed, surface,
 CASE WHEN length(surface) % 7 <> 0 THEN CASE WHEN length(surface) > 6 THEN concat(lemma, '|', substr(lower(surface), 1, 6)) ELSE lemma END END AS lemma,
 CASE WHEN length(surface) % 7 <> 0 THEN CASE WHEN length(surface) > 6 THEN concat(slot, '|X') ELSE slot END END AS slot, count(*) AS n
-FROM gold WHERE source IN ('src1', 'src2', 'src3', 'src4') GROUP BY ALL""")
+FROM gold GROUP BY ALL""")
 def annotated_folders(spark, folder):
     path = scratch_path(spark, "annotated")
 
@@ -85,7 +85,7 @@ def annotated_folders(spark, folder):
     paragraph = F.struct(F.array(sentence).alias("se"))
     _write_xml(_word_arrays(spark, folder).select(F.col("source").alias("genre"), F.array(paragraph).alias("p")),
                path, "html", "body", ["genre"])
-    good, rejected = annotated.read_rnc(spark, path, [f"genre=src{i}" for i in range(1, 5)], "UTF-8")
+    good, rejected = annotated.read_rnc(spark, path, encoding="UTF-8")
     rows = treat.stack([good.withColumn("analysed", F.lit(True)), rejected.withColumn("analysed", F.lit(False))])
     return rows.groupBy(F.replace("genre", F.lit("genre="), F.lit("")).alias("genre"), "analysed",
                         "surface", "lemma", "slot").agg(F.count("*").alias("n"))
