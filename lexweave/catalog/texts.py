@@ -301,6 +301,11 @@ NOT EXISTS (SELECT 1 FROM stop s WHERE s.lang = tok.lang AND s.word = lower(tok.
 prepared AS (SELECT * FROM usable WHERE doc_id IN (SELECT doc_id FROM usable GROUP BY doc_id HAVING count(*) >= 100))"""
 
 
+def _prepared_documents(spark, folder):
+    docs = B.documents(spark, folder).select("doc_id", "lang", "text")
+    return prepare.prepare_documents(docs, stopword_table(spark, B.LANGUAGES))
+
+
 def _prepare(spark, folder):
     return prepare.prepare_corpus(B.tokens(spark, folder), stopword_table(spark, B.LANGUAGES))
 
@@ -311,6 +316,17 @@ SELECT treatment, doc_id, string_agg(term, ' ' ORDER BY pos) AS text FROM (
  UNION ALL SELECT 'truncate5', doc_id, pos, substr(token, 1, 5) FROM prepared
  UNION ALL SELECT 'truncate6', doc_id, pos, substr(token, 1, 6) FROM prepared) GROUP BY 1, 2""")
 def prepare_treated_documents(spark, folder):
+    texts = prepare.document_texts(_prepared_documents(spark, folder), treat.column_treatments())
+    return texts.select("treatment", "doc_id", "text")
+
+
+@query("S13,P12,P14,P23", f"""WITH {_PREPARED}
+SELECT treatment, doc_id, string_agg(term, ' ' ORDER BY pos) AS text FROM (
+ SELECT 'raw' AS treatment, doc_id, pos, token AS term FROM prepared
+ UNION ALL SELECT 'truncate5', doc_id, pos, substr(token, 1, 5) FROM prepared
+ UNION ALL SELECT 'truncate6', doc_id, pos, substr(token, 1, 6) FROM prepared) GROUP BY 1, 2""")
+def prepare_treated_tokens(spark, folder):
+    """The same from a token table, as an annotated corpus gives it."""
     return prepare.treatment_texts(_prepare(spark, folder).tokens, ["raw", "truncate5", "truncate6"])
 
 
@@ -330,8 +346,7 @@ round(count(DISTINCT lower(term)) / count(*), 6) AS type_to_token_ratio, round(s
 FROM long GROUP BY treatment""")
 def treatment_statistics(spark, folder):
     """Tokens, types and conflation strength per treatment of the prepared corpus."""
-    usable = tok.usable_tokens(B.tokens(spark, folder), stopword_table(spark, B.LANGUAGES))
-    words = (tok.long_documents(usable, 100).groupBy("token").agg(F.count("*").alias("n")))
+    words = prepare.document_tokens(_prepared_documents(spark, folder)).groupBy("token").agg(F.count("*").alias("n"))
     long = treat.long_treatments(words, treat.column_treatments())
     return B.rounded(vocab.treatment_statistics(long, count_col="n"))
 

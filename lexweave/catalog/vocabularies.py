@@ -9,6 +9,7 @@ from lexweave.catalog.base import query
 from lexweave.functions import patterns as P, text as T
 from lexweave.operators import authors, stats, tokens as tok, vocab
 from lexweave.operators.keyed import dense_index
+from lexweave.session import materialised
 
 # vocabularies: raw tokens and their first five letters, both down-cased
 VOCAB = f"""{B.TOK}, n_docs AS (SELECT count(DISTINCT doc_id) AS docs FROM tok),
@@ -29,11 +30,13 @@ def _terms(spark, folder):
 def _vocabs(spark, folder):
     terms = _terms(spark, folder)
     out = {}
+    total = B.load(spark, folder, "documents").count()
     for name, col in (("raw", "token"), ("stem", "normalized")):
-        full = vocab.term_frequencies(terms, col)
-        pruned = vocab.pruned_vocabulary(terms, col, documents=B.load(spark, folder, "documents"))
+        # vocabularies are tables of their own: several comparisons read them
+        full = materialised(vocab.term_frequencies(terms, col), "vocabulary")
+        pruned = vocab.prune(full, total)
         out[name] = (full, pruned, vocab.pruned_words(full, pruned, col))
-    pairs = vocab.pair_counts(authors.author_pair_counts(terms, "source"))
+    pairs = materialised(vocab.pair_counts(authors.author_pair_counts(terms, "source")), "pairs")
     return out["raw"], out["stem"], pairs
 
 

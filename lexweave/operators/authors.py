@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lexweave.session import materialised
+
 MAX_AUTHOR_COLUMNS = 5000
 
 
@@ -57,11 +59,13 @@ def author_counts_sum(doc_counts: DataFrame) -> DataFrame:
 def vocabulary_rollup(doc_counts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Files, vocabulary size and tokens per file, per author and overall.
 
-    Each level is counted from the one below, so nothing is expanded once per level.
+    Each level is counted from the one below, so nothing is expanded once per level.  The two
+    lower tables are written out because two levels read them.
     """
-    per_doc = doc_counts.groupBy("author", id_col).agg(
-        F.count("*").alias("vocab_size"), F.sum("n").alias("token_count"))
-    author_words = doc_counts.groupBy("author", "token").agg(F.sum("n").alias("n"))
+    per_doc = materialised(doc_counts.groupBy("author", id_col).agg(
+        F.count("*").alias("vocab_size"), F.sum("n").alias("token_count")), "per-document")
+    author_words = materialised(
+        doc_counts.groupBy("author", "token").agg(F.sum("n").alias("n")), "author-words")
     author_files = per_doc.groupBy("author").agg(F.count("*").alias("files"))
     per_author = (author_words.groupBy("author")
                   .agg(F.count("*").alias("vocab_size"), F.sum("n").alias("token_count"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexweave.session import checkpointed
+from lexweave.session import materialised
 
 DEFAULT_SALTS = 16
 
@@ -40,19 +40,20 @@ def lookup_join(left: DataFrame, lookup: DataFrame, on: list[str], how: str = "i
 def dense_index(df: DataFrame, order_by: list, out_col: str) -> DataFrame:
     """Number the rows 0, 1, 2, ... in the given order without a one-task window.
 
-    The rows are range-partitioned and sorted, then checkpointed so that partition numbers are
-    fixed; only one row count per partition is gathered to form the offsets.
+    The rows are range-partitioned, sorted and written once, together with their partition and
+    their place in it; only one row count per partition is gathered to form the offsets.
     """
-    ordered = checkpointed(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by))
-    tagged = (ordered.withColumn("__row", F.monotonically_increasing_id())
-                     .withColumn("__part", F.shiftright("__row", 33))
-                     .withColumn("__row", F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))))
+    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    row = F.monotonically_increasing_id()
+    tagged = materialised(
+        ordered.withColumn("__part", F.spark_partition_id())
+               .withColumn("__row", row.bitwiseAND(F.lit((1 << 33) - 1))), "ordered")
     sizes = {r["__part"]: r["n"] for r in tagged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     offsets, seen = [], 0
     for part in sorted(sizes):
         offsets.append((part, seen))
         seen += sizes[part]
-    table = df.sparkSession.createDataFrame(offsets or [(-1, 0)], "__part bigint, __offset bigint")
+    table = df.sparkSession.createDataFrame(offsets or [(-1, 0)], "__part int, __offset bigint")
     return (tagged.join(F.broadcast(table), "__part")
                   .withColumn(out_col, F.col("__offset") + F.col("__row"))
                   .drop("__part", "__row", "__offset"))

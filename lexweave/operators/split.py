@@ -15,12 +15,22 @@ def _unix_lines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression used inside a lambda is otherwise computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_count_passages(text: Column, word_count: int = DEFAULT_WORD_COUNT) -> Column:
     """Passages of exactly ``word_count`` words; the last may be shorter."""
-    words = T.tokenise(text, NON_SPACE)
-    starts = F.when(F.size(words) > 0,
-                    F.sequence(F.lit(1), F.size(words), F.lit(word_count))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_join(F.slice(words, s, word_count), " "))
+    def cut(words: Column) -> Column:
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(word_count))
+                        ).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.array_join(F.slice(words, s, word_count), " "))
+
+    return _bind(T.tokenise(text, NON_SPACE), cut)
 
 
 def line_break_passages(text: Column) -> Column:
@@ -41,10 +51,6 @@ def line_count_passages(text: Column, line_count: int = DEFAULT_LINE_COUNT,
 
     A fold over the lines keeps the start of each passage; a short tail is kept.
     """
-    lines = F.transform(
-        F.filter(F.split(_unix_lines(text), "\n"), lambda s: ~s.rlike(rf"\A{BLANK}*\z")),
-        lambda s: T.tokenise(s, NON_SPACE))
-
     def step(state: Column, size: Column) -> Column:
         full = (state["lines"] >= line_count) & (state["words"] >= min_word_count)
         fresh = full | (state["row"] == 0)
@@ -57,14 +63,23 @@ def line_count_passages(text: Column, line_count: int = DEFAULT_LINE_COUNT,
 
     start = F.struct(F.lit(0).alias("row"), F.array().cast("array<int>").alias("starts"),
                      F.lit(0).alias("lines"), F.lit(0).alias("words"))
-    starts = F.aggregate(F.transform(lines, F.size), start, step, lambda s: s["starts"])
+    def starts_of(lines: Column) -> Column:
+        return F.aggregate(F.transform(lines, F.size), start, step, lambda s: s["starts"])
+
+    def cut(bound: Column) -> Column:
+        lines, starts = bound["lines"], bound["starts"]
+
+        def passage(first: Column, nth: Column) -> Column:
+            length = F.coalesce(F.get(starts, nth + 1), F.size(lines) + 1) - first
+            return F.array_join(F.flatten(F.slice(lines, first, length)), " ")
 
-    def passage(first: Column, nth: Column) -> Column:
-        following = F.get(starts, nth + 1)
-        length = F.coalesce(following, F.size(lines) + 1) - first
-        return F.array_join(F.flatten(F.slice(lines, first, length)), " ")
+        return F.transform(starts, passage)
 
-    return F.transform(starts, passage)
+    lines = F.transform(
+        F.filter(F.split(_unix_lines(text), "\n"), lambda s: ~s.rlike(rf"\A{BLANK}*\z")),
+        lambda s: T.tokenise(s, NON_SPACE))
+    with_starts = _bind(lines, lambda ls: F.struct(ls.alias("lines"), starts_of(ls).alias("starts")))
+    return _bind(with_starts, cut)
 
 
 SPLITTERS = ("word_count", "line_break", "line_count")

@@ -82,26 +82,49 @@ def keep_vocabulary(docs: DataFrame, words: DataFrame, id_col: str = "doc_id",
     return _filter_by_table(docs, id_col, text_col, out_col, words, word, "left_semi")
 
 
+def _stop_lists(stop_table: DataFrame, limit: int) -> dict[str, list[str]] | None:
+    """Words by language, or ``None`` when the table is longer than ``limit``."""
+    rows = stop_table.select("lang", "word").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    lists: dict[str, list[str]] = {}
+    for row in rows:
+        lists.setdefault(row["lang"], []).append(row["word"])
+    return {lang: sorted(words) for lang, words in sorted(lists.items())}
+
+
+def _is_stopped(token: Column, lang: Column, lists: dict[str, list[str]]) -> Column:
+    stopped = F.lit(False)
+    for code, words in lists.items():
+        stopped = stopped | ((lang == code) & in_words(F.lower(token), words))
+    return stopped
+
+
+def usable_words(text: Column, lang: Column, stop_table: DataFrame, pattern: str = WORD) -> Column:
+    """Usable tokens of a text as an array, for stop lists of dictionary-free size."""
+    lists = _stop_lists(stop_table, LITERAL_LIMIT * 10)
+    if lists is None:
+        raise ValueError("stop table too long for one expression; use usable_tokens")
+    found = T.tokenise(text, pattern)
+    if pattern != WORD:
+        return F.filter(found, lambda t: ~_is_stopped(t, lang, lists) & T.is_word(t))
+    return F.filter(found, lambda t: ~_is_stopped(t, lang, lists))  # WORD tokens have the shape
+
+
 def usable_tokens(tokens: DataFrame, stop_table: DataFrame, lang_col: str = "lang",
                   token_col: str = "token") -> DataFrame:
     """Tokens that are no stop word of their language and have the shape of a word throughout.
 
     ``stop_table`` is the fixed ``(lang, word)`` table, a few hundred rows per language; it is
-    gathered into one expression so that the token rows are not shuffled.
+    gathered into one expression so that the token rows are not shuffled.  A longer table is joined.
     """
-    rows = stop_table.select("lang", "word").distinct().limit(LITERAL_LIMIT * 10 + 1).collect()
-    if len(rows) > LITERAL_LIMIT * 10:
-        lookup = stop_table.select(F.col("lang").alias(lang_col), F.col("word").alias("__key")).distinct()
-        keyed = tokens.withColumn("__key", F.lower(token_col))
-        return lookup_join(keyed, lookup, [lang_col, "__key"], "left_anti").filter(
-            T.is_word(F.col(token_col))).drop("__key")
-    by_lang: dict[str, list[str]] = {}
-    for row in rows:
-        by_lang.setdefault(row["lang"], []).append(row["word"])
-    stopped = F.lit(False)
-    for lang, words in sorted(by_lang.items()):
-        stopped = stopped | ((F.col(lang_col) == lang) & in_words(F.lower(token_col), sorted(words)))
-    return tokens.filter(~stopped & T.is_word(F.col(token_col)))
+    shaped = tokens.filter(T.is_word(F.col(token_col)))
+    lists = _stop_lists(stop_table, LITERAL_LIMIT * 10)
+    if lists is not None:
+        return shaped.filter(~_is_stopped(F.col(token_col), F.col(lang_col), lists))
+    lookup = stop_table.select(F.col("lang").alias(lang_col), F.col("word").alias("__key")).distinct()
+    keyed = shaped.withColumn("__key", F.lower(token_col))
+    return lookup_join(keyed, lookup, [lang_col, "__key"], "left_anti").drop("__key")
 
 
 def long_documents(tokens: DataFrame, min_tokens: int = 100, id_col: str = "doc_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexweave.operators.keyed import lookup_join
 from lexweave.operators.morph import entropy, top_n
+from lexweave.session import materialised
 
 COHERENCE_MAX_TERMS = 62  # one bit of a BIGINT per top term
 
@@ -102,10 +103,11 @@ def coherence(state: DataFrame, cells: DataFrame, n: int = 20, by: list[str] | N
              .groupBy(*keys, "mask").agg(F.count("*").alias("docs")))
     ranks = F.filter(F.sequence(F.lit(1), F.lit(n)),
                      lambda r: F.getbit(F.col("mask"), r - 1) == 1)
-    pairs = F.flatten(F.transform(ranks, lambda a: F.transform(
-        F.filter(ranks, lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    seen = (masks.select(*keys, "docs", F.inline(pairs)).groupBy(*keys, "a", "b")
-                 .agg(F.sum("docs").alias("docs")))
+    seen = (masks.select(*keys, "docs", ranks.alias("ranks"))
+            .select(*keys, "docs", "ranks", F.explode("ranks").alias("a"))
+            .select(*keys, "docs", "a", F.explode(F.filter("ranks", lambda b: b >= F.col("a"))).alias("b"))
+            .groupBy(*keys, "a", "b").agg(F.sum("docs").alias("docs")))
+    seen = materialised(seen, "coherence-pairs")  # at most n (n + 1) / 2 rows per topic
     single = seen.filter("a = b").select(*keys, "a", F.col("docs").alias("docs_a"))
     last = single.groupBy(*keys).agg(F.max("a").alias("__last"))
     # pairs that never meet still count with D(a,b) = 0
@@ -134,7 +136,9 @@ def author_divergence(state: DataFrame, author_col: str, by: list[str] | None =
     author has no distribution left for the first, given as null.
     """
     keys = _keys(by)
-    joint = state.groupBy(*keys, F.col(author_col).alias("author"), "term").agg(F.count("*").alias("n"))
+    joint = materialised(
+        state.groupBy(*keys, F.col(author_col).alias("author"), "term").agg(F.count("*").alias("n")),
+        "topic-author-terms")
     authors = joint.groupBy(*keys, "author").agg(F.sum("n").alias("__author_n"))
     topics = authors.groupBy(*keys).agg(
         F.sum("__author_n").alias("__n"), F.count("*").alias("__authors"),

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexweave.operators import morph, topics
 from lexweave.operators.state import assigned_tokens
+from lexweave.session import materialised
 
 
 def topic_diagnostics(state: DataFrame, n: int = 20, by: list[str] | None = None) -> DataFrame:
     """One row per topic (and run): size, entropies, distances, exclusivity, coherence, length."""
     keys = [*(by or []), "topic"]
-    cells = topics.term_cells(state, by)
+    # counts per topic and term, read by five metrics: far smaller than the state, written once
+    cells = materialised(topics.term_cells(state, by), "term-cells")
     parts = [
-        topics.topic_tokens(state, by),
+        cells.groupBy(*keys).agg(F.sum("n").alias("tokens")),
         topics.document_entropy(state, by),
         topics.distances(cells, by),
         topics.exclusivity(cells, n, by),
@@ -30,15 +32,14 @@ def topic_morphology(state: DataFrame, oracle: DataFrame, n: int = 20,
                      by: list[str] | None = None) -> DataFrame:
     """Entropies and top-n metrics of each topic from one shuffle of the tokens."""
     keys = [*(by or []), "topic"]
-    cells = morph.topic_cells(assigned_tokens(state, oracle), by)
+    cells = materialised(morph.topic_cells(assigned_tokens(state, oracle), by), "morphology-cells")
     return morph.entropy_metrics(cells, by).join(morph.top_n_metrics(cells, n, by), keys)
 
 
 def topic_summary(state: DataFrame, oracle: DataFrame, author_col: str, n: int = 20) -> DataFrame:
     """Top terms, author metrics, diagnostics and morphology of every topic side by side."""
-    cells = topics.term_cells(state)
     parts = [
-        topics.topic_keys(cells, n),
+        topics.topic_keys(topics.term_cells(state), n),
         topics.author_entropy(state, author_col),
         topics.author_divergence(state, author_col),
         topic_diagnostics(state, n),

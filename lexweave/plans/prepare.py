@@ -46,6 +46,33 @@ def prepare_corpus(tokens: DataFrame, stop_table: DataFrame, treatments: dict |
     return PreparedCorpus(treated, sizes)
 
 
+def prepare_documents(docs: DataFrame, stop_table: DataFrame, min_tokens: int = 100,
+                      text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Plain-text documents with a ``words`` array of usable tokens, short documents left out.
+
+    Stop words, word shape and the minimum length are all settled inside the row, so nothing is
+    shuffled and the text is tokenised once.
+    """
+    words = tok.usable_words(F.col(text_col), F.col(lang_col), stop_table)
+    return docs.withColumn("words", words).filter(F.size("words") >= min_tokens).drop(text_col)
+
+
+def document_texts(prepared: DataFrame, treatments: dict) -> DataFrame:
+    """``(treatment, …, text)``: every treatment of a prepared document, still inside the row."""
+    def treated(function):
+        return F.transform("words", lambda t: T.lemma_or_token(function(t), t))
+
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("treatment"), F.array_join(treated(f), " ").alias("text"))
+        for name, f in treatments.items()])
+    return prepared.select(*[c for c in prepared.columns if c != "words"], F.inline(rows))
+
+
+def document_tokens(prepared: DataFrame) -> DataFrame:
+    return prepared.select(*[c for c in prepared.columns if c != "words"],
+                           F.posexplode("words").alias("pos", "token"))
+
+
 def treatment_texts(prepared: DataFrame, treatments: list[str], id_col: str = "doc_id",
                     pos_col: str = "pos") -> DataFrame:
     """``(treatment, doc_id, text)``: the documents of every treatment from one grouping."""

@@ -21,6 +21,8 @@ def build_session(app: str = "lexweave", cores: int | str = "*", memory: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # tables partitioned by document join on (document, position) without another shuffle
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if shuffle_partitions is not None:
