@@ -287,7 +287,8 @@ AND (a.treatment < b.treatment OR (a.treatment = b.treatment AND a.run < b.run))
 SELECT num_topics, ta AS group_a, tb AS group_b, round(avg(2 * hab.h - ha.h - hb.h), 6) AS mean_voi, count(*) AS pairs
 FROM hab JOIN ha USING (num_topics, ta, ra, tb, rb) JOIN hb USING (num_topics, ta, ra, tb, rb) GROUP BY 1, 2, 3""")
 def voi_within_and_between_treatments(spark, folder):
-    cells = compare.run_pair_contingency(B.states(spark, folder), ["treatment", "run"], ["num_topics"])
+    cells = compare.run_pair_contingency(B.states(spark, folder), ["treatment", "run"], ["num_topics"],
+                                         sorted({(t, r) for t, _, r in B.RUNS}))
     voi = compare.variation_of_information(cells, ["num_topics", "run_a", "run_b"])
     return B.rounded(compare.average_voi(voi, "treatment", ["num_topics"]))
 

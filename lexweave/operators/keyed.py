@@ -49,11 +49,10 @@ def dense_index(df: DataFrame, order_by: list, out_col: str) -> DataFrame:
         ordered.withColumn("__part", F.spark_partition_id())
                .withColumn("__row", row.bitwiseAND(F.lit((1 << 33) - 1))), "ordered")
     sizes = {r["__part"]: r["n"] for r in tagged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    offsets, seen = [], 0
-    for part in sorted(sizes):
-        offsets.append((part, seen))
-        seen += sizes[part]
-    table = df.sparkSession.createDataFrame(offsets or [(-1, 0)], "__part int, __offset bigint")
-    return (tagged.join(F.broadcast(table), "__part")
-                  .withColumn(out_col, F.col("__offset") + F.col("__row"))
-                  .drop("__part", "__row", "__offset"))
+    starts, seen = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        starts.append(seen)
+        seen += sizes.get(part, 0)
+    # a literal, one number per partition, leaves the size estimate of the result that of its file
+    offset = F.get(F.lit(starts).cast("array<bigint>"), F.col("__part"))
+    return tagged.withColumn(out_col, offset + F.col("__row")).drop("__part", "__row")

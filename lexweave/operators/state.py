@@ -1,7 +1,8 @@
 """Topic assignments per token ("state") joined with gold analyses and with each other.
 
 All token tables carry ``(doc_id, pos)``; what files align by line number is an equi-join here.
-The key is unique per token, so these joins have no hot keys.
+The key is unique per token, so these joins have no hot keys.  They carry a merge hint: Spark's size
+estimate ignores how far ``explode`` multiplies rows, and would broadcast a whole token table.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ KEY = ["doc_id", "pos"]
 def assigned_tokens(state: DataFrame, oracle: DataFrame) -> DataFrame:
     """``topic, term, lemma, slot, pos_tag`` per token: state joined with gold analyses."""
     gold = oracle.select(*KEY, "lemma", "slot", pos_tag(F.col("slot")).alias("pos_tag"))
-    return state.join(gold, KEY)
+    return state.join(gold.hint("merge"), KEY)
 
 
 def misaligned(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def misaligned(left: DataFrame, right: DataFrame) -> DataFrame:
 def unmap(raw: DataFrame, treated: DataFrame) -> DataFrame:
     """Terms and term ids of ``raw`` with the topics of ``treated``."""
     topics = treated.select(*KEY, "topic")
-    return raw.drop("topic").join(topics, KEY)
+    return raw.drop("topic").join(topics.hint("merge"), KEY)
 
 
 def restate(state: DataFrame, term: Column, spread_by: list[str] | None = None) -> DataFrame:

@@ -75,10 +75,23 @@ def zipf_ranks(vocab: DataFrame, freq_col: str = "doc_freq") -> DataFrame:
 
 def first_seen_index(tokens: DataFrame, term_col: str, order_by: list[str],
                      index_col: str = "term_id") -> DataFrame:
-    """``term -> dense id`` in order of first appearance; empty terms get none."""
+    """``term -> dense id`` in order of first appearance; empty terms get none.
+
+    Two integer columns are packed into one decimal, whose minimum Spark keeps in a hash table;
+    the minimum of a struct would sort all tokens.
+    """
+    place = _packed(tokens, order_by)
     first = (tokens.filter(F.col(term_col) != "")
-             .groupBy(term_col).agg(F.min(F.struct(*order_by)).alias("__first")))
-    return dense_index(first, [F.col(f"__first.{c}") for c in order_by], index_col).drop("__first")
+             .groupBy(term_col).agg(F.min(place).alias("__first")))
+    return dense_index(first, [F.col("__first")], index_col).drop("__first")
+
+
+def _packed(df: DataFrame, order_by: list[str]) -> Column:
+    types = dict(df.dtypes)
+    if [types[c] for c in order_by] in (["bigint", "int"], ["int", "int"]):
+        high, low = (F.col(c).cast("decimal(19,0)") for c in order_by)
+        return high * F.lit(1 << 32).cast("decimal(10,0)") + low
+    return F.struct(*order_by)
 
 
 def pruned_words(vocab: DataFrame, pruned: DataFrame, on: str) -> DataFrame:

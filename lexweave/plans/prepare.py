@@ -51,10 +51,12 @@ def prepare_documents(docs: DataFrame, stop_table: DataFrame, min_tokens: int =
     """Plain-text documents with a ``words`` array of usable tokens, short documents left out.
 
     Stop words, word shape and the minimum length are all settled inside the row, so nothing is
-    shuffled and the text is tokenised once.
+    shuffled.  A short document is an empty ``explode`` rather than a filter: Spark would move the
+    filter down and tokenise every text a second time for it.
     """
     words = tok.usable_words(F.col(text_col), F.col(lang_col), stop_table)
-    return docs.withColumn("words", words).filter(F.size("words") >= min_tokens).drop(text_col)
+    long_enough = F.filter(F.array(words), lambda found: F.size(found) >= min_tokens)
+    return docs.select(*[c for c in docs.columns if c != text_col], F.explode(long_enough).alias("words"))
 
 
 def document_texts(prepared: DataFrame, treatments: dict) -> DataFrame:
