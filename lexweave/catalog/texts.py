@@ -189,13 +189,45 @@ def lexicon_lemmas(spark, folder):
     return lemmas.groupBy("lang", "normalized").agg(F.count("*").alias("n"))
 
 
-@query("P26")
+_V = "aeiouyäöü"
+
+
+def _sql_stems(words: str) -> str:
+    """CTEs that stem the ``token`` column of table ``words`` into ``stems(token, stem)``.
+
+    RE2 has no look-ahead, so the u/y step works on a text with every letter written twice: a match
+    uses up one copy of its neighbours and leaves the other to the next match.
+    """
+    cut = "substr(w, 1, length(w) - length(s){})"
+    return f"""g0 AS (SELECT DISTINCT token, replace(lower(token), 'ß', 'ss') AS w FROM {words}),
+g1 AS (SELECT token, replace(replace(regexp_replace(regexp_replace(regexp_replace(w, '(.)', '\\1¦\\1¬', 'g'),
+ '([{_V}])¬([uy])¦[uy]¬([{_V}])¦', '\\1¬¤\\2¦\\2¬\\3¦', 'g'), '(.)¦.¬', '\\1', 'g'), '¤u', 'U'), '¤y', 'Y') AS w FROM g0),
+g2 AS (SELECT token, w, regexp_extract(w, '^.*?[{_V}][^{_V}]') AS a, regexp_extract(w, '^.*?[{_V}][^{_V}].*?[{_V}][^{_V}]') AS b FROM g1),
+g3 AS (SELECT token, w, least(greatest(CASE WHEN a = '' THEN length(w) ELSE length(a) END, 3), length(w)) AS p1,
+ CASE WHEN b = '' THEN length(w) ELSE length(b) END AS p2 FROM g2),
+g4 AS (SELECT *, regexp_extract(substr(w, p1 + 1), '(?:ern|em|er|en|es|e|s)$') AS s FROM g3),
+g5 AS (SELECT token, p1, p2, CASE WHEN s IN ('en', 'es', 'e') AND regexp_matches(w, 'niss(?:en|es|e)$') THEN {cut.format(' - 1')}
+ WHEN s = 's' AND NOT regexp_matches(w, '[bdfghklmnrt]s$') THEN w ELSE {cut.format('')} END AS w FROM g4),
+g6 AS (SELECT *, regexp_extract(substr(w, p1 + 1), '(?:est|en|er|st)$') AS s FROM g5),
+g7 AS (SELECT token, p1, p2, CASE WHEN s = 'st' AND NOT regexp_matches(w, '^.{{3,}}[bdfghklmnt]st$') THEN w ELSE {cut.format('')} END AS w FROM g6),
+g8 AS (SELECT *, substr(w, p2 + 1) AS r, regexp_extract(substr(w, p2 + 1), '(?:isch|lich|heit|keit|end|ung|ig|ik)$') AS s FROM g7),
+g9 AS (SELECT token, CASE WHEN s IN ('end', 'ung') AND regexp_matches(r, '(?:^|[^e])ig(?:end|ung)$') THEN {cut.format(' - 2')}
+ WHEN s IN ('ig', 'ik', 'isch') AND regexp_matches(r, 'e(?:ig|ik|isch)$') THEN w
+ WHEN s IN ('lich', 'heit') AND regexp_matches(substr(w, p1 + 1), '(?:er|en)(?:lich|heit)$') THEN {cut.format(' - 2')}
+ WHEN s = 'keit' AND regexp_matches(r, 'lichkeit$') THEN {cut.format(' - 4')}
+ WHEN s = 'keit' AND regexp_matches(r, 'igkeit$') THEN {cut.format(' - 2')} ELSE {cut.format('')} END AS w FROM g8),
+stems AS (SELECT token, translate(w, 'äöüUY', 'aouuy') AS stem FROM g9)"""
+
+
+@query("P26", f"""WITH {B.TOK}, {_sql_stems('tok')} SELECT token, stem AS normalized, count(*) AS n
+FROM tok JOIN stems USING (token) GROUP BY ALL""")
 def snowball_vocabulary(spark, folder):
     words = B.tokens(spark, folder).groupBy("token").agg(F.count("*").alias("n"))
     return treat.snowball_words(words, "de").select("token", "normalized", "n")
 
 
-@query("P26")
+@query("P26", f"""WITH {B.TOK}, {_sql_stems('tok')} SELECT source, stem AS normalized, count(*) AS n
+FROM tok JOIN stems USING (token) GROUP BY ALL""")
 def snowball_tokens(spark, folder):
     stemmed = treat.stem_vocabulary(B.tokens(spark, folder), "de", spread_by=["doc_id", "pos"])
     return stemmed.groupBy("source", "normalized").agg(F.count("*").alias("n"))
@@ -231,13 +263,16 @@ def normalise_column_counts(spark, folder):
     return treat.normalise_column(docs, "text", "source", treat.truncation(6))[1]
 
 
-@query("P28")
+@query("P28,A10", f"""WITH {B.TOK}, {_sql_stems('tok')} SELECT source AS author, lower(token) AS token, lower(stem) AS normalized, count(*) AS count
+FROM tok JOIN stems USING (token) WHERE trim(stem) <> '' GROUP BY source, lower(token), lower(stem)""")
 def snowball_column_counts(spark, folder):
     docs = B.documents(spark, folder).select("doc_id", "source", "text")
     return treat.snowball_column(docs, "text", "source", "doc_id", "de")[1]
 
 
-@query("P28")
+@query("P28", f"""WITH {B.TOK}, {_sql_stems('tok')}, texts AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY pos) AS text
+FROM tok JOIN stems USING (token) WHERE trim(stem) <> '' GROUP BY doc_id)
+SELECT d.doc_id, d.source, coalesce(t.text, '') AS text FROM documents d LEFT JOIN texts t USING (doc_id)""")
 def snowball_column_text(spark, folder):
     docs = B.documents(spark, folder).select("doc_id", "source", "text")
     return treat.snowball_column(docs, "text", "source", "doc_id", "de")[0]
@@ -351,7 +386,11 @@ def treatment_statistics(spark, folder):
     return B.rounded(vocab.treatment_statistics(long, count_col="n"))
 
 
-@query("A13,M17,P26")
+@query("A13,M17,P26", f"""WITH {B.TOK}, {_sql_stems('tok')}, long AS (SELECT 'raw' AS treatment, token AS term FROM tok
+UNION ALL SELECT 'snowball', CASE WHEN trim(stem) = '' THEN token ELSE trim(stem) END FROM tok JOIN stems USING (token))
+SELECT treatment, count(*) AS token_count, count(DISTINCT lower(term)) AS word_type_count,
+round(count(DISTINCT lower(term)) / count(*), 6) AS type_to_token_ratio, round(sum(length(term)) / count(*), 6) AS char_to_token_ratio
+FROM long GROUP BY treatment""")
 def treatment_statistics_snowball(spark, folder):
     """Adds the Snowball treatment, stemmed once per distinct word."""
     words = B.tokens(spark, folder).groupBy("token").agg(F.count("*").alias("n"))

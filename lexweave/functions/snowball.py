@@ -66,8 +66,10 @@ def german(df: DataFrame, word_col: str, out_col: str) -> DataFrame:
     v = GERMAN_VOWELS
 
     marked = F.replace(F.lower(F.col(word_col)), F.lit("ß"), F.lit("ss"))
-    marked = F.regexp_replace(marked, f"([{v}])u(?=[{v}])", "$1U")
-    marked = F.regexp_replace(marked, f"([{v}])y(?=[{v}])", "$1Y")
+    # u and y between vowels count as consonants, decided from left to right; the mark is a symbol
+    # that no token holds
+    marked = F.regexp_replace(marked, f"([{v}])([uy])(?=[{v}])", "$1¤$2")
+    marked = F.replace(F.replace(marked, F.lit("¤u"), F.lit("U")), F.lit("¤y"), F.lit("Y"))
     out = df.withColumn("__w", marked)
     out = (out.withColumn("__p1", F.least(F.greatest(_region_start(word, v, 1), F.lit(3)),
                                           F.length(word)))

@@ -108,8 +108,9 @@ def train_joined(bag: DataFrame, num_topics: int, iterations: int = 20, seed: in
     def literal(values) -> Column:
         return F.array(*[F.lit(float(v)) for v in values])
 
+    mass = column_sums(terms)
     for _ in range(iterations):
-        sums = literal(column_sums(terms))
+        sums = literal(mass)
         scaled = terms.select("term", F.zip_with("weights", sums, lambda w, s: w / s).alias("__term_w"))
         joined = lookup_join(bag, scaled, ["term"], "inner", ["doc_id"]).join(
             documents.withColumnRenamed("weights", "__doc_w"), "doc_id")
@@ -129,7 +130,7 @@ def train_joined(bag: DataFrame, num_topics: int, iterations: int = 20, seed: in
         mass = column_sums(terms)
         alpha = (alpha_sum * mass / mass.sum()).tolist()
 
-    sums = literal(column_sums(terms))
+    sums = literal(mass)
     scaled = terms.select("term", F.zip_with("weights", sums, lambda w, s: w / s).alias("weights"))
     return TopicModel(materialised(scaled, "terms"), documents, alpha, k)
 

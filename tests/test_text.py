@@ -27,7 +27,7 @@ GERMAN = {
     "aufgeschlossen": "aufgeschloss", "aufgeregtesten": "aufgeregt", "häuser": "haus", "kategorischen": "kategor",
     "kategorie": "kategori", "jugendlichkeit": "jugend", "erkenntnisse": "erkenntnis", "abenteuer": "abenteu",
     "straße": "strass", "käufer": "kauf", "freundlichkeit": "freundlich", "Hoffnungen": "hoffnung",
-    "Übungen": "ubung", "mayer": "may", "es": "es",
+    "Übungen": "ubung", "mayer": "may", "es": "es", "bayuan": "bayuan", "ayuer": "ayu",
 }
 
 
