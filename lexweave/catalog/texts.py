@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexweave.catalog import base as B
 from lexweave.catalog.base import query
 from lexweave.functions import patterns as P, text as T
-from lexweave.functions.stopwords import stopword_table
+from lexweave.functions.stopwords import stop_lists, stopword_table
 from lexweave.operators import split, tokens as tok, treat, vocab
 from lexweave.operators.keyed import lookup_join
 from lexweave.plans import prepare
@@ -74,7 +74,7 @@ SELECT doc_id, count(*) AS kept, string_agg(token, ' ' ORDER BY pos) AS tokens F
 WHERE regexp_full_match(token, {B.sql_text(P.WORD)})
 AND NOT EXISTS (SELECT 1 FROM stop s WHERE s.lang = tok.lang AND s.word = lower(tok.token)) GROUP BY doc_id""")
 def usable_tokens(spark, folder):
-    kept = tok.usable_tokens(B.tokens(spark, folder, P.KEEP_PUNCT), stopword_table(spark, B.LANGUAGES))
+    kept = tok.usable_tokens(B.tokens(spark, folder, P.KEEP_PUNCT), stop_lists(B.LANGUAGES))
     texts = tok.regroup(kept.withColumn("n", F.lit(1)), ["doc_id"], out_col="tokens")
     return texts.select("doc_id", F.size(F.split("tokens", " ")).cast("bigint").alias("kept"), "tokens")
 
@@ -173,7 +173,7 @@ def select_genres(spark, folder):
 NOT EXISTS (SELECT 1 FROM stop s WHERE s.lang = tok.lang AND s.word = lower(tok.token)))
 SELECT doc_id, count(*) AS n_kept FROM kept GROUP BY doc_id HAVING count(*) >= 100""")
 def long_documents(spark, folder):
-    kept = tok.usable_tokens(B.tokens(spark, folder), stopword_table(spark, B.LANGUAGES))
+    kept = tok.usable_tokens(B.tokens(spark, folder), stop_lists(B.LANGUAGES))
     return tok.long_documents(kept, 100).groupBy("doc_id").agg(F.count("*").alias("n_kept"))
 
 
@@ -338,11 +338,11 @@ prepared AS (SELECT * FROM usable WHERE doc_id IN (SELECT doc_id FROM usable GRO
 
 def _prepared_documents(spark, folder):
     docs = B.documents(spark, folder).select("doc_id", "lang", "text")
-    return prepare.prepare_documents(docs, stopword_table(spark, B.LANGUAGES))
+    return prepare.prepare_documents(docs, stop_lists(B.LANGUAGES))
 
 
 def _prepare(spark, folder):
-    return prepare.prepare_corpus(B.tokens(spark, folder), stopword_table(spark, B.LANGUAGES))
+    return prepare.prepare_corpus(B.tokens(spark, folder), stop_lists(B.LANGUAGES))
 
 
 @query("S13,P12,P14,P23", f"""WITH {_PREPARED}

@@ -36,7 +36,9 @@ def _vocabs(spark, folder):
         full = materialised(vocab.term_frequencies(terms, col), "vocabulary")
         pruned = vocab.prune(full, total)
         out[name] = (full, pruned, vocab.pruned_words(full, pruned, col))
-    pairs = materialised(vocab.pair_counts(authors.author_pair_counts(terms, "source")), "pairs")
+    # the normal form follows from the token, so pairs are the vocabulary with it attached
+    pairs = out["raw"][0].select(
+        "token", B.lemma_of(F.col("token")).alias("normalized"), F.col("term_freq").alias("pair_count"))
     return out["raw"], out["stem"], pairs
 
 

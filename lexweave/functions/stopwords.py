@@ -34,7 +34,11 @@ def stopwords(language: str) -> list[str]:
     return sorted(words)
 
 
+def stop_lists(languages) -> dict[str, list[str]]:
+    return {lang: stopwords(lang) for lang in languages}
+
+
 def stopword_table(spark: SparkSession, languages) -> DataFrame:
     """Small fixed table: a few hundred words per language."""
-    rows = [(lang, word) for lang in languages for word in stopwords(lang)]
+    rows = [(lang, word) for lang, words in stop_lists(languages).items() for word in words]
     return spark.createDataFrame(rows, "lang string, word string")

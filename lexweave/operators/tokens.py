@@ -82,8 +82,13 @@ def keep_vocabulary(docs: DataFrame, words: DataFrame, id_col: str = "doc_id",
     return _filter_by_table(docs, id_col, text_col, out_col, words, word, "left_semi")
 
 
-def _stop_lists(stop_table: DataFrame, limit: int) -> dict[str, list[str]] | None:
+StopWords = DataFrame | dict[str, list[str]]
+
+
+def _stop_lists(stop_table: StopWords, limit: int) -> dict[str, list[str]] | None:
     """Words by language, or ``None`` when the table is longer than ``limit``."""
+    if isinstance(stop_table, dict):
+        return stop_table
     rows = stop_table.select("lang", "word").distinct().limit(limit + 1).collect()
     if len(rows) > limit:
         return None
@@ -100,8 +105,8 @@ def _is_stopped(token: Column, lang: Column, lists: dict[str, list[str]]) -> Col
     return stopped
 
 
-def usable_words(text: Column, lang: Column, stop_table: DataFrame, pattern: str = WORD) -> Column:
-    """Usable tokens of a text as an array, for stop lists of dictionary-free size."""
+def usable_words(text: Column, lang: Column, stop_table: StopWords, pattern: str = WORD) -> Column:
+    """Usable tokens of a text as an array, with stop words as lists by language or a short table."""
     lists = _stop_lists(stop_table, LITERAL_LIMIT * 10)
     if lists is None:
         raise ValueError("stop table too long for one expression; use usable_tokens")
@@ -111,12 +116,12 @@ def usable_words(text: Column, lang: Column, stop_table: DataFrame, pattern: str
     return F.filter(found, lambda t: ~_is_stopped(t, lang, lists))  # WORD tokens have the shape
 
 
-def usable_tokens(tokens: DataFrame, stop_table: DataFrame, lang_col: str = "lang",
+def usable_tokens(tokens: DataFrame, stop_table: StopWords, lang_col: str = "lang",
                   token_col: str = "token") -> DataFrame:
     """Tokens that are no stop word of their language and have the shape of a word throughout.
 
-    ``stop_table`` is the fixed ``(lang, word)`` table, a few hundred rows per language; it is
-    gathered into one expression so that the token rows are not shuffled.  A longer table is joined.
+    ``stop_table`` holds lists by language or a ``(lang, word)`` table, a few hundred words each; they
+    go into one expression so that the token rows are not shuffled.  A longer table is joined.
     """
     shaped = tokens.filter(T.is_word(F.col(token_col)))
     lists = _stop_lists(stop_table, LITERAL_LIMIT * 10)

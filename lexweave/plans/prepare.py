@@ -19,7 +19,7 @@ class PreparedCorpus:
     sizes: DataFrame
 
 
-def prepare_corpus(tokens: DataFrame, stop_table: DataFrame, treatments: dict | None = None,
+def prepare_corpus(tokens: DataFrame, stop_table: tok.StopWords, treatments: dict | None = None,
                    min_tokens: int = 100, has_oracle: bool = False, id_col: str = "doc_id",
                    token_col: str = "token", lang_col: str = "lang") -> PreparedCorpus:
     """Drop stop words and non-words, treat what is left, keep documents of ``min_tokens`` or more.
@@ -46,7 +46,7 @@ def prepare_corpus(tokens: DataFrame, stop_table: DataFrame, treatments: dict |
     return PreparedCorpus(treated, sizes)
 
 
-def prepare_documents(docs: DataFrame, stop_table: DataFrame, min_tokens: int = 100,
+def prepare_documents(docs: DataFrame, stop_table: tok.StopWords, min_tokens: int = 100,
                       text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Plain-text documents with a ``words`` array of usable tokens, short documents left out.
 

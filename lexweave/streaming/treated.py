@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from lexweave.operators.tokens import StopWords
 from lexweave.plans.prepare import document_texts, prepare_documents
 from lexweave.session import scratch_path
 from lexweave.sources.corpus import CORPUS_SCHEMA
@@ -20,7 +21,7 @@ def read_corpus_stream(spark: SparkSession, folder: str) -> DataFrame:
             .option("escape", "").csv(folder))
 
 
-def treated_stream(docs: DataFrame, stop_table: DataFrame, treatments: dict,
+def treated_stream(docs: DataFrame, stop_table: StopWords, treatments: dict,
                    min_tokens: int = 100, lang_col: str = "lang") -> DataFrame:
     return document_texts(prepare_documents(docs, stop_table, min_tokens, lang_col=lang_col), treatments)
 
