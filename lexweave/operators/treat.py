@@ -98,11 +98,13 @@ def normalise_column(docs: DataFrame, text_col: str, author_col: str,
     pairs, and the rejected rows (text or author missing, as in a line with too few fields).
     """
     good = F.col(text_col).isNotNull() & F.col(author_col).isNotNull()
-    pairs = docs.filter(good).withColumn("__pairs", T.token_pairs(F.col(text_col), normalise))
-    texts = pairs.select(*[
-        F.array_join(F.col("__pairs.normalized"), " ").alias(c) if c == text_col else F.col(c)
+    pairs = T.token_pairs(F.col(text_col), normalise)
+    texts = docs.filter(good).select(*[
+        F.array_join(pairs["normalized"], " ").alias(c) if c == text_col else F.col(c)
         for c in docs.columns])
-    counts = (pairs.select(F.col(author_col).alias("author"), F.inline("__pairs"))
+    # unpacked straight from the expression: from a column, Spark would first test its size and so
+    # tokenise every text twice
+    counts = (docs.filter(good).select(F.col(author_col).alias("author"), F.inline(pairs))
                    .groupBy("author", F.lower("token").alias("token"),
                             F.lower("normalized").alias("normalized"))
                    .agg(F.count("*").alias("count")))
