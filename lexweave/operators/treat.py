@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -90,6 +91,28 @@ def lexicon_lemmas(tokens: DataFrame, lexicon: DataFrame, on: list[str],
         out_col, T.lemma_or_token(F.col("__lemma"), F.col(token_col))).drop("__lemma")
 
 
+def apply_treatment(tokens: DataFrame, name: str, language: str, lexicons: dict[str, DataFrame] | None = None,
+                    token_col: str = "token", out_col: str = "normalized",
+                    spread_by: list[str] | None = None) -> DataFrame:
+    """A treatment chosen by name: ``raw``, ``truncate<n>``, ``snowball`` or a lexicon's name.
+
+    Lexicons are ``(token, lemma)`` tables by treatment name.  Empty results fall back to the token.
+    """
+    token = F.col(token_col)
+    cut = re.fullmatch(r"truncate(\d*)", name)
+    if name == RAW:
+        return tokens.withColumn(out_col, token)
+    if cut:
+        return tokens.withColumn(out_col, T.truncate(token, int(cut[1] or 5)))
+    if name == "snowball":
+        stemmed = stem_vocabulary(tokens, language, token_col, out_col, spread_by)
+        return stemmed.withColumn(out_col, T.lemma_or_token(F.col(out_col), token))
+    if name in LEXICON_TREATMENTS and name in (lexicons or {}):
+        return lexicon_lemmas(tokens, lexicons[name], [token_col], token_col=token_col,
+                              out_col=out_col, spread_by=spread_by)
+    raise ValueError(f"treatment {name} is undefined or lacks its lexicon")
+
+
 def normalise_column(docs: DataFrame, text_col: str, author_col: str,
                      normalise: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rewrite one text column word by word.

@@ -154,6 +154,23 @@ def test_language_treatments():
         treat.language_treatments("en")
 
 
+def test_treatments_by_name(spark):
+    tokens = spark.createDataFrame([(0, "Häuser"), (1, "ging")], "pos int, token string")
+    lexicon = spark.createDataFrame([("ging", "gehen")], "token string, lemma string")
+
+    def run(name, **kw):
+        rows = treat.apply_treatment(tokens, name, "de", **kw).orderBy("pos").collect()
+        return [r["normalized"] for r in rows]
+
+    assert run("raw") == ["Häuser", "ging"]
+    assert run("truncate") == ["Häuse", "ging"] and run("truncate3") == ["Häu", "gin"]
+    assert run("snowball") == ["haus", "ging"]
+    assert run("stanza", lexicons={"stanza": lexicon}) == ["Häuser", "gehen"]
+    for name in ("stanza", "porter"):
+        with pytest.raises(ValueError):
+            run(name)
+
+
 def test_lexicon_lemmas_never_multiply_tokens(spark):
     text = "Wikipedia ist ein Projekt aus freien Inhalten"
     tokens = spark.createDataFrame([(i, w) for i, w in enumerate(text.split())], "pos int, token string")
