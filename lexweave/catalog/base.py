@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
-from glob import glob
-from pathlib import Path
 
-import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexweave.functions import patterns as P
+from lexweave.functions.stopwords import stopwords
 from lexweave.operators.tokens import token_table
 from lexweave.sources.tables import load, spread
 
@@ -134,17 +131,7 @@ CELLS = ("cells AS (SELECT s.topic, s.term, g.lemma, g.slot, split_part(g.slot,
 ASSIGNED = f"{GOLD}, {STATE}, {CELLS}"
 
 
-@lru_cache
-def _stop_words(language: str) -> list[str]:
-    """The list as packaged with Spark, read without a session."""
-    jar = glob(str(Path(pyspark.__path__[0]) / "jars" / "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return sorted({w.strip().lower() for w in text.splitlines()} - {""})
-
-
 @lru_cache
 def sql_stop() -> str:
-    names = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
-    rows = ", ".join(f"('{lang}', {sql_text(w)})" for lang in LANGUAGES for w in _stop_words(names[lang]))
+    rows = ", ".join(f"('{lang}', {sql_text(w)})" for lang in LANGUAGES for w in stopwords(lang))
     return f"stop(lang, word) AS (VALUES {rows})"

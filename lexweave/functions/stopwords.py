@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+# the default lists of Apache Spark's StopWordsRemover, one word per line
+_FOLDER = Path(__file__).with_name("stoplists")
+
 _LANGUAGES = {
     "ru": "russian", "russian": "russian",
     "de": "german", "german": "german",
@@ -22,12 +27,18 @@ RUSSIAN_EXTRAS = [
 ]
 
 
+@lru_cache
+def _base_list(name: str) -> frozenset[str]:
+    lines = (_FOLDER / f"{name}.txt").read_text(encoding="utf-8").splitlines()
+    return frozenset(w.strip().lower() for w in lines)
+
+
 def stopwords(language: str) -> list[str]:
     """Sorted, down-cased stop words; an unknown language has none."""
     name = _LANGUAGES.get(language.lower())
     if name is None:
         return []
-    words = {w.strip().lower() for w in StopWordsRemover.loadDefaultStopWords(name)}
+    words = set(_base_list(name))
     if name == "russian":
         words.update(RUSSIAN_EXTRAS)
     words.discard("")
