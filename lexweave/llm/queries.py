@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexweave.llm import cuckoo_dedup, minimax_shards, pii_bootstrap, secret_scan
+from lexweave.llm import (
+    cuckoo_dedup, decontaminate, jaccard_join, language_filters, minimax_shards, pii_bootstrap, secret_scan,
+)
 from lexweave.llm.spans import joined, tagged
 
 LLM_QUERIES: dict = {}
@@ -61,3 +63,23 @@ def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = minimax_shards.assign_shards(table(spark, folder, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                          F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op7_prefix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    marked = decontaminate.mark_contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op8_language_bitmask(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    named = language_filters.identify(docs, language_filters.train(docs), ["doc_id"])
+    return named.select("doc_id", (language_filters.fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op4_jaccard_skipping(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
