@@ -8,8 +8,10 @@ inverted index holds prefix shingles with set, size and position.  Two means kee
   verified share the pivot's answers: they are one component already, and pairs inside a component are skipped.
   What remains of a list is then formed in full across components, so no link between components is lost.
 
-Shingles frequent everywhere come last in the order; they are recognised from counts over all documents.
-Words and shingles are 64-bit hashes; each formed pair is verified on the whole sets.
+Shingles frequent everywhere come last in the order, before them those of long lists; both are recognised from
+counts over all documents.  Lists of one entry are left out before anything is sorted.
+Words and shingles are 64-bit hashes.  A formed pair is tested on parity sketches, which rule it out only if its
+sets differ in too many shingles, and then verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ SHINGLE = 5
 THRESHOLD = 80              # per cent
 CHUNK = 512                 # sets counted together when frequent shingles are looked for
 FREQUENT = 1 / 200          # share of the sets from which a shingle is frequent; 200 times the mean size is the most there are
-FILTER_BITS = 25            # of the bit map that tells sets of a pair from others
+LONG_LIST = 16              # entries from which a list's shingle is moved back in the order
+FILTER_BITS = 27            # of the bit maps of shingles and of sets: 16 MB each, whatever the input's size
 
 
 def _prefix_length(n: int) -> int:
@@ -91,35 +94,95 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rows.column("n").to_numpy()[order]
 
 
+def _bits(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.uint64((1 << FILTER_BITS) - 1)
+    return ((table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+class ShingleOrder:
+    """The order of shingles: by hash, behind them those of long lists, last the frequent ones by count.
+
+    A long list is marked in a bit map of fixed size.  A rare shingle that shares a bit is moved back as well,
+    which is the same for all sets and so changes no result.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, long: np.ndarray | None = None):
+        self.keys, self.counts, self.long = keys, counts, long
+
+    def _often(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(whole), dtype=bool), np.zeros(len(whole), dtype=np.int64)
+        at = np.searchsorted(self.keys, whole)
+        at[at == len(self.keys)] = 0
+        return self.keys[at] == whole, at
+
+    def prefix(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix, and which of its shingles lie beyond those counted by ``counted`` (frequent ones do not)."""
+        p = _prefix_length(len(whole))
+        for head in (whole[:p + 64], whole):    # mostly the first shingles by hash are enough
+            often, at = self._often(head)
+            plain = head[~often]
+            far = np.arange(len(plain)) >= p
+            slow = _bits(self.long, plain) if self.long is not None else np.zeros(len(plain), dtype=bool)
+            if np.count_nonzero(~slow) >= p or len(head) == len(whole):
+                break
+        order = np.concatenate([np.flatnonzero(~slow)[:p], np.flatnonzero(slow)])[:p]
+        first, beyond = plain[order], far[order]
+        if len(first) < p:
+            rest = head[often][np.lexsort((head[often], self.counts[at[often]]))][:p - len(first)]
+            first, beyond = np.concatenate([first, rest]), np.concatenate([beyond, np.zeros(len(rest), dtype=bool)])
+        return first, beyond
+
+    def counted(self, whole: np.ndarray) -> np.ndarray:
+        """The shingles whose lists are measured: the prefix before long lists are known, without frequent ones."""
+        p = _prefix_length(len(whole))
+        for head in (whole[:p + 64], whole):
+            plain = head[~self._often(head)[0]]
+            if len(plain) >= p or len(head) == len(whole):
+                return plain[:p]
+
+
+def _counter(shared):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            parts = [order.counted(np.frombuffer(raw, dtype=np.uint64)) for raw in batch.column(0).to_pylist()]
+            keys, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["token", "n"])
+    return count
+
+
+def _overflow(shared):
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            parts = [np.zeros(0, np.uint64)]
+            for raw in batch.column(0).to_pylist():
+                first, far = order.prefix(np.frombuffer(raw, dtype=np.uint64))
+                parts.append(first[far])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)).view(np.int64))], ["token"])
+    return beyond
+
+
 def _indexer(shared):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
+        order, shared_bits = shared.value
         for batch in batches:
-            names, parts, lengths = batch.column(0), [], []
+            parts, places, sizes, lengths = [], [], [], []
             for raw in batch.column(1).to_pylist():
                 whole = np.frombuffer(raw, dtype=np.uint64)
-                p = _prefix_length(len(whole))
-                if len(keys):
-                    at = np.searchsorted(keys, whole)
-                    at[at == len(keys)] = 0
-                    often = keys[at] == whole
-                    rare = whole[~often][:p]
-                    if len(rare) < p:
-                        held = at[often]
-                        rare = np.concatenate([rare, whole[often][np.lexsort((whole[often], counts[held]))][:p - len(rare)]])
-                else:
-                    rare = whole[:p]
-                parts.append(rare)
-                lengths.append(len(rare))
-            lengths = np.array(lengths, dtype=np.int64)
-            total = int(lengths.sum())
+                first, _ = order.prefix(whole)
+                place = np.flatnonzero(_bits(shared_bits, first) | order._often(first)[0])
+                parts.append(first[place])
+                places.append(place)
+                sizes.append(len(whole))
+                lengths.append(len(place))
             rows = np.repeat(np.arange(len(lengths)), lengths)
-            place = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            sizes = np.array([len(x) // 8 for x in batch.column(1).to_pylist()], dtype=np.int32)
+            none = [np.zeros(0, dtype=np.uint64)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64)),
-                 names.take(pa.array(rows)), pa.array(sizes[rows]), pa.array(place.astype(np.int32))],
-                ["token", "name", "n", "pos"])
+                [pa.array(np.concatenate(parts or none).view(np.int64)), batch.column(0).take(pa.array(rows, pa.int64())),
+                 pa.array(np.array(sizes, dtype=np.int32)[rows] if sizes else np.zeros(0, np.int32)),
+                 pa.array(np.concatenate(places or none).astype(np.int32))], ["token", "name", "n", "pos"])
     return index
 
 
@@ -131,39 +194,82 @@ def _possible(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     return sizes & (F.least(n1 - p1, n2 - p2) >= needed)
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bit map of fixed size with the bit of each ``key`` (its low bits)."""
+    place = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+    bucket = F.bitmap_bucket_number("p")
+    # keys meet by bucket before they become bits, so tasks hold few partial maps
+    rows = (keys.select(place.alias("p")).repartition(bucket).groupBy(bucket.alias("b"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toLocalIterator())
+    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        at = (r["b"] - 1) * len(part)
+        bits[at:at + len(part)] = part
+    return bits
+
+
 def inverted_lists(sets: DataFrame) -> DataFrame:
     """``token, name, n, pos, pivot`` of the lists with more than one set, one row per entry."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
-    entries = sets.select("name", "tokens").mapInArrow(_indexer(shared), "token bigint, name bigint, n int, pos int")
+    context = sets.sparkSession.sparkContext
+    order = ShingleOrder(*frequent_shingles(sets))
+    tokens = sets.select("tokens")
+    lengths = (tokens.mapInArrow(_counter(context.broadcast(order)), "token bigint, n bigint")
+               .groupBy(F.col("token").alias("key")).agg(F.sum("n").alias("n")).filter("n > 1"))
+    lengths = materialised(lengths, "lengths")
+    order = ShingleOrder(order.keys, order.counts, _bitmap(lengths.filter(F.col("n") > LONG_LIST)))
+    met = _bitmap(lengths)      # shingles met twice; the others' lists have one entry and need not be sent
+    far = tokens.mapInArrow(_overflow(context.broadcast(order)), "token bigint")
+    met |= _bitmap(far.select(F.col("token").alias("key")))
+    entries = sets.select("name", "tokens").mapInArrow(
+        _indexer(context.broadcast((order, met))), "token bigint, name bigint, n int, pos int")
     own = Window.partitionBy("token")
     lists = entries.select("*", F.min("name").over(own).alias("low"), F.max("name").over(own).alias("high"),
                            F.min(F.struct("pos", "n", "name")).over(own).alias("pivot"))
     return lists.filter("low <> high").select("token", "name", "n", "pos", "pivot").dropDuplicates(["token", "name"])
 
 
-def _bitmap(names: DataFrame) -> np.ndarray:
-    """Bit map of fixed size with a bit for the hash of each name."""
-    place = F.pmod(F.xxhash64("name"), F.lit(1 << FILTER_BITS)) + 1
-    rows = (names.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect())
-    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for r in rows:
-        part = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-        at = (r["b"] - 1) * len(part)
-        bits[at:at + len(part)] = part
-    return bits
+def parity_sketch(whole: np.ndarray) -> bytes:
+    """Parity of the shingles per slot, with about as many slots as shingles (a power of two, at least 64)."""
+    slots = max(64, 1 << (len(whole) - 1).bit_length())
+    odd = np.bincount((whole >> np.uint64(20)).astype(np.int64) & (slots - 1), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _picker(shared):
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            place = batch.column(2).to_numpy()
-            here = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(here.astype(bool))).select(["name", "tokens"])
+            batch = batch.filter(pa.array(_bits(bits, batch.column(0).to_numpy().view(np.uint64))))
+            sets = [np.frombuffer(raw, dtype=np.uint64) for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int32()),
+                 pa.array([parity_sketch(x) for x in sets], pa.binary())], ["name", "tokens", "n", "sketch"])
     return pick
 
 
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of fewer slots: slots that fall together add up, so their parities combine by xor."""
+    while len(sketch) > size:
+        sketch = sketch.reshape(2, -1)
+        sketch = sketch[0] ^ sketch[1]
+    return sketch
+
+
+def _near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that differ in no more slots than a link allows; every differing slot is a differing shingle."""
+    for batch in batches:
+        near = np.zeros(batch.num_rows, dtype=bool)
+        columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+        for k, (n1, n2, x, y) in enumerate(zip(*columns)):
+            a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+            size = min(len(a), len(b))
+            differ = int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
+            needed = -(-(n1 + n2) * THRESHOLD // (100 + THRESHOLD))
+            near[k] = differ <= n1 + n2 - 2 * needed
+        yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = np.zeros(batch.num_rows, dtype=bool)
@@ -177,19 +283,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(linked))
 
 
+def _with_both(pairs: DataFrame, picked: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """The pairs with columns of either set; the pair side may be skewed, the set side has unique names."""
+    for end, side in (("a", 0), ("b", 1)):
+        named = picked.select(F.col("name").alias(end), *[F.col(c).alias(v[side]) for c, v in columns.items()])
+        pairs = pairs.join(named.hint("merge"), end)
+    return pairs.select("a", "b", *[x for v in columns.values() for x in v])
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the distinct pairs ``a, b`` whose whole sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     bits = sets.sparkSession.sparkContext.broadcast(_bitmap(ends))
-    place = F.pmod(F.xxhash64("name"), F.lit(1 << FILTER_BITS))
     # only sets that may be in a pair are shuffled
-    picked = (sets.select("name", "tokens", place.alias("place")).mapInArrow(_picker(bits), "name bigint, tokens binary")
-              .dropDuplicates(["name"]))
-    picked = materialised(picked, "picked")
-    both = (pairs.join(picked.select(F.col("name").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
-            .join(picked.select(F.col("name").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b")
-            .select("a", "b", "x", "y"))
-    return both.mapInArrow(_compare, "a bigint, b bigint")
+    picked = materialised(sets.select("name", "tokens").mapInArrow(
+        _picker(bits), "name bigint, tokens binary, n int, sketch binary").dropDuplicates(["name"]), "picked")
+    near = materialised(_with_both(pairs, picked, {"n": ("n1", "n2"), "sketch": ("x", "y")})
+                        .mapInArrow(_near_enough, "a bigint, b bigint"), "near")
+    return _with_both(near, picked, {"tokens": ("x", "y")}).mapInArrow(_compare, "a bigint, b bigint")
 
 
 def set_links(sets: DataFrame) -> DataFrame:
