@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lexweave.llm.batches import bounded_batches
 from lexweave.llm.hashed_words import ALPHANUMERIC, runs_of, word_slices
 
 WINDOW = 13
@@ -187,6 +188,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], te
     Columns not named are not read, so clashing names do no harm.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.struct(*keep).alias("kept"), F.col(text_col).cast("string").alias("text"),
                         F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("spans"),
                         F.array().cast("array<string>").alias("items"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
+from lexweave.llm.batches import bounded_batches
 from lexweave.llm.components import components
 from lexweave.llm.hashed_words import NON_SPACE, runs_of, word_slices
 from lexweave.session import materialised
@@ -210,7 +211,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:
-    """``token, name, n, pos, pivot`` of the lists with more than one set, one row per entry."""
+    """``token, name, n, pos, pivot, entries`` of the lists with more than one set, one row per entry."""
     context = sets.sparkSession.sparkContext
     order = ShingleOrder(*frequent_shingles(sets))
     tokens = sets.select("tokens")
@@ -226,7 +227,8 @@ def inverted_lists(sets: DataFrame) -> DataFrame:
     own = Window.partitionBy("token")
     lists = entries.select("*", F.min("name").over(own).alias("low"), F.max("name").over(own).alias("high"),
                            F.min(F.struct("pos", "n", "name")).over(own).alias("pivot"))
-    return lists.filter("low <> high").select("token", "name", "n", "pos", "pivot").dropDuplicates(["token", "name"])
+    lists = lists.filter("low <> high").select("token", "name", "n", "pos", "pivot").dropDuplicates(["token", "name"])
+    return lists.withColumn("entries", F.count("*").over(own))
 
 
 def parity_sketch(whole: np.ndarray) -> bytes:
@@ -313,7 +315,8 @@ def set_links(sets: DataFrame) -> DataFrame:
     answers = materialised(verified(asked, sets), "answers")
     groups = components(answers).select(F.col("node").alias("name"), "component")
     own = Window.partitionBy("token")
-    open_lists = (lists.drop("pivot").join(groups, "name", "left")
+    # with two entries, the pivot has answered all
+    open_lists = (lists.filter("entries > 2").select("token", "name", "n", "pos").join(groups, "name", "left")
                   .withColumn("component", F.coalesce("component", "name"))
                   .withColumn("low", F.min("component").over(own)).withColumn("high", F.max("component").over(own))
                   .filter("low <> high").drop("low", "high"))
@@ -336,6 +339,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated rows, share a component.  Null ids are ignored in the minimum unless a component has no other.
     Only the id and text columns are read; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     rows = materialised(shingle_sets(docs, id_col, text_col, size), "sets")
     sets = rows.filter(F.col("tokens").isNotNull()).select("name", "tokens")
     groups = components(set_links(sets)).select(F.col("node").alias("name"), "component")

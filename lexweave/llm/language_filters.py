@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from lexweave.llm.batches import bounded_batches
 from lexweave.llm.hashed_words import LOWER, mix, text_buffer, text_slices
 
 GRAMS = 4000         # n-grams of a language
@@ -141,6 +142,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           sample: int = SAMPLE, grams: int = GRAMS) -> LanguageModel:
     """Learn from the rows with a language that are not held out.  No such rows: a model without languages."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("id")) != 0))
@@ -193,6 +195,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: s
     training rows and score 0.  Equal shares go to the first language in order of names.
     """
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.struct(*keep).alias("kept"), text.alias("text"),
                        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"),
