@@ -33,6 +33,7 @@ SHINGLE = 5
 THRESHOLD = 80              # per cent
 CHUNK = 512                 # sets counted together when frequent shingles are looked for
 FREQUENT = 1 / 200          # share of the sets from which a shingle is frequent; 200 times the mean size is the most there are
+FEW = 200                   # long lists are looked for until fewer than one in so many shingles has a new one
 LONG_LIST = 16              # entries from which a list's shingle is moved back in the order
 FILTER_BITS = 27            # of the bit maps of shingles and of sets: 16 MB each, whatever the input's size
 
@@ -117,22 +118,34 @@ class ShingleOrder:
         at[at == len(self.keys)] = 0
         return self.keys[at] == whole, at
 
-    def prefix(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The prefix, and which of its shingles lie beyond those counted by ``counted`` (frequent ones do not)."""
+    def prefix(self, whole: np.ndarray) -> np.ndarray:
         p = _prefix_length(len(whole))
         for head in (whole[:p + 64], whole):    # mostly the first shingles by hash are enough
             often, at = self._often(head)
             plain = head[~often]
-            far = np.arange(len(plain)) >= p
-            slow = _bits(self.long, plain) if self.long is not None else np.zeros(len(plain), dtype=bool)
+            slow = _bits(self.long, plain)
             if np.count_nonzero(~slow) >= p or len(head) == len(whole):
                 break
-        order = np.concatenate([np.flatnonzero(~slow)[:p], np.flatnonzero(slow)])[:p]
-        first, beyond = plain[order], far[order]
+        first = np.concatenate([plain[~slow][:p], plain[slow]])[:p]
         if len(first) < p:
             rest = head[often][np.lexsort((head[often], self.counts[at[often]]))][:p - len(first)]
-            first, beyond = np.concatenate([first, rest]), np.concatenate([beyond, np.zeros(len(rest), dtype=bool)])
-        return first, beyond
+            first = np.concatenate([first, rest])
+        return first
+
+    def beyond(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``prefix`` takes from beyond the counted shingles, and as many again that may come next.
+
+        The second array is 1 for shingles not known to have a long list.
+        """
+        p = _prefix_length(len(whole))
+        plain = whole[~self._often(whole)[0]]
+        slow = _bits(self.long, plain)
+        lost = int(np.count_nonzero(slow[:p]))
+        if not lost:
+            return plain[:0], np.zeros(0, dtype=np.int64)
+        order = np.concatenate([np.flatnonzero(~slow)[:p + 2 * lost + 8], np.flatnonzero(slow)])[:p + 2 * lost + 8]
+        order = order[order >= p]
+        return plain[order], (~slow[order]).astype(np.int64)
 
     def counted(self, whole: np.ndarray) -> np.ndarray:
         """The shingles whose lists are measured: the prefix before long lists are known, without frequent ones."""
@@ -157,11 +170,11 @@ def _overflow(shared):
     def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for batch in batches:
-            parts = [np.zeros(0, np.uint64)]
-            for raw in batch.column(0).to_pylist():
-                first, far = order.prefix(np.frombuffer(raw, dtype=np.uint64))
-                parts.append(first[far])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)).view(np.int64))], ["token"])
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            parts += [order.beyond(np.frombuffer(raw, dtype=np.uint64)) for raw in batch.column(0).to_pylist()]
+            keys, where = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+            n = np.bincount(where, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["token", "n"])
     return beyond
 
 
@@ -172,7 +185,7 @@ def _indexer(shared):
             parts, places, sizes, lengths = [], [], [], []
             for raw in batch.column(1).to_pylist():
                 whole = np.frombuffer(raw, dtype=np.uint64)
-                first, _ = order.prefix(whole)
+                first = order.prefix(whole)
                 place = np.flatnonzero(_bits(shared_bits, first) | order._often(first)[0])
                 parts.append(first[place])
                 places.append(place)
@@ -218,10 +231,17 @@ def inverted_lists(sets: DataFrame) -> DataFrame:
     lengths = (tokens.mapInArrow(_counter(context.broadcast(order)), "token bigint, n bigint")
                .groupBy(F.col("token").alias("key")).agg(F.sum("n").alias("n")).filter("n > 1"))
     lengths = materialised(lengths, "lengths")
-    order = ShingleOrder(order.keys, order.counts, _bitmap(lengths.filter(F.col("n") > LONG_LIST)))
     met = _bitmap(lengths)      # shingles met twice; the others' lists have one entry and need not be sent
-    far = tokens.mapInArrow(_overflow(context.broadcast(order)), "token bigint")
-    met |= _bitmap(far.select(F.col("token").alias("key")))
+    fresh = lengths.filter(F.col("n") > LONG_LIST)
+    while True:     # shingles that take the place of those moved back may have long lists too
+        bits = _bitmap(fresh) if order.long is None else order.long | _bitmap(fresh)
+        order = ShingleOrder(order.keys, order.counts, bits)
+        far = materialised(tokens.mapInArrow(_overflow(context.broadcast(order)), "token bigint, n bigint")
+                           .groupBy(F.col("token").alias("key")).agg(F.sum("n").alias("n")), "far")
+        met |= _bitmap(far)
+        fresh = far.filter(F.col("n") > LONG_LIST)
+        if fresh.count() * FEW <= far.count():      # the rest of the long lists costs pairs, not links
+            break
     entries = sets.select("name", "tokens").mapInArrow(
         _indexer(context.broadcast((order, met))), "token bigint, name bigint, n int, pos int")
     own = Window.partitionBy("token")
