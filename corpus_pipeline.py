@@ -1,7 +1,77 @@
-"""Corpus pipeline (placeholder until its stages exist)."""
+"""Corpus pipeline: language, near duplicates, contamination, mixture, shards.
+
+Each stage takes ``(spark, docs, sf_dir)``, works on all documents its predecessor kept, and returns the documents
+that stay, with their columns unchanged; the last returns the documents' shards.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from lexweave.llm import decontaminate, jaccard_join, language_filters, minimax_shards, mixing
+from lexweave.session import scratch_path
+
+LEAST_LANGUAGE_SCORE = 0.2      # corrected share of a text's n-grams known in its best language
+SHARDS = 24
+
+
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """The whole row as one column, so that no column of an operator clashes with it."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", "source", "lang")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those undetermined (null or without letters) or in no known language go."""
+    named = language_filters.identify(_wrapped(docs), language_filters.train(docs), ["doc"])
+    return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates; of rows repeated under that id one stays.
+
+    Rows without an id cannot be named by a group and stay.
+    """
+    groups = jaccard_join.jaccard_components(docs)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    staying = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("__one", one).filter("__one = 1").drop("__one")
+    return staying.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which benchmark passages make up less than a twentieth of the words."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return (decontaminate.mark_contaminated(_wrapped(docs), benchmark, ["doc"])
+            .filter(~F.col("contaminated")).select("doc.*"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens follow the target shares of source, language and topic."""
+    return mixing.mix(_wrapped(docs), ["doc"]).filter("sampled").select("doc.*")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document left."""
+    return minimax_shards.assign_shards(docs, SHARDS)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixture", mix_sources),
+    ("shards", shard),
+]
+
+# language model, raking and shard search have no SQL form; tests compare each stage with a plain version
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexweave.llm import (
-    cuckoo_dedup, decontaminate, jaccard_join, language_filters, minimax_shards, pii_bootstrap, secret_scan,
+    cuckoo_dedup, decontaminate, jaccard_join, language_filters, line_winnowing, minimax_shards, mixing,
+    pii_bootstrap, secret_scan, separator_scan,
 )
 from lexweave.llm.spans import joined, tagged
 
@@ -83,3 +84,26 @@ def op8_language_bitmask(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op4_jaccard_skipping(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+
+
+@query()
+def op5_raked_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"), ["doc_id"])
+    return mixed.select("doc_id", "tokens", "topic", F.round("rate", 6).alias("rate"),
+                        F.round("probability", 6).alias("probability"), "sampled")
+
+
+@query()
+def op6_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens, counted in the flat streams its texts make."""
+    blocks = separator_scan.token_blocks(table(spark, folder, "documents"))
+    return separator_scan.count_documents(blocks).select("doc_id", "n_tokens")
+
+
+@query()
+def op9_line_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_winnowing.without_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"),
+                       F.size("removed").cast("bigint").alias("n_removed"),
+                       F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"),
+                       F.sha2("text", 256).alias("text_sha256"))
