@@ -128,21 +128,23 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[str]:
         ends, top = _ends(units.size), int(units.largest.max())
         capacity = smallest_capacity(ends, int(units.size.max()), shards)
         multi = units.groups > 1
-        slack = int(units.size[multi].max()) if multi.any() else 0
+        # a cut inside a block can move to the end away from its largest group, at either side of a shard
+        slack = 2 * int((units.size - units.largest)[multi].max()) if multi.any() else 0
         floor = max(top, -(-int(ends[-1]) // shards), capacity - slack)
-        brackets = _brackets(units, capacity, floor, shards) if digits < DIGEST_LENGTH else []
-        split = {i for a, b in brackets for i in range(a, min(b + 1, len(units.prefix))) if multi[i]}
+        ranges = _brackets(units, capacity, floor, shards) if digits < DIGEST_LENGTH else []
         # a block heavier than the floor may hold back the capacity wherever it lies
-        split |= {int(i) for i in np.flatnonzero(multi & (units.size > floor))} if digits < DIGEST_LENGTH else set()
+        ranges += [(int(i), int(i)) for i in np.flatnonzero(multi & (units.size > floor))] if digits < DIGEST_LENGTH else []
+        runs: list[list[int]] = []
+        for a, b in sorted((a, min(b, len(units.prefix) - 1)) for a, b in ranges):
+            if multi[a:b + 1].any():
+                if runs and a <= runs[-1][1] + 1:
+                    runs[-1][1] = max(runs[-1][1], b)
+                else:
+                    runs.append([a, b])
+        split = {i for a, b in runs for i in range(a, b + 1) if multi[i]}
         if not split:
             cuts = even_cuts(ends, capacity, shards)
             return [units.prefix[c] if c < len(units.prefix) else "~" for c in cuts]
-        inside, runs = sorted(split), []
-        for i in inside:
-            if runs and runs[-1][1] == i - 1:
-                runs[-1][1] = i
-            else:
-                runs.append([i, i])
         digits = min(digits + NEXT_DIGITS, DIGEST_LENGTH)
         where = F.lit(False)
         for a, b in runs:   # "g" sorts behind every hexadecimal digit
