@@ -52,7 +52,7 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     sized = lines.select("row", "doc_id", "hashes", F.transform(
         places, lambda i: _gram(F.col("hashes"), F.col("words"), i)).alias("sizes"))
     hashed = sized.select("row", "doc_id", "sizes", F.transform("sizes", lambda k, i: F.when(
-        k > 0, F.xxhash64(F.slice("hashes", i + 1, k)))).alias("grams"))
+        k > 0, F.xxhash64(*[F.when(k > j, F.get("hashes", i + j)) for j in range(MAX_LINES)]))).alias("grams"))
     value = lambda i: F.coalesce(F.get("grams", i), F.lit(_LAST))
 
     def chosen(i: Column) -> Column:   # least of some window of WINDOW grams that holds it; the first window holds the rest
