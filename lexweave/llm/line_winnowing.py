@@ -40,7 +40,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``row, doc_id, text, hashes, words``: a hash and a word count per line; a blank line has 0 words."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
                        whole_text(text_col).alias("text"))
-    lines = rows.select("*", F.transform(_lines(F.col("text")), F.trim).alias("lines"))
+    lines = rows.select("*", F.transform(_lines(F.col("text")), lambda x: F.trim(x)).alias("lines"))
     return lines.select("row", "doc_id", "text", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
                         F.transform("lines", lambda x: F.when(x == "", 0).otherwise(
                             F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int")).alias("words"))
