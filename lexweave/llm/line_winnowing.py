@@ -65,8 +65,9 @@ def fingerprints(lines: DataFrame) -> DataFrame:
 
     picked = hashed.select("row", "doc_id", "grams", F.filter(
         F.sequence(F.lit(0), F.size("grams") - 1), chosen).alias("at"))
-    return picked.select("row", "doc_id", F.explode("at").alias("at"), "grams").select(
-        "row", "doc_id", "at", F.get("grams", F.col("at")).alias("gram"))
+    # the outer form adds no filter on the array, which would be computed again below for every line
+    return picked.select("row", "doc_id", F.explode_outer("at").alias("at"), "grams").select(
+        "row", "doc_id", "at", F.get("grams", F.col("at")).alias("gram")).filter("at IS NOT NULL")
 
 
 def _equal_runs(mine: Column, other: Column, offset: Column) -> Column:
