@@ -258,15 +258,18 @@ def parity_sketch(whole: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _picker(shared):
+def _picker(shared, sketches: bool):
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             batch = batch.filter(pa.array(_bits(bits, batch.column(0).to_numpy().view(np.uint64))))
+            if not sketches:
+                yield batch
+                continue
             sets = [np.frombuffer(raw, dtype=np.uint64) for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int32()),
-                 pa.array([parity_sketch(x) for x in sets], pa.binary())], ["name", "tokens", "n", "sketch"])
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int32()),
+                 pa.array([parity_sketch(x) for x in sets], pa.binary())], ["name", "n", "sketch"])
     return pick
 
 
@@ -313,16 +316,24 @@ def _with_both(pairs: DataFrame, picked: DataFrame, columns: dict[str, tuple[str
     return pairs.select("a", "b", *[x for v in columns.values() for x in v])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs ``a, b`` whose whole sets are similar enough."""
+def _picked(pairs: DataFrame, sets: DataFrame, schema: str, sketches: bool) -> DataFrame:
+    """One row per set named in ``pairs``: its size and sketch, or its shingles.  Other sets are not shuffled."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     bits = sets.sparkSession.sparkContext.broadcast(_bitmap(ends))
-    # only sets that may be in a pair are shuffled
-    picked = materialised(sets.select("name", "tokens").mapInArrow(
-        _picker(bits), "name bigint, tokens binary, n int, sketch binary").dropDuplicates(["name"]), "picked")
-    near = materialised(_with_both(pairs, picked, {"n": ("n1", "n2"), "sketch": ("x", "y")})
+    rows = sets.select("name", "tokens").mapInArrow(_picker(bits, sketches), schema).dropDuplicates(["name"])
+    return materialised(rows, "picked")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct pairs ``a, b`` whose whole sets are similar enough.
+
+    All pairs are tested on sketches, a bit or two a shingle; whole sets move only for those left.
+    """
+    sketched = _picked(pairs, sets, "name bigint, n int, sketch binary", True)
+    near = materialised(_with_both(pairs, sketched, {"n": ("n1", "n2"), "sketch": ("x", "y")})
                         .mapInArrow(_near_enough, "a bigint, b bigint"), "near")
-    return _with_both(near, picked, {"tokens": ("x", "y")}).mapInArrow(_compare, "a bigint, b bigint")
+    whole = _picked(near, sets, "name bigint, tokens binary", False)
+    return _with_both(near, whole, {"tokens": ("x", "y")}).mapInArrow(_compare, "a bigint, b bigint")
 
 
 def set_links(sets: DataFrame) -> DataFrame:
