@@ -272,7 +272,8 @@ def snowball_column_counts(spark, folder):
 
 @query("P28", f"""WITH {B.TOK}, {_sql_stems('tok')}, texts AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY pos) AS text
 FROM tok JOIN stems USING (token) WHERE trim(stem) <> '' GROUP BY doc_id)
-SELECT d.doc_id, d.source, coalesce(t.text, '') AS text FROM documents d LEFT JOIN texts t USING (doc_id)""")
+SELECT d.doc_id, d.source, coalesce(t.text, '') AS text FROM documents d LEFT JOIN texts t USING (doc_id)
+WHERE d.text IS NOT NULL AND d.source IS NOT NULL""")
 def snowball_column_text(spark, folder):
     docs = B.documents(spark, folder).select("doc_id", "source", "text")
     return treat.snowball_column(docs, "text", "source", "doc_id", "de")[0]

@@ -135,8 +135,13 @@ def normalise_column(docs: DataFrame, text_col: str, author_col: str,
 
 
 def snowball_column(docs: DataFrame, text_col: str, author_col: str, id_col: str,
-                    language: str) -> tuple[DataFrame, DataFrame]:
-    """``normalise_column`` for Snowball: stems come from the vocabulary, empty stems drop out."""
+                    language: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``normalise_column`` for Snowball: stems come from the vocabulary, empty stems drop out.
+
+    Rows without text or author are rejected, as there.
+    """
+    good = F.col(text_col).isNotNull() & F.col(author_col).isNotNull()
+    docs, rejected = docs.filter(good), docs.filter(~good)
     tokens = token_table(docs.select(id_col, author_col, text_col), text_col)
     stemmed = stem_vocabulary(tokens, language, spread_by=[id_col, "pos"])
     stemmed = stemmed.filter(F.trim("normalized") != "")
@@ -150,7 +155,7 @@ def snowball_column(docs: DataFrame, text_col: str, author_col: str, id_col: str
     counts = (snowball_words(words, language).filter(F.trim("normalized") != "")
               .groupBy("author", F.lower("token").alias("token"), F.lower("normalized").alias("normalized"))
               .agg(F.sum("n").alias("count")))
-    return joined, counts
+    return joined, counts, rejected
 
 
 def stack(frames: list[DataFrame]) -> DataFrame:

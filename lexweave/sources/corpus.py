@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from lexweave.operators.treat import stack
 
@@ -10,9 +11,12 @@ CORPUS_SCHEMA = "doc_id string, label string, text string"
 VOCAB_SCHEMA = "word string, term_freq bigint, doc_freq bigint"
 
 
-def _tsv(spark: SparkSession, schema: str):
-    """Plain tab split: no quoting, no escaping, blanks kept."""
-    return (spark.read.schema(schema).option("sep", "\t").option("quote", "").option("escape", "")
+def tsv_reader(reader: DataFrameReader | DataStreamReader, schema: str):
+    """Plain tab split without quoting or escaping, for ``spark.read`` and ``spark.readStream``.
+
+    Blanks are kept; an empty field is null, like one that a short line lacks.
+    """
+    return (reader.schema(schema).option("sep", "\t").option("quote", "").option("escape", "")
             .option("encoding", "UTF-8").option("emptyValue", "").option("nullValue", "\x00"))
 
 
@@ -54,7 +58,7 @@ def read_text_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
 
 
 def read_corpus_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return _tsv(spark, CORPUS_SCHEMA).csv(path)
+    return tsv_reader(spark.read, CORPUS_SCHEMA).csv(path)
 
 
 def write_corpus_tsv(docs: DataFrame, path: str, doc_id: str = "doc_id", label: str = "label",
@@ -65,7 +69,7 @@ def write_corpus_tsv(docs: DataFrame, path: str, doc_id: str = "doc_id", label:
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    return _tsv(spark, VOCAB_SCHEMA).csv(path)
+    return tsv_reader(spark.read, VOCAB_SCHEMA).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
@@ -74,7 +78,7 @@ def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return _tsv(spark, schema).option("header", "true").csv(path)
+    return tsv_reader(spark.read, schema).option("header", "true").csv(path)
 
 
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:

@@ -12,13 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 from lexweave.operators.tokens import StopWords
 from lexweave.plans.prepare import document_texts, prepare_documents
 from lexweave.session import scratch_path
-from lexweave.sources.corpus import CORPUS_SCHEMA
+from lexweave.sources.corpus import CORPUS_SCHEMA, tsv_reader
 
 
 def read_corpus_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New corpus TSV files of a folder as ``doc_id, label, text`` rows."""
-    return (spark.readStream.schema(CORPUS_SCHEMA).option("sep", "\t").option("quote", "")
-            .option("escape", "").csv(folder))
+    return tsv_reader(spark.readStream, CORPUS_SCHEMA).csv(folder)
 
 
 def treated_stream(docs: DataFrame, stop_table: StopWords, treatments: dict,

@@ -2,6 +2,8 @@
 
 import gzip
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lexweave.sources import annotated, corpus, state as files
@@ -60,12 +62,42 @@ def test_gold_file_positions_and_rejects(spark, tmp_path):
         f.write("d1\t0\tДома\tДом\tS,m=nom\nbroken line\nd1\t0\tесть\tбыть\tV\nd2\t1\tA\tB\tC,d\n")
     good, bad = files.read_oracle(spark, str(tmp_path / "o.gz"))
     rows = sorted((r["doc_index"], r["pos"], r["surface"], r["lemma"], r["slot"], r["pos_tag"]) for r in good.collect())
-    assert rows == [(0, 0, "дома", "дом", "S,m=nom", "S"), (0, 1, "есть", "быть", "V", "V"), (1, 0, "a", "b", "C,d", "C")]
+    assert rows == [(0, 0, "дома", "дом", "S,m=nom", "S"), (0, 2, "есть", "быть", "V", "V"), (1, 0, "a", "b", "C,d", "C")]
     assert bad.first()["value"] == "broken line"
     kept, _ = files.read_oracle(spark, str(tmp_path / "o.gz"), use_downcase=False)
     assert kept.filter("pos = 0 and doc_index = 0").first()["surface"] == "Дома"
 
 
+def test_gold_lines_rejected_inside_a_document_leave_gaps(spark, tmp_path):
+    with gzip.open(tmp_path / "o.gz", "wt", encoding="utf-8") as f:
+        f.write("d1\t0\ta\ta\tS\nd1\t0\tfour fields\nd1\tx\tb\tb\tS\nd1\t0\tc\tc\tS\nd2\t1\td\td\tS\n")
+    good, bad = files.read_oracle(spark, str(tmp_path / "o.gz"))
+    assert sorted((r["doc_index"], r["pos"], r["surface"]) for r in good.collect()) == [(0, 0, "a"), (0, 3, "c"), (1, 0, "d")]
+    assert bad.filter("value like '%x%'").count() == 1
+
+
+def test_gold_document_in_two_files_fails(spark, tmp_path):
+    many = "".join(f"d1\t0\tw{i}\tw\tS\n" for i in range(5))
+    for name in "ab":
+        with gzip.open(tmp_path / f"{name}.gz", "wt", encoding="utf-8") as f:
+            f.write(many)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")    # a partition for each file
+    try:
+        with pytest.raises(Exception, match="document 0 lie in several"):
+            files.read_oracle(spark, str(tmp_path))[0].collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_diagnostics_keep_every_attribute(spark, tmp_path):
+    (tmp_path / "d.xml").write_text('<model>\n<topic id="0" tokens="12" brand-new="2.5"></topic>\n'
+                                    '<topic id="1" tokens="7" other="1"></topic>\n</model>')
+    rows = files.read_diagnostics(spark, str(tmp_path / "d.xml"))
+    assert {r["topic"]: (r["tokens"], r["brand_new"], r["other"]) for r in rows.collect()} == {
+        0: (12.0, 2.5, None), 1: (7.0, None, 1.0)}
+
+
 def test_diagnostics_xml(spark, tmp_path):
     (tmp_path / "d.xml").write_text(
         '<?xml version="1.0"?>\n<model>\n<topic id="0" tokens="12" coherence="-3.5" word-length="4.5">'

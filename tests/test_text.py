@@ -206,10 +206,12 @@ def test_normalised_column_rejects_short_rows(spark):
 
 
 def test_snowball_column(spark):
-    docs = spark.createDataFrame([("1", "A", "Häuser und Häuser"), ("2", "B", "...")], "doc_id string, label string, text string")
-    texts, counts = treat.snowball_column(docs, "text", "label", "doc_id", "de")
+    docs = spark.createDataFrame([("1", "A", "Häuser und Häuser"), ("2", "B", "..."), ("3", None, "Haus"), ("4", "B", None)],
+                                 "doc_id string, label string, text string")
+    texts, counts, rejected = treat.snowball_column(docs, "text", "label", "doc_id", "de")
     assert sorted((r["doc_id"], r["text"]) for r in texts.collect()) == [("1", "haus und haus"), ("2", "")]
     assert sorted(counts.collect()) == [("A", "häuser", "haus", 2), ("A", "und", "und", 1)]
+    assert sorted(r["doc_id"] for r in rejected.collect()) == ["3", "4"]
 
 
 def test_minimum_length_counts_kept_tokens(spark):
