@@ -28,7 +28,7 @@ def _bag(spark, folder):
 _TRAINED: dict[tuple, lda.TopicModel] = {}
 
 
-def _model(spark, folder, train=lda.train):
+def _model(spark, folder, train=lda.train_online):
     key = (spark.sparkContext.applicationId, folder, train.__name__)
     if key not in _TRAINED:
         _TRAINED[key] = train(_bag(spark, folder), TOPICS, ITERATIONS, seed=7)
@@ -72,7 +72,7 @@ def lda_top_documents(spark, folder):
 
 @query("M3,M4")
 def joined_lda_token_topics(spark, folder):
-    """The table-based trainer that takes over for large vocabularies."""
+    """The table-based trainer, for vocabularies of any size."""
     model = _model(spark, folder, lda.train_joined)
     state = lda.assign_topics(_tokens(spark, folder), model)
     return state.groupBy("topic").agg(F.count("*").alias("tokens"), F.countDistinct("term").alias("terms"))

@@ -184,7 +184,7 @@ def check_model(tokens, model):
     return assigned
 
 
-@pytest.mark.parametrize("train", [lda.train, lda.train_joined])
+@pytest.mark.parametrize("train", [lda.train_online, lda.train_joined])
 def test_training_separates_two_vocabularies(spark, bag, train):
     counts = lda.bag_of_words(bag, bag.select("term").distinct())
     model = train(counts, 2, 25, 3)
@@ -203,10 +203,8 @@ def test_joined_training_does_not_depend_on_partitions(spark, bag):
         assert first[term] == pytest.approx(second[term])
 
 
-def test_large_vocabularies_go_to_the_joined_trainer(spark, bag, monkeypatch):
+def test_online_training_refuses_a_matrix_too_large(spark, bag, monkeypatch):
     monkeypatch.setattr(lda, "MATRIX_BYTES", 8 * 2 * 3)
     counts = lda.bag_of_words(bag, bag.select("term").distinct())
-    called = []
-    monkeypatch.setattr(lda, "train_joined", lambda *a: called.append(a))
-    lda.train(counts, 2, 1)
-    assert called
+    with pytest.raises(ValueError, match="train_joined"):
+        lda.train_online(counts, 2, 1)
