@@ -163,14 +163,9 @@ def author_statistics(spark, folder):
     return B.rounded(_author_stats(spark, folder))
 
 
-SOURCES = [f"src{i}" for i in range(20)]
-
-
-@query("A8,J13", f"""WITH {B.TOK} SELECT lower(token) AS token, {', '.join(f"sum((source = '{s}')::INT)::BIGINT AS {s}" for s in SOURCES)}
-FROM tok GROUP BY 1""")
+@query("A8,J13", f"WITH {B.TOK}, words AS (SELECT lower(token) AS token, source FROM tok) PIVOT words ON source USING count(*) GROUP BY token")
 def author_word_matrix(spark, folder):
-    counts = authors.author_token_counts(_terms(spark, folder), "source")
-    return authors.author_word_matrix(counts, SOURCES)
+    return authors.author_word_matrix(authors.author_token_counts(_terms(spark, folder), "source"))
 
 
 @query("A9", f"WITH {B.TOK} SELECT source AS author, lower(token) AS token, count(*) AS count FROM tok GROUP BY 1, 2")
