@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "lexweave", cores: int | str = "*", memory: str = "8g",
@@ -62,8 +63,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """Write once as Parquet to the shared scratch folder and read back (for several readers)."""
+    """Write once as Parquet to the shared scratch folder and read back (for several readers).
+
+    The table stands for the shuffles it came from, so their files are removed once it is written.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    former = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, former)
     return spark.read.schema(df.schema).parquet(path)
