@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +97,35 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rows.column("n").to_numpy()[order]
 
 
-def _bits(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+class BitMap:
+    """A bit map of fixed size, sent compressed: few bits set are few bytes to broadcast and to keep."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    def __reduce__(self):
+        return _unpacked, (pa.compress(self.table.tobytes(), codec="zstd", asbytes=True), len(self.table))
+
+    def __or__(self, other: "BitMap") -> "BitMap":
+        return BitMap(self.table | other.table)
+
+
+def _unpacked(raw: bytes, size: int) -> BitMap:
+    return BitMap(np.frombuffer(pa.decompress(raw, decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8))
+
+
+@contextmanager
+def _broadcast(spark, value):
+    """``value`` broadcast while its readers are written; afterwards no executor keeps it."""
+    shared = spark.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
+def _bits(bitmap: BitMap, keys: np.ndarray) -> np.ndarray:
+    table = bitmap.table
     place = keys & np.uint64((1 << FILTER_BITS) - 1)
     return ((table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
@@ -108,7 +137,7 @@ class ShingleOrder:
     which is the same for all sets and so changes no result.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, long: np.ndarray | None = None):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, long: BitMap | None = None):
         self.keys, self.counts, self.long = keys, counts, long
 
     def _often(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +237,7 @@ def _possible(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     return sizes & (F.least(n1 - p1, n2 - p2) >= needed)
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
+def _bitmap(keys: DataFrame) -> BitMap:
     """Bit map of fixed size with the bit of each ``key`` (its low bits)."""
     place = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
     bucket = F.bitmap_bucket_number("p")
@@ -220,35 +249,39 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
         part = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
         at = (r["b"] - 1) * len(part)
         bits[at:at + len(part)] = part
-    return bits
+    return BitMap(bits)
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:
     """``token, name, n, pos, pivot, entries`` of the lists with more than one set, one row per entry."""
-    context = sets.sparkSession.sparkContext
+    spark = sets.sparkSession
     order = ShingleOrder(*frequent_shingles(sets))
     tokens = sets.select("tokens")
-    lengths = (tokens.mapInArrow(_counter(context.broadcast(order)), "token bigint, n bigint")
-               .groupBy(F.col("token").alias("key")).agg(F.sum("n").alias("n")).filter("n > 1"))
-    lengths = materialised(lengths, "lengths")
+    counted = "token bigint, n bigint"
+    with _broadcast(spark, order) as shared:
+        lengths = materialised(tokens.mapInArrow(_counter(shared), counted).groupBy(F.col("token").alias("key"))
+                               .agg(F.sum("n").alias("n")).filter("n > 1"), "lengths")
     met = _bitmap(lengths)      # shingles met twice; the others' lists have one entry and need not be sent
     fresh = lengths.filter(F.col("n") > LONG_LIST)
     while True:     # shingles that take the place of those moved back may have long lists too
         bits = _bitmap(fresh) if order.long is None else order.long | _bitmap(fresh)
         order = ShingleOrder(order.keys, order.counts, bits)
-        far = materialised(tokens.mapInArrow(_overflow(context.broadcast(order)), "token bigint, n bigint")
-                           .groupBy(F.col("token").alias("key")).agg(F.sum("n").alias("n")), "far")
-        met |= _bitmap(far)
+        with _broadcast(spark, order) as shared:
+            far = materialised(tokens.mapInArrow(_overflow(shared), counted)
+                               .groupBy(F.col("token").alias("key")).agg(F.sum("n").alias("n")), "far")
+        met = met | _bitmap(far)
         fresh = far.filter(F.col("n") > LONG_LIST)
         if fresh.count() * FEW <= far.count():      # the rest of the long lists costs pairs, not links
             break
-    entries = sets.select("name", "tokens").mapInArrow(
-        _indexer(context.broadcast((order, met))), "token bigint, name bigint, n int, pos int")
     own = Window.partitionBy("token")
-    lists = entries.select("*", F.min("name").over(own).alias("low"), F.max("name").over(own).alias("high"),
-                           F.min(F.struct("pos", "n", "name")).over(own).alias("pivot"))
-    lists = lists.filter("low <> high").select("token", "name", "n", "pos", "pivot").dropDuplicates(["token", "name"])
-    return lists.withColumn("entries", F.count("*").over(own))
+    with _broadcast(spark, (order, met)) as shared:
+        entries = sets.select("name", "tokens").mapInArrow(
+            _indexer(shared), "token bigint, name bigint, n int, pos int")
+        lists = entries.select("*", F.min("name").over(own).alias("low"), F.max("name").over(own).alias("high"),
+                               F.min(F.struct("pos", "n", "name")).over(own).alias("pivot"))
+        lists = (lists.filter("low <> high").select("token", "name", "n", "pos", "pivot")
+                 .dropDuplicates(["token", "name"]))
+        return materialised(lists.withColumn("entries", F.count("*").over(own)), "lists")
 
 
 def parity_sketch(whole: np.ndarray) -> bytes:
@@ -319,9 +352,9 @@ def _with_both(pairs: DataFrame, picked: DataFrame, columns: dict[str, tuple[str
 def _picked(pairs: DataFrame, sets: DataFrame, schema: str, sketches: bool) -> DataFrame:
     """One row per set named in ``pairs``: its size and sketch, or its shingles.  Other sets are not shuffled."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    bits = sets.sparkSession.sparkContext.broadcast(_bitmap(ends))
-    rows = sets.select("name", "tokens").mapInArrow(_picker(bits, sketches), schema).dropDuplicates(["name"])
-    return materialised(rows, "picked")
+    with _broadcast(sets.sparkSession, _bitmap(ends)) as bits:
+        rows = sets.select("name", "tokens").mapInArrow(_picker(bits, sketches), schema).dropDuplicates(["name"])
+        return materialised(rows, "picked")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -338,7 +371,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def set_links(sets: DataFrame) -> DataFrame:
     """``a, b``: links whose components are those of all links between distinct sets."""
-    lists = materialised(inverted_lists(sets), "lists")
+    lists = inverted_lists(sets)
     pivot = F.col("pivot")
     asked = (lists.filter((F.col("name") != pivot["name"]) & _possible(F.col("n"), F.col("pos"), pivot["n"], pivot["pos"]))
              .select(F.least("name", pivot["name"]).alias("a"), F.greatest("name", pivot["name"]).alias("b")).distinct())
