@@ -243,12 +243,11 @@ def _bitmap(keys: DataFrame) -> BitMap:
     bucket = F.bitmap_bucket_number("p")
     # keys meet by bucket before they become bits, so tasks hold few partial maps
     rows = (keys.select(place.alias("p")).repartition(bucket).groupBy(bucket.alias("b"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toLocalIterator())
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toArrow())
     bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for r in rows:
-        part = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-        at = (r["b"] - 1) * len(part)
-        bits[at:at + len(part)] = part
+    for b, raw in zip(rows["b"].to_pylist(), rows["bits"].to_pylist()):
+        part = np.frombuffer(raw, dtype=np.uint8)
+        bits[(b - 1) * len(part):b * len(part)] = part
     return BitMap(bits)
 
 
@@ -370,7 +369,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def set_links(sets: DataFrame) -> DataFrame:
-    """``a, b``: links whose components are those of all links between distinct sets."""
+    """``a, b``: links whose components are those of all links between distinct sets.
+
+    Components that the pivots' answers form already are handed on as stars, which need no further rounds.
+    """
     lists = inverted_lists(sets)
     pivot = F.col("pivot")
     asked = (lists.filter((F.col("name") != pivot["name"]) & _possible(F.col("n"), F.col("pos"), pivot["n"], pivot["pos"]))
@@ -391,7 +393,8 @@ def set_links(sets: DataFrame) -> DataFrame:
         & _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
         .select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
         .join(asked, ["a", "b"], "left_anti"))
-    return answers.unionByName(verified(materialised(rest, "rest"), sets))
+    stars = groups.filter("name <> component").select(F.col("name").alias("a"), F.col("component").alias("b"))
+    return stars.unionByName(verified(materialised(rest, "rest"), sets))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
