@@ -1,9 +1,9 @@
 """Line deduplication by winnowing over line hashes (DataFrame functions only).
 
 A gram begins at each line: the fewest following lines that hold ``MIN_WORDS`` words, at most ``MAX_LINES``.
-Of every ``WINDOW`` consecutive grams the one of least hash is a fingerprint; a gram of a single line always is
-one.  So each repeated passage of one line with ``MIN_WORDS`` words, or of ``MAX_LINES + WINDOW - 1`` lines,
-shares a fingerprint with its first occurrence.  A fingerprint is joined to its first position only, never to all;
+A gram of ``MIN_WORDS`` words always is a fingerprint; of every ``WINDOW`` consecutive grams the one of least hash
+is one too.  So each repeated passage of at most ``MAX_LINES`` lines with ``MIN_WORDS`` words, or of
+``MAX_LINES + WINDOW - 1`` lines, shares a fingerprint with its first occurrence.  A fingerprint is joined to its first position only, never to all;
 the match is extended line by line both ways, and the later run is deleted.  A line goes only if an equal line
 stands earlier in the order of documents, so the first occurrence of any line always stays.
 """
@@ -49,9 +49,12 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fingerprints(lines: DataFrame) -> DataFrame:
     """``row, doc_id, at, gram``: position and hash of each selected gram."""
     places = F.sequence(F.lit(0), F.size("hashes") - 1)
+    # words of the longest gram: a shorter one is taken only if it holds MIN_WORDS by itself
+    held = lambda i: sum((F.coalesce(F.get("words", i + j), F.lit(0)) for j in range(MAX_LINES)), F.lit(0))
     sized = lines.select("row", "doc_id", "hashes", F.transform(
-        places, lambda i: _gram(F.col("hashes"), F.col("words"), i)).alias("sizes"))
-    hashed = sized.select("row", "doc_id", "sizes", F.transform("sizes", lambda k, i: F.when(
+        places, lambda i: _gram(F.col("hashes"), F.col("words"), i)).alias("sizes"),
+        F.transform(places, lambda i: held(i) >= MIN_WORDS).alias("full"))
+    hashed = sized.select("row", "doc_id", "full", F.transform("sizes", lambda k, i: F.when(
         k > 0, F.xxhash64(*[F.when(k > j, F.get("hashes", i + j)) for j in range(MAX_LINES)]))).alias("grams"))
     value = lambda i: F.coalesce(F.get("grams", i), F.lit(_LAST))
 
@@ -61,7 +64,7 @@ def fingerprints(lines: DataFrame) -> DataFrame:
             start = F.greatest(i - back, F.lit(0))
             window = [value(start + j) for j in range(WINDOW)]
             least = least | (value(i) == F.least(*window))
-        return F.get("grams", i).isNotNull() & (least | (F.get("sizes", i) == 1))
+        return F.get("grams", i).isNotNull() & (least | F.get("full", i))
 
     picked = hashed.select("row", "doc_id", "grams", F.filter(
         F.sequence(F.lit(0), F.size("grams") - 1), chosen).alias("at"))

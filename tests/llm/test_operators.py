@@ -406,6 +406,18 @@ def test_deleted_lines_stand_earlier(spark):
             seen.add(line)
 
 
+@pytest.mark.parametrize("sizes", [(28, 39), (18, 21, 28), (2, 48), (49, 0, 1)])
+def test_long_passages_of_few_lines_go(spark, sizes):
+    texts = []
+    for k in range(40):
+        passage = [" ".join(f"p{k}x{j}x{i}" for i in range(n)) for j, n in enumerate(sizes)]
+        for copy in "ab":       # other lines around each copy
+            around = [" ".join(f"{copy}{k}x{j}x{i}" for i in range(5)) for j in range(6)]
+            texts.append("\n".join(around[:3] + passage + around[3:]))
+    rows = {r["doc_id"]: r["removed"] for r in line_winnowing.without_repeats(table(spark, texts)).collect()}
+    assert rows == {i: list(range(3, 3 + len(sizes))) if i % 2 else [] for i in range(len(texts))}
+
+
 # --- op10 -----------------------------------------------------------------------------------
 
 def plain_capacity(sizes, shards):
