@@ -8,7 +8,6 @@ about a megabyte; a longer text is cut at separators, so memory follows the slic
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,26 +44,31 @@ NON_SPACE = separators((0x20, 0x20), (0x09, 0x0D))
 ALPHANUMERIC = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 
-@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         row = np.full(size, base, dtype=np.uint64)
-        row[0] = 1
+        row[:1] = 1
         out.append(np.multiply.accumulate(row))
     return out[0], out[1]
 
 
-def _room(size: int) -> int:
-    return max(2 * SLICE_BYTES, 1 << (size - 1).bit_length())
+class Powers:
+    """Powers for the slices of one batch, computed for the longest of them so far."""
 
+    def __init__(self):
+        self.up = self.down = np.zeros(0, dtype=np.uint64)
 
-def hash_words(buf: np.ndarray, bounds: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words per text, and the hashes of all words in order; ``bounds`` are the texts' offsets in ``buf``."""
-    n = len(buf)
-    if n == 0:
-        return np.zeros(len(bounds) - 1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    low = LOWER[buf]
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if size > len(self.up):
+            self.up, self.down = _powers(size)
+        return self.up, self.down
+
+
+def spans_of_words(low: np.ndarray, bounds: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word in a buffer of texts; ``bounds`` are the texts' offsets, at which words end."""
+    n = len(low)
     word = in_word[low]
     begin, finish = word.copy(), word.copy()
     begin[1:] &= ~word[:-1]
@@ -74,14 +78,27 @@ def hash_words(buf: np.ndarray, bounds: np.ndarray, in_word: np.ndarray) -> tupl
     lasts = bounds[1:] - 1
     lasts = lasts[lasts >= 0]
     finish[lasts] = word[lasts]
-    start, end = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-    up, down = _powers(_room(n))
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[low] * up[:n], out=sums[1:])
-    return np.diff(np.searchsorted(start, bounds)), mix((sums[end] - sums[start]) * down[start])
+    return np.flatnonzero(begin), np.flatnonzero(finish) + 1
+
+
+def hash_spans(low: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """Hash of the bytes of each span."""
+    up, down = powers.of(len(low))
+    sums = np.zeros(len(low) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUES[low] * up[:len(low)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
+
+
+def hash_words(buf: np.ndarray, bounds: np.ndarray, in_word: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Words per text, and the hashes of all words in order; ``bounds`` are the texts' offsets in ``buf``."""
+    if len(buf) == 0:
+        return np.zeros(len(bounds) - 1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    low = LOWER[buf]
+    start, end = spans_of_words(low, bounds, in_word)
+    return np.diff(np.searchsorted(start, bounds)), hash_spans(low, start, end, powers)
 
 
-def _long_text(buf: np.ndarray, in_word: np.ndarray) -> np.ndarray:
+def _long_text(buf: np.ndarray, in_word: np.ndarray, powers: Powers) -> np.ndarray:
     """Hashes of one long text, cut behind separators."""
     parts, at = [], 0
     while at < len(buf):
@@ -94,7 +111,7 @@ def _long_text(buf: np.ndarray, in_word: np.ndarray) -> np.ndarray:
                 break
             end = min(end + SLICE_BYTES, len(buf))
         piece = buf[at:end]
-        parts.append(hash_words(piece, np.array([0, len(piece)]), in_word)[1])
+        parts.append(hash_words(piece, np.array([0, len(piece)]), in_word, powers)[1])
         at = end
     return np.concatenate(parts)
 
@@ -125,13 +142,14 @@ def text_slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 def word_slices(column: pa.Array, in_word: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First text, words per text and word hashes of successive slices of whole texts."""
     data, offsets = text_buffer(column)
+    powers = Powers()
     for a, b in text_slices(offsets):
         buf = data[offsets[a]:offsets[b]]
         if len(buf) > 2 * SLICE_BYTES and b == a + 1:
-            hashes = _long_text(buf, in_word)
+            hashes = _long_text(buf, in_word, powers)
             yield a, np.array([len(hashes)]), hashes
         else:
-            counts, hashes = hash_words(buf, offsets[a:b + 1] - offsets[a], in_word)
+            counts, hashes = hash_words(buf, offsets[a:b + 1] - offsets[a], in_word, powers)
             yield a, counts, hashes
 
 

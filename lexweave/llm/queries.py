@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexweave.llm import (
-    cuckoo_dedup, decontaminate, jaccard_join, language_filters, line_winnowing, minimax_shards, mixing,
-    pii_bootstrap, secret_scan, separator_scan,
+    cuckoo_dedup, decontaminate, hard_negatives, jaccard_join, language_filters, line_winnowing, minimax_shards, mixing,
+    packing, periodic_runs, pii_bootstrap, secret_scan, separator_scan,
 )
 from lexweave.llm.spans import joined, tagged
 
@@ -107,3 +107,66 @@ def op9_line_winnowing(spark: SparkSession, folder: str) -> DataFrame:
                        F.size("removed").cast("bigint").alias("n_removed"),
                        F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"),
                        F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def op11_open_window_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in a tenth of the documents, chosen by id, a period repeats from some word to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(chosen, words).alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))))
+    a, p, n = F.col("a").cast("int"), F.col("p").cast("int"), F.col("n")
+    period = F.slice("words", a + 1, p)
+    turns = F.ceil((n - a) / p).cast("int")
+    whole = F.concat(F.slice("words", F.lit(1), a), F.slice(F.flatten(F.array_repeat(period, turns)), F.lit(1), n - a))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(_made_periodic(table(spark, folder, "documents")), ["doc_id"])
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda x, r: F.when(
+        r["length"] * x["period"] > x["length"] * r["period"], r).otherwise(x))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF coalesce(isfinite(x), false)]) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) <= 3"""
+
+
+@query(OP12_SQL)
+def op12_annulus_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(rows)
