@@ -71,8 +71,8 @@ def test_single_rows_and_empty_tables(spark):
 
 def test_leaves_are_left_out_but_none_that_counts():
     """On clustered rows the ranges exclude leaves, and every row inside the annulus lies in a leaf that is asked."""
-    rows = clustered(3000, 4, 9)
-    vectors = np.array([[math.floor(256 * x) for x in v] for _, v, _ in rows])
+    rows = np.array([v for _, v, _ in clustered(3000, 4, 9)])
+    vectors = np.floor(256 * rows / np.linalg.norm(rows, axis=1)[:, None]).astype(np.int64)
     most = float((vectors ** 2).sum(axis=1).max())
     points = hard_negatives._lifted(vectors, most)
     tree = hard_negatives.build_tree(points[:500])
