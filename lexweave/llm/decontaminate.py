@@ -12,70 +12,91 @@ whatever the benchmark's size; documents are not shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lexweave.llm.batches import bounded_batches
 from lexweave.llm.hashed_words import ALPHANUMERIC, runs_of, word_slices
+from lexweave.llm.shipping import received, shared
+from lexweave.session import materialised
 
 WINDOW = 13
 SHINGLE = 3
-BLOCK_WORDS = 1_000_000     # words of the items in one block: at most so many windows of 13 hashes
+BLOCK_WINDOWS = 200_000      # windows in one block, in expectation, each counted once per item that has it
 SHARE = 20                  # contaminated from one word in so many
 
 
-def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, words = batch.column(0), []
-        for _, counts, hashes in word_slices(batch.column(1), ALPHANUMERIC):
-            ends = np.cumsum(counts)
-            words += [hashes[e - c:e].view(np.int64) for c, e in zip(counts, ends)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.list_(pa.int64()))], ["item", "words"])
-
-
-class Windows:
-    """Distinct windows of a block of items, and the items that have each."""
-
-    def __init__(self, items: list[tuple[str, np.ndarray]], size: int):
-        found: dict[bytes, set[int]] = {}
-        self.items = [i for i, _ in items]
-        for k, (_, words) in enumerate(items):
-            span = min(size, len(words))
-            for at in range(len(words) - span + 1 if span else 0):
-                found.setdefault(words[at:at + span].tobytes(), set()).add(k)
-        self.words = [np.frombuffer(key, dtype=np.uint64) for key in found]
-        self.owners = [sorted(s) for s in found.values()]
-        self.length = np.array([len(w) for w in self.words], dtype=np.int64)
-
-    def shingles(self) -> dict[int, np.ndarray]:
-        """Sorted distinct shingles by size; a window shorter than a shingle is one."""
-        by_size: dict[int, list] = {}
-        for w in self.words:
-            g = min(SHINGLE, len(w))
-            by_size.setdefault(g, []).append(runs_of(w, g))
-        return {g: np.unique(np.concatenate(parts)) for g, parts in by_size.items()}
-
-    def prefixes(self, counts: dict[tuple[int, int], int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By shingle size: prefix shingles in order, and the window and offset of each."""
-        by_size: dict[int, list] = {}
-        for k, w in enumerate(self.words):
-            g = min(SHINGLE, len(w))
-            grams = runs_of(w, g)
-            rare = min(range(len(grams)), key=lambda j: (counts.get((g, int(grams[j])), 0), int(grams[j])))
-            by_size.setdefault(g, []).append((int(grams[rare]), k, rare))
-        out = {}
-        for g, rows in by_size.items():
-            rows.sort()
-            out[g] = (np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows], dtype=np.int64),
-                      np.array([r[2] for r in rows], dtype=np.int64))
-        return out
-
-
-def _counter(shared):
+def _item_windows(size: int):
+    """A row for each window of each item."""
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, counts, hashes in word_slices(batch.column(1), ALPHANUMERIC):
+                for k, (c, e) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist())):
+                    if not c:
+                        continue
+                    span = min(size, c)
+                    rows = np.lib.stride_tricks.sliding_window_view(hashes[e - c:e], span)
+                    rows = np.unique(rows, axis=0) if len(rows) > 1 else rows
+                    for at in range(0, len(rows), 4096):
+                        part = np.ascontiguousarray(rows[at:at + 4096])
+                        ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * 8 * span)
+                        flat = pa.Array.from_buffers(pa.binary(), len(part), [None, ends.buffers()[1], pa.py_buffer(part.tobytes())])
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).slice(first + k, 1).take(pa.array(np.zeros(len(part), np.int64))), flat], ["item", "words"])
+    return windows
+
+
+class Windows(NamedTuple):
+    """Distinct windows of a block, and the items that have each."""
+
+    items: list[str]
+    owners: list[list[int]]
+    words: list[np.ndarray]
+    length: np.ndarray
+
+
+def _grams(windows: Windows) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By shingle size: the windows and a row of each one's shingles; a window shorter than a shingle is one."""
+    out = {}
+    for n in np.unique(windows.length).tolist():
+        which = np.flatnonzero(windows.length == n)
+        g = min(SHINGLE, n)
+        flat = np.concatenate([windows.words[k] for k in which])
+        # shingles across two windows are left out
+        rows = np.concatenate([runs_of(flat, g), np.zeros(g - 1, np.uint64)]).reshape(len(which), n)[:, :n - g + 1]
+        out.setdefault(g, []).append((which, rows))
+    return out
+
+
+def shingles(windows: Windows) -> dict[int, np.ndarray]:
+    """Sorted distinct shingles by size."""
+    return {g: np.unique(np.concatenate([rows.ravel() for _, rows in parts])) for g, parts in _grams(windows).items()}
+
+
+def prefixes(windows: Windows, keys: dict[int, np.ndarray], counts: dict[int, np.ndarray]) -> dict[int, tuple]:
+    """By shingle size: each window's rarest shingle, in order, with the window and the shingle's place in it."""
+    out = {}
+    for g, parts in _grams(windows).items():
+        found = []
+        for which, rows in parts:
+            at = np.searchsorted(keys[g], rows)
+            # the rarest; of equals the smallest shingle
+            rank = counts[g][at] * np.int64(len(keys[g])) + at
+            place = rank.argmin(axis=1)
+            found.append((rows[np.arange(len(rows)), place], which, place))
+        grams, which, place = map(np.concatenate, zip(*found))
+        order = np.lexsort((place, which, grams))
+        out[g] = grams[order], which[order], place[order]
+    return out
+
+
+def _counter(wanted_shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
+        wanted = received(wanted_shared)
         totals = {g: np.zeros(len(keys), dtype=np.int64) for g, keys in wanted.items()}
         for batch in batches:
             for _, _, hashes in word_slices(batch.column(0), ALPHANUMERIC):
@@ -85,10 +106,9 @@ def _counter(shared):
                     at[at == len(keys)] = 0
                     totals[g] += np.bincount(at[keys[at] == grams], minlength=len(keys))
         for g, keys in wanted.items():
-            seen = totals[g] > 0
+            seen = np.flatnonzero(totals[g])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(seen.sum(), g, dtype=np.int32)), pa.array(keys[seen].view(np.int64)),
-                 pa.array(totals[g][seen])], ["g", "gram", "n"])
+                [pa.array(np.full(len(seen), g, dtype=np.int32)), pa.array(seen), pa.array(totals[g][seen])], ["g", "at", "n"])
     return count
 
 
@@ -122,10 +142,10 @@ def _matches(hashes, starts, ends, table, windows):
     return np.concatenate(texts), np.concatenate(firsts), np.concatenate(which)
 
 
-def _searcher(shared):
+def _searcher(table_shared):
     """Adds a block's matches to ``n_words, spans, items``; ``spans`` are merged word ranges, flattened."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, table = shared.value
+        windows, table = received(table_shared)
         for batch in batches:
             names = batch.schema.names
             n_words = np.zeros(batch.num_rows, dtype=np.int64)
@@ -166,20 +186,26 @@ def _merge(old: list[int], begin: np.ndarray, end: np.ndarray) -> list[int]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_windows: int) -> Iterator[Windows]:
+    """The benchmark's windows, made and merged in tasks, in blocks of about ``block_windows`` (window, item) pairs."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    words = items.filter(F.col("item").isNotNull() & F.col("text").isNotNull()).mapInArrow(
-        _item_words, "item string, words array<bigint>").filter(F.size("words") > 0)
-    total = words.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-int(total) // block_words))
-    for k in range(blocks):     # a block's size is bounded, so it may pass through the driver
-        part = words if blocks == 1 else words.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        yield [(r["item"], np.array(r["words"], dtype=np.int64).view(np.uint64)) for r in part.toLocalIterator()]
+    pairs = items.filter(F.col("item").isNotNull() & F.col("text").isNotNull()).mapInArrow(
+        _item_windows(window), "item string, words binary")
+    found = materialised(pairs.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
+    total = found.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // block_windows))
+    for k in range(blocks):     # windows fall into blocks by hash, also those of one long item
+        rows = found.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).toArrow()
+        owners = rows["items"].to_pylist()
+        names = sorted({i for o in owners for i in o})
+        number = {name: j for j, name in enumerate(names)}
+        words = [np.frombuffer(w, dtype=np.uint64) for w in rows["words"].to_pylist()]
+        yield Windows(names, [[number[i] for i in o] for o in owners], words, np.array([len(w) for w in words], dtype=np.int64))
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text",
                       item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                      block_words: int = BLOCK_WORDS) -> DataFrame:
+                      block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The ``keep`` columns of every row, and ``n_words, n_hit, items, contaminated``.
 
     ``items`` are the ids, as sorted strings, of items with a window in the text; ``n_hit`` counts words inside
@@ -193,16 +219,21 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str], te
                         F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("spans"),
                         F.array().cast("array<string>").alias("items"))
     schema = texts.schema
-    for items in _blocks(benchmark, item_col, item_text_col, block_words):
-        windows = Windows(items, window)
-        wanted = windows.shingles()
-        counts = {}
-        if wanted:
-            seen = texts.select("text").mapInArrow(_counter(spark.sparkContext.broadcast(wanted)), "g int, gram bigint, n bigint")
-            # one row per shingle of the block at most
-            for r in seen.groupBy("g", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
-                counts[r["g"], r["gram"] % (1 << 64)] = r["n"]
-        texts = texts.mapInArrow(_searcher(spark.sparkContext.broadcast((windows, windows.prefixes(counts)))), schema)
+    plain = texts.select("text")
+    for windows in _blocks(benchmark, item_col, item_text_col, window, block_windows):
+        table = {}
+        if windows.words:
+            keys = shingles(windows)
+            counts = {g: np.zeros(len(k), dtype=np.int64) for g, k in keys.items()}
+            wanted = shared(spark, keys)
+            # counted in the documents themselves, whatever blocks came before; a row per shingle of the block at most
+            seen = plain.mapInArrow(_counter(wanted), "g int, at bigint, n bigint").groupBy("g", "at").agg(F.sum("n").alias("n")).toArrow()
+            wanted.destroy()
+            for g in keys:
+                mine = seen.filter(pc.equal(seen["g"], g))
+                counts[g][mine["at"].to_numpy()] = mine["n"].to_numpy()
+            table = prefixes(windows, keys, counts)
+        texts = texts.mapInArrow(_searcher(shared(spark, (windows, table))), schema)
     pair = F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2))
     n_hit = F.when(F.size("spans") > 0, F.aggregate(
         F.transform(pair, lambda i: F.get("spans", i + 1) - F.get("spans", i)), F.lit(0).cast("bigint"),

@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 from lexweave.llm.batches import bounded_batches
 from lexweave.llm.components import components
 from lexweave.llm.hashed_words import NON_SPACE, runs_of, word_slices
+from lexweave.llm.shipping import received, shared
 from lexweave.session import materialised
 
 SHINGLE = 5
@@ -117,11 +118,11 @@ def _unpacked(raw: bytes, size: int) -> BitMap:
 @contextmanager
 def _broadcast(spark, value):
     """``value`` broadcast while its readers are written; afterwards no executor keeps it."""
-    shared = spark.sparkContext.broadcast(value)
+    sent = shared(spark, value)
     try:
-        yield shared
+        yield sent
     finally:
-        shared.destroy()
+        sent.destroy()
 
 
 def _bits(bitmap: BitMap, keys: np.ndarray) -> np.ndarray:
@@ -185,9 +186,9 @@ class ShingleOrder:
                 return plain[:p]
 
 
-def _counter(shared):
+def _counter(sent):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
+        order = received(sent)
         for batch in batches:
             parts = [order.counted(np.frombuffer(raw, dtype=np.uint64)) for raw in batch.column(0).to_pylist()]
             keys, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
@@ -195,9 +196,9 @@ def _counter(shared):
     return count
 
 
-def _overflow(shared):
+def _overflow(sent):
     def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
+        order = received(sent)
         for batch in batches:
             parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             parts += [order.beyond(np.frombuffer(raw, dtype=np.uint64)) for raw in batch.column(0).to_pylist()]
@@ -207,9 +208,9 @@ def _overflow(shared):
     return beyond
 
 
-def _indexer(shared):
+def _indexer(sent):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, shared_bits = shared.value
+        order, shared_bits = received(sent)
         for batch in batches:
             parts, places, sizes, lengths = [], [], [], []
             for raw in batch.column(1).to_pylist():
@@ -257,25 +258,25 @@ def inverted_lists(sets: DataFrame) -> DataFrame:
     order = ShingleOrder(*frequent_shingles(sets))
     tokens = sets.select("tokens")
     counted = "token bigint, n bigint"
-    with _broadcast(spark, order) as shared:
-        lengths = materialised(tokens.mapInArrow(_counter(shared), counted).groupBy(F.col("token").alias("key"))
+    with _broadcast(spark, order) as sent:
+        lengths = materialised(tokens.mapInArrow(_counter(sent), counted).groupBy(F.col("token").alias("key"))
                                .agg(F.sum("n").alias("n")).filter("n > 1"), "lengths")
     met = _bitmap(lengths)      # shingles met twice; the others' lists have one entry and need not be sent
     fresh = lengths.filter(F.col("n") > LONG_LIST)
     while True:     # shingles that take the place of those moved back may have long lists too
         bits = _bitmap(fresh) if order.long is None else order.long | _bitmap(fresh)
         order = ShingleOrder(order.keys, order.counts, bits)
-        with _broadcast(spark, order) as shared:
-            far = materialised(tokens.mapInArrow(_overflow(shared), counted)
+        with _broadcast(spark, order) as sent:
+            far = materialised(tokens.mapInArrow(_overflow(sent), counted)
                                .groupBy(F.col("token").alias("key")).agg(F.sum("n").alias("n")), "far")
         met = met | _bitmap(far)
         fresh = far.filter(F.col("n") > LONG_LIST)
         if fresh.count() * FEW <= far.count():      # the rest of the long lists costs pairs, not links
             break
     own = Window.partitionBy("token")
-    with _broadcast(spark, (order, met)) as shared:
+    with _broadcast(spark, (order, met)) as sent:
         entries = sets.select("name", "tokens").mapInArrow(
-            _indexer(shared), "token bigint, name bigint, n int, pos int")
+            _indexer(sent), "token bigint, name bigint, n int, pos int")
         lists = entries.select("*", F.min("name").over(own).alias("low"), F.max("name").over(own).alias("high"),
                                F.min(F.struct("pos", "n", "name")).over(own).alias("pivot"))
         lists = (lists.filter("low <> high").select("token", "name", "n", "pos", "pivot")
@@ -290,9 +291,9 @@ def parity_sketch(whole: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _picker(shared, sketches: bool):
+def _picker(sent, sketches: bool):
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits = received(sent)
         for batch in batches:
             batch = batch.filter(pa.array(_bits(bits, batch.column(0).to_numpy().view(np.uint64))))
             if not sketches:

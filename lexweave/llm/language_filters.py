@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexweave.llm.batches import bounded_batches
 from lexweave.llm.hashed_words import LOWER, mix, text_buffer, text_slices
+from lexweave.llm.shipping import received, shared
 
 GRAMS = 4000         # n-grams of a language
 SAMPLE = 4000        # training texts of a language, in expectation
@@ -163,9 +164,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return build_filter(languages, [np.array(sorted(sets[k]), dtype=np.uint32) for k in languages], default)
 
 
-def _predictor(shared):
+def _predictor(trained):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = received(trained)
         for batch in batches:
             names = batch.schema.names
             hits = np.zeros((batch.num_rows, len(model.languages)), dtype=np.int64)
@@ -182,13 +183,14 @@ def _predictor(shared):
             columns = [batch.column(i) for i in range(batch.num_columns)]
             columns[names.index("lang_pred")] = pa.array(lang.tolist(), pa.string())
             columns[names.index("score")] = pa.array(np.where(known, score, 0.0))
+            columns[names.index("n_grams")] = pa.array(total)
             keep = [i for i, n in enumerate(names) if n not in ("text", "letters")]
             yield pa.RecordBatch.from_arrays([columns[i] for i in keep], [names[i] for i in keep])
     return predict
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns of every row, and ``lang_pred, score``.
+    """The ``keep`` columns of every row, and ``lang_pred, score, n_grams`` (of the text).
 
     Only the text is an input of the prediction.  A text that is null or has no letters is ``und`` with score 0;
     so is every text if the model has no languages.  A text with letters but no n-gram gets the language of most
@@ -199,8 +201,8 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: s
     text = F.col(text_col).cast("string")
     rows = docs.select(F.struct(*keep).alias("kept"), text.alias("text"),
                        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"),
-                       F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+                       F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("n_grams"))
     if model.languages:
         schema = rows.drop("text", "letters").schema
-        rows = rows.mapInArrow(_predictor(spark.sparkContext.broadcast(model)), schema)
-    return rows.select("kept.*", "lang_pred", "score")
+        rows = rows.mapInArrow(_predictor(shared(spark, model)), schema)
+    return rows.select("kept.*", "lang_pred", "score", "n_grams")

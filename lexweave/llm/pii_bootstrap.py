@@ -1,9 +1,10 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts (DataFrame functions only).
 
-Base spans are the seeds.  Every seed, and every other token with digits, is a mention; the words before and
-after it form its lexical pattern.  The graph of distinct patterns and distinct values is scored in rounds: a
-pattern's confidence is the mean score of its values, an unlabelled value's score the best confidence among its
-well supported patterns.  Mentions in patterns of high confidence are reported as kind ``id``.
+Base spans are the seeds.  Every seed, and every other token with digits, is a mention.  The nearest word before it,
+the nearest word after it, and both together are its lexical patterns; punctuation and digits between are passed
+over.  The graph of distinct patterns and distinct values is scored in rounds: a pattern's confidence is the mean
+score of its values, an unlabelled value's score the best confidence among its well supported patterns.  Mentions
+with a pattern of high confidence are reported as kind ``id``.
 """
 
 from __future__ import annotations
@@ -57,18 +58,26 @@ _VALID = {
 }
 
 
-def _word(side: Column, pattern: str) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_extract(side, pattern, 1)), r"[^\p{L}]+", "")
+def _patterns(m: Column) -> Column:
+    """``left|``, ``|right`` and ``left|right`` of the mention, as far as there are words."""
+    left = F.lower(F.regexp_extract(m["left"], r"(\p{L}++)[^\p{L}]*+$", 1))
+    right = F.lower(F.regexp_extract(m["right"], r"^[^\p{L}]*+(\p{L}++)", 1))
+    bar = F.lit("|")
+    return F.filter(F.array(F.when(left != "", F.concat(left, bar)), F.when(right != "", F.concat(bar, right)),
+                            F.when((left != "") & (right != ""), F.concat(left, bar, right))), lambda p: p.isNotNull())
 
 
-def _pattern(m: Column) -> Column:
-    """Word before and word after the mention; an empty side stays empty."""
-    return F.concat(_word(m["left"], rf"([^{SPACE}]+)[{SPACE}]*$"), F.lit("|"),
-                    _word(m["right"], rf"^[{SPACE}]*([^{SPACE}]+)"))
+def _bare(m: Column) -> Column:
+    """The match without what is neither letter nor digit at its ends."""
+    lead = F.length(m["body"]) - F.length(F.regexp_replace(m["body"], r"^[^\p{L}0-9]+", ""))
+    core = F.regexp_replace(m["body"], r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
+    start = (m["start"] + lead).cast("int")
+    return F.struct(start.alias("start"), (start + F.length(core)).cast("int").alias("end"), core.alias("body"),
+                    m["left"].alias("left"), m["right"].alias("right"))
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row, doc_id``, the valid base matches per kind, and ``mentions`` (start, end, value, pattern, seed)."""
+    """``row, doc_id``, the valid base matches per kind, and ``mentions`` (start, end, value, patterns, seed)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
                        whole_text(text_col).alias("text"))
     rows = with_matches(rows, "text", {**BASE, "token": TOKEN}).drop("text")
@@ -81,18 +90,17 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def mention(seed: bool):
         return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.sha2(m["body"], 256).alias("value"),
-                                  _pattern(m).alias("pattern"), F.lit(seed).alias("seed"))
+                                  _patterns(m).alias("patterns"), F.lit(seed).alias("seed"))
 
     spans = [F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k) for k in BASE]
     return rows.select("row", "doc_id", *spans, F.concat(
-        F.transform(seeds, mention(True)), F.transform(F.filter("token", free), mention(False))).alias("mentions"))
+        F.transform(seeds, mention(True)), F.transform(F.transform(F.filter("token", free), _bare), mention(False))).alias("mentions"))
 
 
 def score_patterns(mentions: DataFrame, rounds: int = ROUNDS, least_support: float = LEAST_SUPPORT) -> DataFrame:
     """``pattern, confidence, support`` from ``pattern, value, seed``, after ``rounds`` passes over the graph."""
-    whole = F.col("pattern").rlike(r"^[^|]+\|[^|]+$")     # a pattern needs a word on either side
     # equal edges are merged before anything is joined, so copies of a document count once
-    edges = materialised(mentions.filter(whole).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
+    edges = materialised(mentions.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
     # a value that is a seed anywhere is a seed everywhere
     scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
     labels = materialised(scores, "seeds")
@@ -116,7 +124,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     without mentions finds no identifiers.  Only the id and text columns are read.
     """
     rows = materialised(base_spans(docs, id_col, text_col), "mentions")
-    mentions = rows.select("row", F.inline("mentions"))
+    mentions = rows.select("row", F.inline("mentions")).withColumn("pattern", F.explode("patterns")).drop("patterns")
     sure = (score_patterns(mentions, rounds, least_support)
             .filter((F.col("confidence") >= least_confidence) & (F.col("support") >= least_support)).select("pattern"))
     found = (mentions.filter(~F.col("seed")).join(sure, "pattern", "left_semi")

@@ -8,9 +8,7 @@ summaries: the open tail before a block is a running sum that starts anew at eac
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,83 +16,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexweave.llm.batches import bounded_batches
+from lexweave.llm.token_ids import Encoder, public_vocabulary, shared_vocabulary
+from lexweave.session import materialised
 
 SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 16
-PIECE = 1 << 20          # characters tokenised at a time
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: how the public vocabulary's training text was split into words.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def encode(text: str, path: str = VOCABULARY) -> Iterator[np.ndarray]:
-    """Ids of a text; a long one is cut where a space follows a letter, where no token can cross."""
-    encoding, at = _encoder(path), 0
-    while at < len(text):
-        end = at + PIECE
-        while end < len(text) and not (text[end] == " " and text[end - 1].isalpha()):
-            end += 1
-        yield np.array(encoding.encode_ordinary(text[at:end]), dtype=np.uint16)
-        at = end
-
-
-def _flattener(path: str, block: int):
+def _flattener(vocabulary, block: int, separator: int):
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(vocabulary.value)
         stream, number = TaskContext.get().partitionId(), 0
-        parts: list[np.ndarray] = []
-        held, ids = 0, []
+        room, held, ids = np.empty(block, dtype=np.uint16), 0, []       # the block being filled
 
-        def cut(tokens, closed):
+        def cut():
             return pa.RecordBatch.from_arrays(
-                [pa.array([stream], pa.int64()), pa.array([number], pa.int64()), pa.array([tokens.tobytes()], pa.binary()),
-                 pa.array([closed], pa.list_(pa.int64()))], ["stream", "block", "payload", "ids"])
+                [pa.array([stream], pa.int64()), pa.array([number], pa.int64()), pa.array([room[:held].tobytes()], pa.binary()),
+                 pa.array([ids], pa.list_(pa.int64()))], ["stream", "block", "payload", "ids"])
 
-        end = np.array([SEPARATOR], dtype=np.uint16)
+        end = np.array([separator], dtype=np.uint16)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for tokens, closes in [*((t, False) for t in encode(text or "", path)), (end, True)]:
-                    parts.append(tokens)
-                    held += len(tokens)
-                    if closes and held <= block:
-                        ids.append(doc_id)
-                    while held >= block:
-                        flat = np.concatenate(parts)
-                        late = closes and held > block      # the separator itself lies in the next block
-                        yield cut(flat[:block], ids)
-                        number, parts, held = number + 1, [flat[block:]], held - block
-                        ids = [doc_id] if late and held <= block else []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for tokens, closes in [*((t, False) for t in encoder.pieces(text.as_py() or "")), (end, True)]:
+                    at = 0
+                    while at < len(tokens):
+                        n = min(block - held, len(tokens) - at)
+                        room[held:held + n] = tokens[at:at + n]
+                        held, at = held + n, at + n
+                        if closes:
+                            ids.append(doc_id)
+                        if held == block:
+                            yield cut()
+                            number, held, ids = number + 1, 0, []
         if held:
-            yield cut(np.concatenate(parts), ids)
+            yield cut()
     return flatten
 
 
-def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
-                 block: int = BLOCK_TOKENS) -> DataFrame:
+def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
+                 block: int = BLOCK_TOKENS, separator: int = SEPARATOR) -> DataFrame:
     """``stream, block, payload, ids``: documents as flat streams, one per task; ``ids`` name the documents that end
-    in a block and serve only to label the scan's result."""
+    in a block and serve only to label the scan's result.  Ids are 16 bits wide."""
     bounded_batches(docs.sparkSession)
+    shared = shared_vocabulary(docs.sparkSession, vocabulary or public_vocabulary())
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(
-        _flattener(vocabulary, block), "stream bigint, block bigint, payload binary, ids array<bigint>")
+        _flattener(shared, block, separator), "stream bigint, block bigint, payload binary, ids array<bigint>")
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of flat files of 16-bit ids: a folder is a stream, its files in order of name are the blocks."""
+def _cutter(block: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stream, number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                data = payload.as_buffer()
+                for k, at in enumerate(range(0, len(data) // 2 * 2, 2 * block)):
+                    part = data[at:min(at + 2 * block, len(data) // 2 * 2)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([stream], pa.int64()), pa.array([(number << 20) + k], pa.int64()),
+                         pa.array([part.to_pybytes()], pa.binary()), pa.array([None], pa.list_(pa.int64()))],
+                        ["stream", "block", "payload", "ids"])
+    return cut
+
+
+def read_blocks(spark: SparkSession, path: str, block: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of flat files of 16-bit ids: a folder is a stream, its files follow each other in order of name.
+
+    A file is cut into blocks of ``block`` ids; a last byte without a partner is no id and is left out.  A file may
+    be as large as Spark reads into one row (2 GiB); longer streams are several files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     folder = F.regexp_extract("path", "^(.*)/", 1)
     number = F.row_number().over(Window.partitionBy(folder).orderBy("path")) - 1
     # number the names first, so that contents are not sorted
-    names = files.select("path", F.xxhash64(folder).alias("stream"), number.cast("bigint").alias("block"))
-    return files.select("path", F.col("content").alias("payload")).join(names, "path").select(
-        "stream", "block", "payload", F.lit(None).cast("array<bigint>").alias("ids"))
+    names = files.select("path", F.xxhash64(folder).alias("stream"), number.cast("bigint").alias("number"))
+    return files.select("path", "content").join(names, "path").select("stream", "number", "content").mapInArrow(
+        _cutter(block), "stream bigint, block bigint, payload binary, ids array<bigint>")
 
 
 def _scanner(separator: int):
@@ -123,9 +118,10 @@ def count_documents(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     was not closed; it comes last, without an id.  ``doc_id`` is null where the blocks carry no ids.  A stream's
     summaries (not its tokens) are ordered in one task; a stream is what one task or one folder holds.
     """
-    found = blocks.select("stream", "block", "payload", "ids").mapInArrow(
+    # the summaries are read twice, for closed documents and for what is left open
+    found = materialised(blocks.select("stream", "block", "payload", "ids").mapInArrow(
         _scanner(separator),
-        "stream bigint, block bigint, ids array<bigint>, head bigint, inner array<bigint>, tail bigint, n bigint")
+        "stream bigint, block bigint, ids array<bigint>, head bigint, inner array<bigint>, tail bigint, n bigint"), "blocks")
     order = Window.partitionBy("stream").orderBy("block")
     opened = found.withColumn("segment", F.sum((F.col("n") > 0).cast("int")).over(order))
     grown = opened.withColumn("open", F.sum("tail").over(Window.partitionBy("stream", "segment").orderBy("block")))

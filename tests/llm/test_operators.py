@@ -18,6 +18,7 @@ from lexweave.llm.components import components
 from lexweave.llm.hashed_words import NON_SPACE, word_slices
 from lexweave.llm.queries import LLM_QUERIES, LLM_SQL
 from lexweave.llm.spans import joined
+from lexweave.llm.token_ids import Encoder, public_vocabulary
 
 # extra columns have names that operators use inside
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, row string, "
@@ -134,6 +135,33 @@ def test_contexts_find_unseen_identifiers(spark):
     assert rows[10]["id"] == []
 
 
+def test_contexts_on_one_side_and_beside_punctuation(spark):
+    texts = [f"my account: <10.0.0.{i}>, {w} it" for i, w in enumerate("abcdefghij")]
+    texts += ["new account: (ZK/7719-2).", "account", "77123-9 stands alone", "so account ; no 12345 here"]
+    rows = {r["doc_id"]: r for r in pii_bootstrap.find_pii(table(spark, texts)).collect()}
+    assert [texts[10][s["start"]:s["end"]] for s in rows[10]["id"]] == ["ZK/7719-2"]
+    assert all(rows[i]["id"] == [] for i in (11, 12, 13))
+
+
+def test_pattern_scores_equal_a_plain_version(spark):
+    draw = random.Random(4)
+    edges = [(f"p{draw.randrange(12)}", f"v{draw.randrange(60)}", draw.random() < 0.5) for _ in range(400)]
+    got = {r["pattern"]: (r["confidence"], r["support"]) for r in pii_bootstrap.score_patterns(
+        spark.createDataFrame(edges, "pattern string, value string, seed boolean"), 3, 4.0).collect()}
+    values, labels = defaultdict(set), defaultdict(float)
+    for p, v, seed in edges:
+        values[p].add(v)
+        labels[v] = max(labels[v], float(seed))
+    scores = dict(labels)
+    for turn in range(3):
+        plain = {p: (sum(scores[v] for v in vs) / len(vs), sum(scores[v] for v in vs)) for p, vs in values.items()}
+        if turn < 2:
+            scores = {v: max([labels[v], *[c for p, (c, n) in plain.items() if n >= 4.0 and v in values[p]]]) for v in labels}
+    assert got.keys() == plain.keys()
+    for p in plain:
+        assert got[p] == pytest.approx(plain[p])
+
+
 # --- op2 ------------------------------------------------------------------------------------
 
 def test_exact_duplicates(spark):
@@ -274,20 +302,84 @@ def test_mixture_of_odd_rows(spark):
     assert len(rows) == len(texts) and all(0 <= r["probability"] <= 1 for r in rows)
     assert all(r["tokens"] == len((texts[r["doc_id"]] or "").split()) for r in rows)
     assert {r["doc_id"]: r["sampled"] for r in rows} == {r["doc_id"]: r["sampled"] for r in mixing.mix(docs, ["doc_id"]).collect()}
-    whole = [r for r in rows if r["probability"] == 1.0]
-    assert whole and all(r["sampled"] for r in whole)
+    largest = max(r["rate"] for r in rows)
+    for r in rows:
+        assert r["probability"] == pytest.approx(r["rate"] / largest) and r["copies"] == int(r["sampled"])
+        assert r["sampled"] or r["rate"] < largest
+
+
+def mixture_of(spark, n, **options):
+    """Documents of four vocabularies, languages and sources in uneven shares, mixed."""
+    draw = random.Random(n)
+    kinds = [draw.choices(range(4), (40, 30, 20, 10))[0] for _ in range(n)]
+    texts = [" ".join(f"{'abcd'[k]}{draw.randrange(40)}" for _ in range(draw.randrange(5, 60))) for k in kinds]
+    langs = [draw.choices(["en", "de", "fr"], (6, 3, 1))[0] for _ in kinds]
+    sources = [draw.choices(["web", "books", None], (7, 2, 1))[0] for _ in kinds]
+    docs = table(spark, texts, langs=langs, sources=sources)
+    return texts, langs, sources, kinds, {r["doc_id"]: r for r in mixing.mix(docs, ["doc_id"], **options).collect()}
+
+
+@pytest.mark.parametrize("scale", [None, 3.0])
+def test_sample_has_the_target_marginals(spark, scale):
+    texts, langs, sources, kinds, rows = mixture_of(spark, 4000, topics=4, scale=scale)
+    topics = {i: r["topic"] for i, r in rows.items()}
+    assert len(set(topics.values())) == 4
+    for name, values in (("source", sources), ("language", langs), ("topic", [topics[i] for i in range(len(texts))])):
+        tokens, expected, taken = Counter(), Counter(), Counter()
+        for i, v in enumerate(values):
+            n = len(texts[i].split())
+            factor = scale if scale else 1 / max(r["rate"] for r in rows.values())
+            tokens[v] += n
+            expected[v] += n * rows[i]["rate"] * factor
+            taken[v] += n * rows[i]["copies"]
+        raw = {v: tokens[v] ** mixing.POWERS[name] for v in tokens}
+        for v in tokens:
+            target = raw[v] / sum(raw.values())
+            assert expected[v] / sum(expected.values()) == pytest.approx(target, rel=0.011)      # TOLERANCE of raking
+            assert taken[v] / sum(taken.values()) == pytest.approx(target, rel=0.12)             # and chance
+    if scale == 3.0:
+        assert max(r["copies"] for r in rows.values()) > 1
+
+
+def test_topics_equal_a_plain_clustering(spark):
+    texts, *_, rows = mixture_of(spark, 400, topics=3)
+    import pyarrow as pa
+    counts = np.zeros((len(texts), mixing.GROUPS))
+    for i, t in enumerate(texts):
+        hashes = np.concatenate([h for _, _, h in word_slices(pa.array([t]), NON_SPACE)])
+        counts[i] = np.bincount((hashes >> np.uint64(40)) % np.uint64(mixing.GROUPS), minlength=mixing.GROUPS)
+    shares = counts.sum(axis=0) / counts.sum()
+    points = np.sqrt(counts / counts.sum(axis=1, keepdims=True)) - np.sqrt(shares)
+    groups = spark.createDataFrame([(c.astype(int).tolist(),) for c in counts], "groups array<int>")
+    centres, got = mixing.topic_centres(groups, 3, mixing.TOPIC_ROUNDS)
+    assert np.allclose(got, shares)
+    order = [r["groups"] for r in groups.orderBy(F.xxhash64("groups")).collect()]
+    where = {tuple(c.astype(int)): p for c, p in zip(counts, points)}
+    plain = mixing.first_centres(np.array([where[tuple(g)] for g in order]), 3)
+    for _ in range(mixing.TOPIC_ROUNDS):
+        which = ((points[:, None] - plain[None]) ** 2).sum(axis=2).argmin(axis=1)
+        plain = np.array([points[which == k].mean(axis=0) if (which == k).any() else plain[k] for k in range(len(plain))])
+    assert np.allclose(centres, plain)
+    which = ((points[:, None] - plain[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert {i: r["topic"] for i, r in rows.items()} == {i: str(k) for i, k in enumerate(which)}
+
+
+def test_copies_are_repeated(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 1), (3, 3)], "doc_id bigint, copies bigint")
+    assert sorted(r[0] for r in mixing.whole_copies(rows, ["doc_id"]).collect()) == [2, 3, 3, 3]
 
 
 # --- op6 ------------------------------------------------------------------------------------
 
 def test_separator_scan_round_trip(spark):
     texts = [*ODD[:-1], "x" * 400, "", "", LONG[:30_000], *[f"text number {i}" for i in range(40)]]
-    encoder = separator_scan._encoder(separator_scan.VOCABULARY)
-    for block in (1, 2, 7, 1 << 16):
+    with open(public_vocabulary(), encoding="utf-8") as f:
+        encoder = Encoder(f.read())
+    for block in (1, 2, 7, 1 << 16):       # also a text over very many blocks
         blocks = separator_scan.token_blocks(table(spark, texts), block=block)
         rows = separator_scan.count_documents(blocks).collect()
         assert {r["doc_id"]: r["n_tokens"] for r in rows} == {
-            i: len(encoder.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+            i: len(encoder.ids(t or "")) for i, t in enumerate(texts)}
         assert len(rows) == len(texts)
 
 
@@ -296,8 +388,11 @@ def test_flat_files_with_an_open_end(spark, tmp_path):
     for k, part in enumerate((stream[:2], stream[2:5], stream[5:7], stream[7:])):
         (tmp_path / "a").mkdir(exist_ok=True)
         (tmp_path / "a" / f"part-{k}").write_bytes(part.tobytes())
-    rows = separator_scan.count_documents(separator_scan.read_blocks(spark, str(tmp_path))).collect()
-    assert sorted((r["ordinal"], r["n_tokens"]) for r in rows) == [(0, 2), (1, 0), (2, 4), (3, 1)]
+    with open(tmp_path / "a" / "part-3", "ab") as f:
+        f.write(b"x")       # half an id
+    for block in (1, 2, 1 << 16):      # files are cut into blocks
+        rows = separator_scan.count_documents(separator_scan.read_blocks(spark, str(tmp_path), block)).collect()
+        assert sorted((r["ordinal"], r["n_tokens"]) for r in rows) == [(0, 2), (1, 0), (2, 4), (3, 1)]
 
 
 # --- op7 ------------------------------------------------------------------------------------
@@ -328,8 +423,8 @@ def test_contamination_matches_plain_version(spark):
             n = min(13, len(w))
             for a in range(len(w) - n + 1):
                 windows[tuple(w[a:a + n])].add(str(i))
-    for block_words in (10 ** 6, 40):       # one block, and several
-        rows = decontaminate.mark_contaminated(table(spark, texts), bench, ["doc_id", "kept"], block_words=block_words).collect()
+    for block_windows in (10 ** 6, 20):       # one block, and several
+        rows = decontaminate.mark_contaminated(table(spark, texts), bench, ["doc_id", "kept"], block_windows=block_windows).collect()
         assert len(rows) == len(texts)
         for r in rows:
             w, hit, found = alphanumeric(texts[r["doc_id"]]), set(), set()
@@ -473,5 +568,5 @@ def test_empty_tables(spark):
 
 
 def test_queries_are_registered():
-    assert [sum(n.startswith(f"op{k}_") for n in LLM_QUERIES) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in LLM_QUERIES) for k in range(1, 14)] == [1] * 13
     assert set(LLM_SQL) <= set(LLM_QUERIES)

@@ -36,8 +36,19 @@ def test_stages_filter_and_keep_columns(spark, tmp_path):
 
 
 def test_near_duplicates_keep_one_of_repeated_rows(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1),
-                                  (2, "a b c d e f", "en", "s", 1), (3, "", "en", "s", 0), (4, None, "en", "s", 0)],
+    same = "a b c d e f"
+    docs = spark.createDataFrame([(1, same, "en", "s", 1), (1, same, "en", "s", 1), (1, "quite another text", "en", "s", 1),
+                                  (2, same, "en", "s", 1), (3, "", "en", "s", 0), (4, None, "en", "s", 0), (4, None, "en", "s", 0),
+                                  (None, same, "en", "s", 1), (None, "without id", "en", "s", 1), (None, "without id", "en", "s", 1)],
                                  "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [
+        ("1", same), ("1", "quite another text"), ("3", ""), ("4", "None"), ("None", "without id")]
+
+
+def test_short_clean_texts_keep_their_language_stage(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    short = spark.createDataFrame([(900001, "A.", "en", "s", 2), (900002, "Oui", "fr", "s", 3), (900003, "9 9", "en", "s", 3)], docs.schema)
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(short), FOLDER).filter("doc_id > 900000")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [900001, 900002]
