@@ -12,6 +12,7 @@ from lexweave.llm import decontaminate, jaccard_join, language_filters, minimax_
 from lexweave.session import scratch_path
 
 LEAST_LANGUAGE_SCORE = 0.2      # corrected share of a text's n-grams known in its best language
+LEAST_GRAMS = 50                # n-grams from which that share is regarded
 SHARDS = 24
 
 
@@ -21,21 +22,30 @@ def _wrapped(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those undetermined (null or without letters) or in no known language go."""
+    """Documents with a language: those undetermined (null or without letters) go, and those of some length in no
+    known language.  A short text has too few n-grams to be judged and stays."""
     named = language_filters.identify(_wrapped(docs), language_filters.train(docs), ["doc"])
-    return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc.*")
+    foreign = (F.col("n_grams") >= LEAST_GRAMS) & (F.col("score") < LEAST_LANGUAGE_SCORE)
+    return named.filter((F.col("lang_pred") != "und") & ~foreign).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; of rows repeated under that id one stays.
+    """One document of each group of near duplicates stays: that of the smallest id, rows without an id last.
 
-    Rows without an id cannot be named by a group and stay.
+    Rows with one id and different texts are documents of their own; of rows equal in both one stays.  A document
+    without words is in no group.
     """
-    groups = jaccard_join.jaccard_components(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    staying = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("__one", one).filter("__one = 1").drop("__one")
-    return staying.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    # the hash tells texts under one id apart and is null only for a null text
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                   F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("hash"))
+    groups = jaccard_join.jaccard_components(docs.select(key.alias("doc_id"), "text"))
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__hash")).distinct()
+    rows = docs.withColumn("__hash", key["hash"]).withColumn("__id", F.col("doc_id"))
+    one = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__hash"))
+    same = rows["__id"].eqNullSafe(kept["__id"]) & rows["__hash"].eqNullSafe(kept["__hash"])
+    return (rows.join(kept.hint("merge"), same, "left_semi").withColumn("__one", one).filter("__one = 1")
+            .select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +56,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens follow the target shares of source, language and topic."""
-    return mixing.mix(_wrapped(docs), ["doc"]).filter("sampled").select("doc.*")
+    """A sample whose tokens follow the target shares of source, language and topic; no document comes twice."""
+    mixed = mixing.mix(docs.withColumnsRenamed({c: f"doc_{c}" for c in docs.columns}), [f"doc_{c}" for c in docs.columns],
+                       "doc_doc_id", "doc_text", "doc_source", "doc_lang")
+    return mixed.filter("sampled").select(*[F.col(f"doc_{c}").alias(c) for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
