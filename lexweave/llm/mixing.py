@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexweave.llm.batches import bounded_batches
@@ -131,38 +132,78 @@ def tempered(cells: DataFrame, powers: dict[str, float]) -> dict[str, DataFrame]
     out = {}
     for name, power in powers.items():
         raw = cells.groupBy(name).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("raw"))
-        out[name] = raw.crossJoin(raw.agg(F.sum("raw").alias("whole"))).select(   # one row of totals
-            name, (F.col("raw") / F.col("whole")).alias("target"))
+        whole = raw.agg(F.sum("raw")).first()[0] or 1.0
+        out[name] = raw.select(name, (F.col("raw") / F.lit(whole)).alias("target"))
     return out
 
 
+def _weights(batch: pa.RecordBatch, values: dict[str, pa.Array], factors: dict[str, np.ndarray]):
+    """Weights of the cells under the factors, and the number of each cell's value in each marginal (-1: none)."""
+    weight = batch.column(batch.schema.names.index("tokens")).to_numpy().astype(np.float64)
+    places = {}
+    for name, known in values.items():
+        column = batch.column(batch.schema.names.index(name)).cast(pa.string())
+        places[name] = pc.fill_null(pc.index_in(column, known), -1).to_numpy()
+        weight = weight * np.append(factors[name], 0.0)[places[name]]
+    return weight, places
+
+
+def _marginal_sums(values: dict[str, pa.Array], factors: dict[str, np.ndarray], wanted: list[str]):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {name: np.zeros(len(values[name]) + 1) for name in wanted}
+        for batch in batches:
+            weight, places = _weights(batch, values, factors)
+            for name in wanted:
+                sums[name] += np.bincount(places[name] + 1, weights=weight, minlength=len(sums[name]))
+        for name in wanted:
+            seen = np.flatnonzero(sums[name][1:])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen),
+                                              pa.array(sums[name][1:][seen])], ["marginal", "place", "sum"])
+    return add
+
+
+def _weighted(values: dict[str, pa.Array], factors: dict[str, np.ndarray]):
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, names = [batch.column(i) for i in range(batch.num_columns)], batch.schema.names
+            columns[names.index("weight")] = pa.array(_weights(batch, values, factors)[0])
+            yield pa.RecordBatch.from_arrays(columns, names)
+    return weigh
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (marginal columns, ``tokens`` > 0) with raked ``weight`` that sums to about one.
 
-    A value without a target, or with target 0, has weight 0.  If targets contradict each other the last round's
-    weights are returned: they meet the last marginal exactly.
+    A cell's weight is its tokens times one factor for each of its marginal values.  Cells stay distributed: a step
+    sums their weights by the values of a marginal and sets its factors anew.  Only the factors, a number for each
+    value of a marginal, pass through the driver.  A value without a target, or with target 0, has weight 0.  If
+    targets contradict each other the last round's weights are returned: they meet the last marginal exactly.
     """
-    targets = {name: materialised(t.filter("target > 0"), "target") for name, t in targets.items()}
+    values, goals, factors = {}, {}, {}
     for name, target in targets.items():
-        cells = cells.join(target.select(name), name, "left")
-    now = materialised(cells.withColumn("weight", F.col("tokens").cast("double")), "raked")
-    for turn in range(rounds):
-        for name, target in targets.items():
-            sums = now.groupBy(name).agg(F.sum("weight").alias("sum"))
-            # target and sum together: one small row per value
-            factors = sums.join(target, name, "left").select(
-                name, F.when(F.col("sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("sum")).otherwise(F.lit(0.0)).alias("factor"))
-            now = now.join(factors, name).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        now = materialised(now, "raked")
-        # the last marginal is met; earlier ones may have been moved
-        gaps = None
-        for name, target in list(targets.items())[:-1]:
-            gap = now.groupBy(name).agg(F.sum("weight").alias("sum")).join(target, name).select(
-                F.abs(F.col("sum") / F.col("target") - 1).alias("gap"))
-            gaps = gap if gaps is None else gaps.unionByName(gap)
-        if gaps is None or (gaps.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+        rows = target.filter("target > 0").select(F.col(name).cast("string").alias("value"), "target").toArrow()
+        values[name] = rows["value"].combine_chunks()
+        goals[name] = rows["target"].to_numpy()
+        factors[name] = np.ones(len(goals[name]))
+
+    def summed(wanted: list[str]) -> dict[str, np.ndarray]:
+        parts = cells.select(*values, "tokens").mapInArrow(
+            _marginal_sums(values, factors, wanted), "marginal string, place bigint, sum double")
+        out = {name: np.zeros(len(goals[name])) for name in wanted}
+        for r in parts.groupBy("marginal", "place").agg(F.sum("sum").alias("sum")).collect():
+            out[r["marginal"]][r["place"]] = r["sum"]
+        return out
+
+    for turn in range(rounds + 1):
+        sums = summed(list(targets))
+        # values that no cell has cannot be met
+        if turn == rounds or turn and all(np.abs(s[s > 0] / goals[name][s > 0] - 1).max(initial=0) <= tolerance for name, s in sums.items()):
             break
-    return now
+        for k, name in enumerate(targets):
+            s = sums[name] if k == 0 else summed([name])[name]
+            factors[name] = np.where(s > 0, factors[name] * goals[name] / np.where(s > 0, s, 1), 0.0)
+    weighed = cells.withColumn("weight", F.lit(0.0))
+    return weighed.mapInArrow(_weighted(values, factors), weighed.schema)
 
 
 def mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -193,7 +234,7 @@ def mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str
     cells = materialised(small.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("tokens"))
                          .filter("tokens > 0"), "cells")
     whole = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] or 1
-    raked = rake(cells, tempered(cells, powers))
+    raked = materialised(rake(cells, tempered(cells, powers)), "raked")
     rates = raked.select("source", "language", "topic", (F.col("weight") / F.col("tokens") * whole).alias("rate"))
     largest = rates.agg(F.max("rate")).first()[0] or 1.0
     factor = F.lit(1 / largest if scale is None else float(scale))
