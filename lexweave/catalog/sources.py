@@ -129,6 +129,65 @@ def annotated_document_tree(spark, folder):
         F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
 
 
+@query("S4", f"""WITH {B.GOLD}, placed AS (SELECT source AS genre, surface, lemma, slot, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) - 1 AS place FROM gold),
+cells AS (SELECT genre, surface, lemma, slot, count(*) AS n, sum(place)::BIGINT AS pos_sum FROM placed GROUP BY ALL)
+SELECT cells.*, total AS tags, 0::BIGINT AS missing FROM cells JOIN (SELECT genre, sum(n)::BIGINT AS total FROM cells GROUP BY genre) USING (genre)""")
+def annotated_words_at_any_depth(spark, folder):
+    """Words in a sentence, right in a paragraph, and in a line of verse, in turn; a genre is one file."""
+    path = scratch_path(spark, "any-depth")
+
+    def word(w: Column, i: Column) -> Column:
+        xml = F.concat(F.lit('<w><ana lex="'), B.lemma_of(w), F.lit('" gr="'), _slot(w), F.lit('"/>'), w, F.lit("</w>"))
+        return (F.when(i % 3 == 0, F.concat(F.lit("<p><se>"), xml, F.lit("</se></p>")))
+                .when(i % 3 == 1, F.concat(F.lit("<p>"), xml, F.lit("</p>")))
+                .otherwise(F.concat(F.lit("<poem><verse><line>"), xml, F.lit("</line></verse></poem>"))))
+
+    docs = _word_arrays(spark, folder)
+    rows = docs.select("source", F.lit(1).alias("part"), "doc_id", F.array_join(F.transform("words", word), "").alias("value"))
+    sources = docs.select("source").distinct()
+    for part, line in ((0, "<html><body>"), (2, "</body></html>")):
+        rows = rows.unionByName(sources.select("source", F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("doc_id"), F.lit(line).alias("value")))
+    (rows.repartition("source").sortWithinPartitions("source", "part", "doc_id").select(F.col("source").alias("genre"), "value")
+     .write.partitionBy("genre").text(path))
+    good, rejected = annotated.read_rnc(spark, path, encoding="UTF-8")
+    cells = good.groupBy("genre", "doc_id", "surface", "lemma", "slot").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
+    # one row per file
+    checked = annotated.rnc_word_counts(spark, path, good, rejected).select("genre", "doc_id", "tags", "missing")
+    return cells.join(checked, ["genre", "doc_id"]).drop("doc_id").withColumn("genre", F.replace("genre", F.lit("genre="), F.lit("")))
+
+
+@query("S5", f"""WITH {B.TOK}, total AS (SELECT count(*) AS n FROM tok)
+SELECT (doc_id + 1)::VARCHAR AS doc_id, count(*) AS tokens, sum(pos * length(token))::BIGINT AS pos_check, any_value(total.n) AS tags, 0::BIGINT AS missing
+FROM tok, total GROUP BY 1""")
+def annotated_nested_texts(spark, folder):
+    """Four texts within the paragraphs of a fifth, which goes on behind them."""
+    path = scratch_path(spark, "nested-texts")
+
+    def tokens(words: Column) -> Column:
+        return F.array_join(F.transform(words, lambda w: F.concat(
+            F.lit('<sentence><tokens><token text="'), w, F.lit('"><tfr><v><l t="'), F.lower(w), F.lit('"/></v></tfr></token></tokens></sentence>'))), "")
+
+    half = F.floor(F.size("words") / 2).cast("int")
+    ident = (F.col("doc_id") + 1).alias("id")
+    docs = _word_arrays(spark, folder).select(
+        F.floor(F.col("doc_id") / 5).alias("g"), ident, tokens(F.slice("words", F.lit(1), half)).alias("first"),
+        tokens(F.slice("words", half + 1, F.size("words") - half)).alias("second"))
+    group = docs.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("id", "first", "second"))).alias("texts"))  # five texts
+    outer = F.get("texts", F.lit(0))
+
+    def inner(t: Column) -> Column:
+        return F.concat(F.lit('<text id="'), t["id"], F.lit('" parent="'), outer["id"], F.lit('" name="in"><paragraphs>'),
+                        t["first"], t["second"], F.lit("</paragraphs></text>"))
+
+    xml = F.concat(F.lit('<text id="'), outer["id"], F.lit('" parent="0" name="out"><paragraphs><paragraph>'), outer["first"],
+                   F.array_join(F.transform(F.slice("texts", 2, 10), inner), ""), outer["second"], F.lit("</paragraph></paragraphs></text>"))
+    group.select(xml.alias("value")).write.text(path)
+    rows = annotated.opencorpora_tokens(spark, path).groupBy("doc_id").agg(
+        F.count("*").alias("tokens"), F.sum(F.col("pos") * F.length("t._text")).alias("pos_check"))
+    checked = annotated.opencorpora_token_counts(spark, path).select("tags", "missing")
+    return rows.crossJoin(F.broadcast(checked))  # one row
+
+
 @query("S6,J14,P16,P17", f"""WITH {B.TOK} SELECT doc_id::VARCHAR AS doc_id, count(*) AS tokens, sum(pos)::BIGINT AS pos_sum,
 sum((pos % 7) * length(token))::BIGINT AS pos_check, count(DISTINCT CASE WHEN length(token) % 5 = 0 THEN token ELSE substr(lower(token), 1, 5) END) AS lemmas,
 count(DISTINCT concat('N,', lang, ',', right(token, 1))) AS slots FROM tok GROUP BY doc_id""")

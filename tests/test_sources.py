@@ -183,3 +183,40 @@ def test_materialised_tables_live_in_the_scratch_folder(spark):
     table = materialised(spark.range(5), "five")
     assert table.count() == 5
     assert table.inputFiles()[0].replace("file://", "").startswith(scratch_root(spark).replace("file://", ""))
+
+
+def test_words_at_any_depth_in_order_and_counted(spark, tmp_path):
+    folder = tmp_path / "verse"
+    folder.mkdir()
+    (folder / "poem.xml").write_text(
+        '<html><head/><body><w><ana lex="a" gr="N"/>a</w><p><w><ana lex="b" gr="N"/>b</w><se><w><ana lex="c" gr="N"/>c</w>'
+        '<w>bare</w></se></p><poem><verse><line><w><ana lex="d" gr="V"/>d</w></line></verse></poem></body></html>', encoding="cp1251")
+    good, bad = annotated.read_rnc(spark, str(tmp_path))
+    assert sorted((r["pos"], r["surface"]) for r in good.collect()) == [(0, "a"), (1, "b"), (2, "c"), (4, "d")]
+    assert [(r["pos"], r["surface"]) for r in bad.collect()] == [(3, "bare")]
+    assert annotated.rnc_word_counts(spark, str(tmp_path), good, bad).collect() == [("verse", "poem", 5, 5, 0)]
+    assert annotated.rnc_word_counts(spark, str(tmp_path), good, bad.limit(0)).first()["missing"] == 1
+
+
+def test_texts_within_texts(spark, tmp_path):
+    def token(w):
+        return f'<token text="{w}"><tfr><v><l t="{w}"><g v="N"/></l></v></tfr></token>'
+    path = tmp_path / "c.xml"
+    path.write_text(
+        '<annotation><text id="1" parent="0"><tags><tag>Тип:Газета</tag></tags>' + token("a")
+        + '<text id="2" parent="1"><paragraphs><x>' + token("b") + '</x></paragraphs>'
+        + '<text id="3" parent="2">' + token("c") + '<token text="bare"/></text>' + token("d") + '</text>' + token("e")
+        + '</text><text id="4" parent="1">' + token("f") + '</text></annotation>', encoding="utf-8")
+    for size in ("128m", "64"):       # one split, and many
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = annotated.opencorpora_tokens(spark, str(path)).collect()
+            counts = annotated.opencorpora_token_counts(spark, str(path)).first()
+            leaves = annotated.read_opencorpora(spark, str(path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted((r["doc_id"], r["pos"], r["t"]["_text"]) for r in rows) == [
+            ("1", 0, "a"), ("1", 1, "e"), ("2", 0, "b"), ("2", 1, "d"), ("3", 0, "c"), ("3", 1, "bare"), ("4", 0, "f")]
+        assert tuple(counts) == (7, 7, 0)
+        assert sorted((r["doc_id"], r["surface"], r["genre"]) for r in leaves if r["lemma"]) == [
+            ("3", "c", "newspaper"), ("4", "f", "newspaper")]
