@@ -6,9 +6,9 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from lexweave.catalog import base as B, vocabularies as V
+from lexweave.catalog import base as B, topics as topic_queries, vocabularies as V
 from lexweave.catalog.base import query
-from lexweave.operators import lda, topics, vocab
+from lexweave.operators import lda, sampling, topics, vocab
 from lexweave.plans.experiment import run_experiment
 
 TOPICS, ITERATIONS = 10, 5
@@ -70,7 +70,40 @@ def lda_top_documents(spark, folder):
     return topics.top_documents(lda.model_document_topics(_model(spark, folder)), 20)
 
 
-@query("M3,M4")
+def em_sql(name: str, bag: str, tokens: str, topics: int, iterations: int, seed: int, eta: float = 0.01, alpha_sum: float = 5.0) -> str:
+    """Expectation-maximisation in SQL: CTEs that end in ``{name}(doc_id, pos, term, topic)``; ``bag`` has doc_id, term, n."""
+    parts = [f"{name}_k AS (SELECT unnest(range({topics}))::INT AS k)",
+             f"""{name}_t0 AS MATERIALIZED (SELECT term, k, 1.0::DOUBLE + ('0x' || substr(md5(concat('{seed}|', term, '|', k)), 1, 8))::BIGINT % 1000 / 1000.0::DOUBLE AS w
+FROM (SELECT DISTINCT term FROM {bag}), {name}_k)""",
+             f"{name}_d0 AS MATERIALIZED (SELECT doc_id, k, 1.0::DOUBLE / {topics} AS w FROM (SELECT DISTINCT doc_id FROM {bag}), {name}_k)",
+             f"{name}_a0 AS (SELECT k, {alpha_sum / topics}::DOUBLE AS a FROM {name}_k)"]
+    for i in range(iterations + 1):
+        parts.append(f"{name}_m{i} AS MATERIALIZED (SELECT k, sum(w) AS m FROM {name}_t{i} GROUP BY k)")
+        if i:
+            parts.append(f"{name}_a{i} AS MATERIALIZED (SELECT k, {alpha_sum}::DOUBLE * m / (SELECT sum(m) FROM {name}_m{i}) AS a FROM {name}_m{i})")
+        if i == iterations:
+            break
+        parts += [
+            f"""{name}_r{i} AS MATERIALIZED (SELECT doc_id, term, k, raw / sum(raw) OVER (PARTITION BY doc_id, term) * n AS share FROM
+(SELECT b.doc_id, b.term, t.k, b.n, t.w / m.m * d.w AS raw FROM {bag} b JOIN {name}_t{i} t USING (term)
+ JOIN {name}_m{i} m ON m.k = t.k JOIN {name}_d{i} d ON d.doc_id = b.doc_id AND d.k = t.k))""",
+            f"{name}_t{i + 1} AS MATERIALIZED (SELECT term, k, sum(share) + {eta}::DOUBLE AS w FROM {name}_r{i} GROUP BY 1, 2)",
+            f"""{name}_d{i + 1} AS MATERIALIZED (SELECT doc_id, k, w / sum(w) OVER (PARTITION BY doc_id) AS w FROM
+(SELECT doc_id, r.k, sum(share) + any_value(a.a) AS w FROM {name}_r{i} r JOIN {name}_a{i} a ON a.k = r.k GROUP BY 1, 2))"""]
+    n = iterations
+    parts += [
+        f"""{name}_best AS MATERIALIZED (SELECT b.doc_id, b.term, arg_max(t.k, (t.w / m.m * d.w, -t.k))::INT AS topic FROM (SELECT DISTINCT doc_id, term FROM {bag}) b
+ JOIN {name}_t{n} t USING (term) JOIN {name}_m{n} m ON m.k = t.k JOIN {name}_d{n} d ON d.doc_id = b.doc_id AND d.k = t.k GROUP BY 1, 2)""",
+        f"{name} AS MATERIALIZED (SELECT doc_id, pos, term, topic FROM {tokens} JOIN {name}_best USING (doc_id, term))"]
+    return ", ".join(parts)
+
+
+_BAG = f"""{V.VOCAB}, words AS MATERIALIZED (SELECT doc_id, pos, lower(token) AS term FROM tok WHERE lower(token) IN (SELECT token FROM raw_pruned)),
+bag AS MATERIALIZED (SELECT doc_id, term, count(*) AS n FROM words GROUP BY 1, 2)"""
+
+
+@query("M3,M4", f"""WITH {_BAG}, {em_sql('em', 'bag', 'words', TOPICS, ITERATIONS, 7)}
+SELECT topic, count(*) AS tokens, count(DISTINCT term) AS terms FROM em GROUP BY 1""")
 def joined_lda_token_topics(spark, folder):
     """The table-based trainer, for vocabularies of any size."""
     model = _model(spark, folder, lda.train_joined)
@@ -78,6 +111,27 @@ def joined_lda_token_topics(spark, folder):
     return state.groupBy("topic").agg(F.count("*").alias("tokens"), F.countDistinct("term").alias("terms"))
 
 
+_GRID = [(t, r) for t in ("raw", "truncate5") for r in (0, 1)]
+
+
+def _grid_sql() -> str:
+    """The experiment's states: a vocabulary and a bag for each treatment, a model for each run."""
+    parts = [B.TOK, "all_docs AS (SELECT count(DISTINCT doc_id) AS docs FROM tok)"]
+    for t, term in (("raw", "lower(token)"), ("truncate5", "lower(substr(token, 1, 5))")):
+        parts += [f"{t}_all AS MATERIALIZED (SELECT doc_id, pos, {term} AS term FROM tok)",
+                  f"""{t}_kept AS MATERIALIZED (SELECT term FROM {t}_all, all_docs GROUP BY term, docs
+ HAVING count(DISTINCT doc_id) <= 0.25 * docs AND count(*) >= 5)""",
+                  f"{t}_words AS MATERIALIZED (SELECT {t}_all.* FROM {t}_all JOIN {t}_kept USING (term))",
+                  f"{t}_bag AS MATERIALIZED (SELECT doc_id, term, count(*) AS n FROM {t}_words GROUP BY 1, 2)"]
+    parts += [em_sql(f"{t}_em{r}", f"{t}_bag", f"{t}_words", 5, 3, r) for t, r in _GRID]
+    parts.append("runs AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT doc_id, pos, '{t}' AS treatment, 5 AS num_topics, {r} AS run, term, topic FROM {t}_em{r}" for t, r in _GRID) + ")")
+    return ", ".join(parts)
+
+
+GRID_SQL = _grid_sql()
+
+
 @lru_cache(maxsize=4)
 def _experiment(spark, folder):
     treated = B.tokens(spark, folder).select(
@@ -85,9 +139,9 @@ def _experiment(spark, folder):
     return run_experiment(treated, ["raw", "truncate5"], [5], runs=2, iterations=3)
 
 
-@query("M3,M4,M14")
+@query("M3,M4,M14", topic_queries.mean_voi_sql(GRID_SQL))
 def experiment_voi(spark, folder):
-    return _experiment(spark, folder).mean_voi()
+    return B.rounded(_experiment(spark, folder).mean_voi())
 
 
 @query("M6")
@@ -104,3 +158,88 @@ def experiment_diagnostics(spark, folder):
 @query("A4,A5,T1,T2")
 def experiment_morphology(spark, folder):
     return _experiment(spark, folder).morphology(B.gold(spark, folder))
+
+
+# --- sampled topics -------------------------------------------------------------------------
+
+SAMPLED_TOPICS, SWEEPS, SAMPLE_SEED = 5, 2, 11
+
+
+def _kept_tokens(spark, folder):
+    tokens = _tokens(spark, folder)
+    kept = vocab.pruned_vocabulary(tokens, "term", documents=B.load(spark, folder, "documents"))
+    return lda.lookup_join(tokens, kept.select("term"), ["term"], "left_semi", ["doc_id", "pos"]).select("doc_id", "pos", "term")
+
+
+@lru_cache(maxsize=4)
+def _sampled(spark, folder):
+    return sampling.sample_topics(_kept_tokens(spark, folder), SAMPLED_TOPICS, SWEEPS, SAMPLE_SEED, optimise_every=0)
+
+
+def _sampling_sql() -> str:
+    """The sweeps in SQL: weights of every token and topic, their running sums, and the first sum beyond the draw."""
+    k, beta, alpha = SAMPLED_TOPICS, 0.01, 5.0 / SAMPLED_TOPICS
+
+    def draw(sweep: int) -> str:
+        return (f"(('0x' || substr(md5(concat('{SAMPLE_SEED}|{sweep}|', doc_id, '|', pos)), 1, 8))::BIGINT::DOUBLE / 4294967296)")
+
+    parts = [V.VOCAB, f"""z0 AS MATERIALIZED (SELECT doc_id, pos, lower(token) AS term, floor({draw(0)} * {k})::INT AS topic FROM tok
+WHERE lower(token) IN (SELECT token FROM raw_pruned))""", f"ks AS (SELECT unnest(range({k}))::INT AS k)",
+             "size AS MATERIALIZED (SELECT count(DISTINCT term) AS v FROM z0)"]
+    for s in range(1, SWEEPS + 1):
+        z = f"z{s - 1}"
+        parts += [
+            f"d{s} AS MATERIALIZED (SELECT doc_id, topic, count(*) AS n FROM {z} GROUP BY 1, 2)",
+            f"t{s} AS MATERIALIZED (SELECT term, topic, count(*) AS n FROM {z} GROUP BY 1, 2)",
+            f"m{s} AS MATERIALIZED (SELECT topic, count(*) AS n FROM {z} GROUP BY 1)",
+            f"""w{s} AS (SELECT z.doc_id, z.pos, z.term, ks.k,
+ (coalesce(d.n, 0) - (z.topic = ks.k)::INT + {alpha}::DOUBLE) * (coalesce(t.n, 0) - (z.topic = ks.k)::INT + {beta}::DOUBLE)
+ / (coalesce(m.n, 0) - (z.topic = ks.k)::INT + size.v * {beta}::DOUBLE) AS w
+ FROM {z} z CROSS JOIN ks CROSS JOIN size LEFT JOIN d{s} d ON d.doc_id = z.doc_id AND d.topic = ks.k LEFT JOIN t{s} t ON t.term = z.term AND t.topic = ks.k
+ LEFT JOIN m{s} m ON m.topic = ks.k)""",
+            f"""z{s} AS MATERIALIZED (SELECT doc_id, pos, term, least(count(*) FILTER (WHERE upto <= {draw(s)} * whole), {k - 1})::INT AS topic
+ FROM (SELECT *, sum(w) OVER (PARTITION BY doc_id, pos ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto,
+ sum(w) OVER (PARTITION BY doc_id, pos) AS whole FROM w{s}) GROUP BY doc_id, pos, term)"""]
+    return ", ".join(parts)
+
+
+SAMPLING_SQL = _sampling_sql()
+
+
+@query("M4", f"WITH {SAMPLING_SQL} SELECT topic, term, count(*) AS n, sum(pos)::BIGINT AS pos_sum FROM z{SWEEPS} GROUP BY 1, 2")
+def sampled_token_topics(spark, folder):
+    return _sampled(spark, folder).state.groupBy("topic", "term").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
+
+
+def _alpha_sql(steps: int) -> str:
+    """Digamma differences as sums of 1 / (a + i) over the tokens of a document and topic."""
+    parts = [f"c AS MATERIALIZED (SELECT doc_id, topic, count(*) AS n FROM z{SWEEPS} GROUP BY 1, 2)",
+             "i AS MATERIALIZED (SELECT topic, r AS i, count(*) AS docs FROM (SELECT topic, unnest(range(n)) AS r FROM c) GROUP BY 1, 2)",
+             "l AS MATERIALIZED (SELECT r AS i, count(*) AS docs FROM (SELECT unnest(range(n)) AS r FROM (SELECT sum(n)::BIGINT AS n FROM c GROUP BY doc_id)) GROUP BY 1)",
+             f"a0 AS (SELECT k AS topic, {5.0 / SAMPLED_TOPICS}::DOUBLE AS a FROM ks)"]
+    for s in range(1, steps + 1):
+        parts.append(f"""a{s} AS (SELECT topic, greatest(a * (SELECT sum(docs / (a + i)) FROM i WHERE i.topic = p.topic)
+ / (SELECT sum(docs / (whole + i)) FROM l, (SELECT sum(a) AS whole FROM a{s - 1})), 1e-6) AS a FROM a{s - 1} p)""")
+    return ", ".join(parts)
+
+
+@query("M3", f"WITH {SAMPLING_SQL}, {_alpha_sql(3)} SELECT topic, round(a, 6) AS alpha FROM a3")
+def sampled_alpha(spark, folder):
+    """Alpha after three steps from the sampled state."""
+    model = _sampled(spark, folder)
+    alpha = sampling.fitted_alpha(model.state, model.alpha, 3)
+    return B.rounded(spark.createDataFrame(list(enumerate(alpha)), "topic int, alpha double"))
+
+
+@query("M3,M4", f"""WITH {SAMPLING_SQL}, dl AS (SELECT doc_id, count(*) AS n FROM z{SWEEPS} GROUP BY 1),
+dk AS (SELECT doc_id, topic, count(*) AS n FROM z{SWEEPS} GROUP BY 1, 2), tk AS (SELECT term, topic, count(*) AS n FROM z{SWEEPS} GROUP BY 1, 2),
+mk AS (SELECT topic, count(*) AS n FROM z{SWEEPS} GROUP BY 1), held AS (SELECT doc_id, term, count(*) AS n FROM z0 WHERE pos % 10 = 0 GROUP BY 1, 2),
+p AS (SELECT held.doc_id, held.term, any_value(held.n) AS n, sum((coalesce(dk.n, 0) + 1.0) / (dl.n + 5.0) * (coalesce(tk.n, 0) + 0.01) / (mk.n + size.v * 0.01)) AS pr
+ FROM held JOIN dl USING (doc_id) CROSS JOIN mk CROSS JOIN size LEFT JOIN dk ON dk.doc_id = held.doc_id AND dk.topic = mk.topic
+ LEFT JOIN tk ON tk.term = held.term AND tk.topic = mk.topic GROUP BY 1, 2)
+SELECT sum(n)::BIGINT AS tokens, round(sum(n * ln(pr)) / sum(n), 6) AS mean_log_likelihood FROM p""")
+def sampled_likelihood(spark, folder):
+    """Likelihood of every tenth token by document completion."""
+    tokens = _kept_tokens(spark, folder).filter("pos % 10 = 0")
+    rows = sampling.token_likelihood(_sampled(spark, folder), tokens)
+    return B.rounded(rows.select("tokens", (F.col("log_likelihood") / F.col("tokens")).alias("mean_log_likelihood")))

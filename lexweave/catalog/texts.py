@@ -148,9 +148,9 @@ def drop_stress_marks(spark, folder):
 
 
 @query("P20", f"""WITH {B.TOK} SELECT term, string_agg(lemma, '|' ORDER BY lemma) AS lemmas FROM
-(SELECT DISTINCT substr(lower(token), 1, 6) AS term, lower(token) AS lemma FROM tok WHERE length(token) > 6) GROUP BY term""")
+(SELECT DISTINCT substr(lower(token), 1, 6) AS term, lower(token) AS lemma FROM tok) GROUP BY term""")
 def join_ambiguous_lemmas(spark, folder):
-    forms = (B.tokens(spark, folder).filter(F.length("token") > 6)
+    forms = (B.tokens(spark, folder)
              .select(F.substring(F.lower("token"), 1, 6).alias("term"), F.lower("token").alias("lemma")).distinct())
     return forms.groupBy("term").agg(T.join_analyses(F.array_sort(F.collect_list("lemma"))).alias("lemmas"))
 
@@ -233,7 +233,7 @@ def snowball_tokens(spark, folder):
     return stemmed.groupBy("source", "normalized").agg(F.count("*").alias("n"))
 
 
-_CONFIG = [("de", "raw"), ("de", "truncate5"), ("de", "truncate6"), ("fr", "raw"), ("fr", "truncate5"), ("es", "raw")]
+_CONFIG = [("de", "raw"), ("de", "truncate5"), ("de", "truncate6"), ("fr", "raw"), ("fr", "truncate5"), ("es", "raw"), ("en", "raw"), ("en", "truncate6")]
 
 
 @query("P27", f"""WITH {B.TOK}, config(lang, treatment) AS (VALUES {', '.join(str(c) for c in _CONFIG)})

@@ -280,12 +280,17 @@ def variation_of_information(spark, folder):
 _PAIR = "num_topics, ta, ra, tb, rb,"
 
 
-@query("M14", f"""WITH {B.TOK}, {B.STATES}, {_VOI.format(keys=_PAIR, group='GROUP BY ALL', join='JOIN tot USING (num_topics, ta, ra, tb, rb)',
+def mean_voi_sql(runs: str) -> str:
+    """Mean variation of information over pairs of the assignments in CTE ``runs``."""
+    return f"""WITH {runs}, {_VOI.format(keys=_PAIR, group='GROUP BY ALL', join='JOIN tot USING (num_topics, ta, ra, tb, rb)',
 cells='''SELECT a.num_topics, a.treatment AS ta, a.run AS ra, b.treatment AS tb, b.run AS rb, a.topic AS topic_a, b.topic AS topic_b, count(*) AS n
 FROM runs a JOIN runs b ON a.doc_id = b.doc_id AND a.pos = b.pos AND a.num_topics = b.num_topics
 AND (a.treatment < b.treatment OR (a.treatment = b.treatment AND a.run < b.run)) GROUP BY ALL''')}
 SELECT num_topics, ta AS group_a, tb AS group_b, round(avg(2 * hab.h - ha.h - hb.h), 6) AS mean_voi, count(*) AS pairs
-FROM hab JOIN ha USING (num_topics, ta, ra, tb, rb) JOIN hb USING (num_topics, ta, ra, tb, rb) GROUP BY 1, 2, 3""")
+FROM hab JOIN ha USING (num_topics, ta, ra, tb, rb) JOIN hb USING (num_topics, ta, ra, tb, rb) GROUP BY 1, 2, 3"""
+
+
+@query("M14", mean_voi_sql(f"{B.TOK}, {B.STATES}"))
 def voi_within_and_between_treatments(spark, folder):
     cells = compare.run_pair_contingency(B.states(spark, folder), ["treatment", "run"], ["num_topics"],
                                          sorted({(t, r) for t, _, r in B.RUNS}))

@@ -12,13 +12,13 @@ from lexweave.operators.keyed import dense_index
 from lexweave.session import materialised
 
 # vocabularies: raw tokens and their first five letters, both down-cased
-VOCAB = f"""{B.TOK}, n_docs AS (SELECT count(DISTINCT doc_id) AS docs FROM tok),
+VOCAB = f"""{B.TOK}, n_docs AS (SELECT count(*) AS docs FROM documents),
 raw_vocab AS (SELECT lower(token) AS token, count(*) AS term_freq, count(DISTINCT doc_id) AS doc_freq FROM tok GROUP BY 1),
 stem_vocab AS (SELECT substr(lower(token), 1, 5) AS normalized, count(*) AS term_freq, count(DISTINCT doc_id) AS doc_freq FROM tok GROUP BY 1),
 raw_pruned AS (SELECT token, term_freq, doc_freq FROM raw_vocab, n_docs WHERE doc_freq <= 0.25 * docs AND term_freq >= 5),
 stem_pruned AS (SELECT normalized, term_freq, doc_freq FROM stem_vocab, n_docs WHERE doc_freq <= 0.25 * docs AND term_freq >= 5),
-raw_stopped AS (SELECT * FROM raw_vocab WHERE token NOT IN (SELECT token FROM raw_pruned)),
-stem_stopped AS (SELECT * FROM stem_vocab WHERE normalized NOT IN (SELECT normalized FROM stem_pruned)),
+raw_stopped AS (SELECT raw_vocab.* FROM raw_vocab LEFT JOIN raw_pruned p USING (token) WHERE p.term_freq IS NULL),
+stem_stopped AS (SELECT stem_vocab.* FROM stem_vocab LEFT JOIN stem_pruned p USING (normalized) WHERE p.term_freq IS NULL),
 pairs AS (SELECT lower(token) AS token, substr(lower(token), 1, 5) AS normalized, count(*) AS pair_count FROM tok GROUP BY 1, 2)"""
 
 
@@ -163,11 +163,27 @@ def author_statistics(spark, folder):
     return B.rounded(_author_stats(spark, folder))
 
 
-@query("A8,J13", f"WITH {B.TOK}, words AS (SELECT lower(token) AS token, source FROM tok) PIVOT words ON source USING count(*) GROUP BY token")
+# The sources of the given documents, the columns of the wide table.
+SOURCES = tuple(f"src{i}" for i in range(20))
+
+
+@query("A8,J13", f"WITH {B.TOK} SELECT lower(token) AS token, " + ", ".join(
+    f"count(*) FILTER (WHERE source = '{a}') AS {a}" for a in SOURCES) + " FROM tok GROUP BY 1")
 def author_word_matrix(spark, folder):
     return authors.author_word_matrix(authors.author_token_counts(_terms(spark, folder), "source"))
 
 
+@query("A8,J13", f"""WITH {B.TOK}, ids AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS id FROM (SELECT DISTINCT source FROM tok)),
+cells AS (SELECT lower(token) AS token, id, count(*) AS n FROM tok JOIN ids USING (source) GROUP BY 1, 2)
+SELECT token, id // 8 AS block, string_agg(concat(id, ':', n), ' ' ORDER BY id) AS entries FROM cells GROUP BY 1, 2""")
+def author_word_blocks(spark, folder):
+    """The sparse form of the matrix, eight authors to a block."""
+    counts = authors.author_token_counts(_terms(spark, folder), "source")
+    blocks = authors.author_word_blocks(counts, authors.author_dictionary(counts), width=8)
+    return blocks.select("token", "block", F.array_join(F.transform(
+        "entries", lambda e: F.concat_ws(":", e["author_id"], e["count"])), " ").alias("entries"))
+
+
 @query("A9", f"WITH {B.TOK} SELECT source AS author, lower(token) AS token, count(*) AS count FROM tok GROUP BY 1, 2")
 def author_token_counts(spark, folder):
     return authors.author_token_counts(_terms(spark, folder), "source")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lexweave.operators.keyed import dense_index, lookup_join
 from lexweave.session import materialised
 
-MAX_AUTHOR_COLUMNS = 5000
+BLOCK_AUTHORS = 1024      # author numbers in a block of the sparse matrix
 
 
 def author_statistics(docs: DataFrame, author_col: str, length_col: str) -> DataFrame:
@@ -21,17 +22,31 @@ def author_token_counts(tokens: DataFrame, author_col: str, token_col: str = "to
         F.count("*").alias("count"))
 
 
+def author_dictionary(counts: DataFrame) -> DataFrame:
+    """``author, author_id``: the authors numbered from 0 in order of name."""
+    return dense_index(counts.select("author").distinct(), [F.col("author")], "author_id")
+
+
+def author_word_blocks(counts: DataFrame, dictionary: DataFrame, width: int = BLOCK_AUTHORS) -> DataFrame:
+    """``token, block, entries``: the word's counts by author, sparse, ``width`` author numbers to a block.
+
+    ``entries`` is an array of ``author_id, count`` by author.  A row holds at most ``width`` entries, so a word of
+    very many authors is spread over rows, and any number of authors is taken.
+    """
+    coded = lookup_join(counts, dictionary, ["author"], "inner", ["token"])
+    block = F.floor(F.col("author_id") / width).alias("block")
+    entries = F.sort_array(F.collect_list(F.struct("author_id", "count")))
+    return coded.groupBy("token", block).agg(entries.alias("entries"))
+
+
 def author_word_matrix(counts: DataFrame, authors: list[str] | None = None) -> DataFrame:
     """One row per word, one column per author, zero where an author lacks the word.
 
-    Without a list the author names are looked up; a table cannot have more columns than
-    ``MAX_AUTHOR_COLUMNS``, so beyond that stay with the long form.
+    The wide form is for sinks that want columns.  Without a list the author names are looked up; for more authors
+    than a table can have columns, ``author_word_blocks`` holds the same counts.
     """
     if authors is None:
-        names = counts.select("author").distinct().limit(MAX_AUTHOR_COLUMNS + 1).collect()
-        if len(names) > MAX_AUTHOR_COLUMNS:
-            raise ValueError("too many authors for a wide table; use the long counts")
-        authors = sorted(r["author"] for r in names)
+        authors = sorted(r["author"] for r in counts.select("author").distinct().toLocalIterator())
     return counts.groupBy("token").pivot("author", authors).agg(F.sum("count")).fillna(0, authors)
 
 

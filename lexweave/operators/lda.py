@@ -93,8 +93,8 @@ def train_joined(bag: DataFrame, num_topics: int, iterations: int = 20, seed: in
     k = num_topics
     topic_numbers = F.sequence(F.lit(0), F.lit(k - 1))
     terms = bag.groupBy("term").agg(F.sum("n").alias("__n")).select(
-        "term", F.transform(topic_numbers, lambda j: F.lit(1.0) + F.pmod(
-            F.xxhash64(F.lit(seed), F.col("term"), j), F.lit(1000)) / 1000.0).alias("weights"))
+        "term", F.transform(topic_numbers, lambda j: F.lit(1.0) + F.conv(F.substring(F.md5(F.concat_ws(
+            "|", F.lit(str(seed)), F.col("term"), j.cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint") % 1000 / 1000.0).alias("weights"))
     documents = bag.select("doc_id").distinct().withColumn(
         "weights", F.transform(topic_numbers, lambda j: F.lit(1.0 / k)))
     alpha = [alpha_sum / k] * k

@@ -13,7 +13,7 @@ from lexweave.operators.keyed import lookup_join
 from lexweave.operators.morph import entropy, top_n
 from lexweave.session import materialised
 
-COHERENCE_MAX_TERMS = 62  # one bit of a BIGINT per top term
+MASK_BITS = 62  # top terms in one BIGINT of a mask
 
 
 def _keys(by: list[str] | None) -> list[str]:
@@ -87,22 +87,23 @@ def word_length(cells: DataFrame, n: int = 20, by: list[str] | None = None) -> D
 def coherence(state: DataFrame, cells: DataFrame, n: int = 20, by: list[str] | None = None) -> DataFrame:
     """Sum over pairs of top terms a (higher ranked), b of ln((D(a,b) + 1) / D(a)).
 
-    ``D`` counts documents of the corpus.  Per topic and document, the top terms present are one
-    bit mask built map-side; documents with equal masks are then counted together, so the pairs
-    are formed on distinct masks, at most ``n (n - 1) / 2`` for each.
+    ``D`` counts documents of the corpus.  Per topic and document, the top terms present are a bit mask of as
+    many numbers as ``n`` needs, built map-side; documents with equal masks are then counted together, so the
+    pairs are formed on distinct masks, at most ``n (n - 1) / 2`` for each.
     """
-    if n > COHERENCE_MAX_TERMS:
-        raise ValueError(f"coherence takes at most {COHERENCE_MAX_TERMS} top terms")
     keys = _keys(by)
     run = by or []
     tops = top_n(cells, "term", n, by).select(*keys, "term", "rank")  # n rows per topic
-    bits = F.expr("bit_or(shiftleft(1L, rank - 1))")
+    place = F.col("rank") - 1
+    bits = F.array(*[F.bit_or(F.when(F.floor(place / MASK_BITS) == word, F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), (place % MASK_BITS).cast("int"))).otherwise(F.lit(0).cast("bigint")))
+        for word in range(-(-n // MASK_BITS))])
     masks = (state.select(*run, "doc_id", "term")
              .join(F.broadcast(tops), [*run, "term"])
              .groupBy(*keys, "doc_id").agg(bits.alias("mask"))
              .groupBy(*keys, "mask").agg(F.count("*").alias("docs")))
     ranks = F.filter(F.sequence(F.lit(1), F.lit(n)),
-                     lambda r: F.getbit(F.col("mask"), r - 1) == 1)
+                     lambda r: F.getbit(F.get("mask", F.floor((r - 1) / MASK_BITS).cast("int")), (r - 1) % MASK_BITS) == 1)
     seen = (masks.select(*keys, "docs", ranks.alias("ranks"))
             .select(*keys, "docs", "ranks", F.explode("ranks").alias("a"))
             .select(*keys, "docs", "a", F.explode(F.filter("ranks", lambda b: b >= F.col("a"))).alias("b"))

@@ -239,3 +239,39 @@ def test_pruning_reads_both_ways(spark):
     by_count = vocab.pruned_vocabulary(tokens, min_count=5).collect()
     by_docs = vocab.pruned_vocabulary(tokens, min_count=5, count_col="doc_freq").collect()
     assert [r["term"] for r in by_count] == ["burst"] and by_docs == []
+
+
+def test_author_blocks_hold_the_wide_table(spark):
+    rows = [(f"a{i:02d}", f"w{j}", i + j + 1) for i in range(23) for j in range(5) if (i + j) % 3]
+    counts = spark.createDataFrame(rows, "author string, token string, count bigint")
+    dictionary = authors.author_dictionary(counts)
+    names = {r["author_id"]: r["author"] for r in dictionary.collect()}
+    assert [names[i] for i in range(23)] == [f"a{i:02d}" for i in range(23)]
+    blocks = authors.author_word_blocks(counts, dictionary, width=4).collect()
+    assert all(e["author_id"] // 4 == r["block"] for r in blocks for e in r["entries"])
+    assert all(len(r["entries"]) <= 4 for r in blocks)
+    assert sorted((names[e["author_id"]], r["token"], e["count"]) for r in blocks for e in r["entries"]) == sorted(rows)
+
+
+def test_quantiles_over_many_partitions(spark):
+    import random
+
+    from lexweave.operators import stats
+    draw = random.Random(3)
+    rows = [(g, round(draw.gauss(0, 5) ** 3, 2)) for g, n in (("a", 3000), ("b", 1), ("c", 2), ("d", 401)) for _ in range(n)]
+    rows += [("a", 7.0)] * 900 + [("a", None), ("e", None)]
+    table = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r["g"]: r for r in stats.describe(table, "x", ["g"]).collect()}
+    whole = stats.describe(table, "x").first()
+    groups = {g: sorted(x for h, x in rows if h == g and x is not None) for g in "abcd"}
+    assert set(got) == set(groups)
+
+    def plain(values, p):
+        at = (len(values) - 1) * p
+        low = int(at)
+        return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
+
+    for row, values in [*((got[g], v) for g, v in groups.items()), (whole, sorted(x for v in groups.values() for x in v))]:
+        assert row["count"] == len(values)
+        for name, p in stats.QUARTILES.items():
+            assert abs(row[name] - plain(values, p)) < 1e-9

@@ -90,8 +90,16 @@ def test_coherence_counts_pairs_that_never_meet(spark):
     got = by_topic(topics.coherence(state, topics.term_cells(state), 4))
     assert got[0]["coherence"] == pytest.approx(brute_coherence(rows, 0, 4))
     assert got[1]["coherence"] == 0.0  # one term, no pair
-    with pytest.raises(ValueError):
-        topics.coherence(state, topics.term_cells(state), 63)
+
+
+def test_coherence_of_very_many_top_terms(spark):
+    import random
+    draw = random.Random(6)
+    rows = [(d, p, 0, f"t{int(abs(draw.gauss(0, 60)))}", "l", "s", "x") for d in range(12) for p in range(90)]
+    state, _ = make_state(spark, rows)
+    for n in (62, 63, 130):
+        got = by_topic(topics.coherence(state, topics.term_cells(state), n))
+        assert got[0]["coherence"] == pytest.approx(brute_coherence(rows, 0, n))
 
 
 def test_distances_and_exclusivity(spark):
