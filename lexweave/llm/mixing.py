@@ -26,7 +26,7 @@ TOPICS = 8
 TOPIC_ROUNDS = 6         # passes of k-means over the groups of all documents
 FIRST_CENTRES = 1024     # documents among which the first centres are chosen
 # target share of a marginal's value: its present token share to this power, made to sum to one
-POWERS = {"source": 0.5, "language": 0.7, "topic": 0.5}
+POWERS = {"source": 0.7, "language": 0.8, "topic": 0.8}
 ROUNDS = 20              # most rounds; raking stops before when the marginals agree
 TOLERANCE = 1e-2         # largest relative difference of a marginal from its target
 SEED = 17
