@@ -35,17 +35,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows with one id and different texts are documents of their own; of rows equal in both one stays.  A document
     without words is in no group.
     """
-    # the hash tells texts under one id apart and is null only for a null text
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
-                   F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("hash"))
+    # the hash tells texts under one id apart; no field is null, so that the key is joined and grouped by as it is
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                   F.col("text").isNull().alias("blank"), F.xxhash64("text").alias("hash"))
     groups = jaccard_join.jaccard_components(docs.select(key.alias("doc_id"), "text"))
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__hash", key["hash"]).withColumn("__id", F.col("doc_id"))
-    one = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__hash"))
-    same = rows["__id"].eqNullSafe(kept["__id"]) & rows["__hash"].eqNullSafe(kept["__hash"])
-    return (rows.join(kept.hint("merge"), same, "left_semi").withColumn("__one", one).filter("__one = 1")
-            .select(*docs.columns))
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct()
+    one = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return (docs.withColumn("__key", key).join(kept.hint("merge"), "__key", "left_semi")
+            .withColumn("__one", one).filter("__one = 1").select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
