@@ -228,7 +228,7 @@ def test_state_rows_with_nulls_and_spaces_read_back(spark, tmp_path):
     state = spark.createDataFrame(rows, "doc_id bigint, source string, pos int, term_id bigint, term string, topic int")
     files.write_state(state, str(tmp_path / "s"), [0.5, 0.5], 0.01)
     back = sorted((tuple(r) for r in files.read_state(spark, str(tmp_path / "s")).collect()), key=str)
-    assert back == [(1, None, 0, 7, "d", 2), (1, "two_words", 1, None, "b_c", 0), (2, None, 0, 5, "a", 1)]
+    assert back == [(1, "two_words", 1, None, "b_c", 0), (1, None, 0, 7, "d", 2), (2, None, 0, 5, "a", 1)]
     (tmp_path / "bad").write_text("#doc\n1 s 0 4 term\n1 s x 4 term 2\n1 s 0 4 term 2\n")
     assert files.read_state(spark, str(tmp_path / "bad")).count() == 1
     assert sorted(r["value"] for r in files.rejected_state_lines(spark, str(tmp_path / "bad")).collect()) == [
