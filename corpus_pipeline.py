@@ -6,10 +6,10 @@ that stay, with their columns unchanged; the last returns the documents' shards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexweave.llm import decontaminate, jaccard_join, language_filters, minimax_shards, mixing
-from lexweave.session import scratch_path
+from lexweave.session import materialised, scratch_path
 
 LEAST_LANGUAGE_SCORE = 0.2      # corrected share of a text's n-grams known in its best language
 LEAST_GRAMS = 50                # n-grams from which that share is regarded
@@ -39,10 +39,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"),
                    F.col("text").isNull().alias("blank"), F.xxhash64("text").alias("hash"))
     groups = jaccard_join.jaccard_components(docs.select(key.alias("doc_id"), "text"))
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct()
-    one = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return (docs.withColumn("__key", key).join(kept.hint("merge"), "__key", "left_semi")
-            .withColumn("__one", one).filter("__one = 1").select(*docs.columns))
+    kept = materialised(groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__key"))
+                        .agg(F.count("*").alias("__n")), "kept")
+    keyed = docs.withColumn("__key", key)
+    staying = keyed.join(kept.filter("__n = 1").hint("merge"), "__key", "left_semi")
+    repeated = kept.filter("__n > 1")
+    if repeated.limit(1).count():       # equal rows under one key are grouped, and only they
+        staying = staying.unionByName(keyed.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
+    return staying.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
