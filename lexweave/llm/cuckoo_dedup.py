@@ -1,6 +1,7 @@
 """Exact duplicates through a cuckoo-filter index of live digests.
 
-The index is split into buckets by digest.  A bucket holds a cuckoo filter (16-bit fingerprints, two
+The index is split into buckets by digest: by partition, and within one by the digest's first two bytes, in whose
+order a task goes through them and drops each set of buckets once their content is sent.  A bucket holds a cuckoo filter (16-bit fingerprints, two
 candidate slots of four entries) and its content: the full digests that are live, with the smallest id and
 the number of rows of each.  A lookup asks the filter first; a hit is verified against the content, so a
 false positive never joins two texts.  A full filter is rebuilt at twice the size from the stored keys.
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 SLOTS = 4            # entries per filter slot
 MAX_KICKS = 200      # displacements before the filter counts as full
 FIRST_SLOTS = 1024   # slots of a new filter; it doubles on overflow
+PREFIX = 2           # leading bytes of a digest that name its bucket
+HELD = 50_000        # live digests from which a task sends its complete buckets on
 
 
 class CuckooFilter:
@@ -133,18 +136,39 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _merged(batches: Iterator[pa.RecordBatch], limit: int | None = None) -> Iterator[pa.RecordBatch]:
     index = DigestIndex()
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(3)]
-        for key, doc_id, rows in zip(*columns):
-            if rows >= 0:
-                index.insert(key, doc_id, rows)
-            else:
-                index.delete(key, -rows)
+        _apply(index, *[batch.column(i).to_pylist() for i in range(3)])
         if limit and len(index.content) >= limit:
             yield _batch(index)
             index = DigestIndex()
     yield _batch(index)
 
 
+def _apply(index: DigestIndex, keys: list, ids: list, changes: list) -> None:
+    for key, doc_id, rows in zip(keys, ids, changes):
+        if rows >= 0:
+            index.insert(key, doc_id, rows)
+        else:
+            index.delete(key, -rows)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their bucket: what is held is ``HELD`` digests and one bucket, whatever the task's share."""
+    index, last = DigestIndex(), None
+    for batch in batches:
+        keys, ids, changes = [batch.column(i).to_pylist() for i in range(3)]
+        start = 0
+        for at, key in enumerate(keys):
+            if key[:PREFIX] != last:
+                # all buckets before this one are complete
+                _apply(index, keys[start:at], ids[start:at], changes[start:at])
+                start, last = at, key[:PREFIX]
+                if len(index.content) >= HELD:
+                    yield _batch(index)
+                    index = DigestIndex()
+        _apply(index, keys[start:], ids[start:], changes[start:])
+    yield _batch(index)
+
+
 def _batch(index: DigestIndex) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(list(index.content), pa.binary()),
@@ -169,9 +193,10 @@ def build_index(digests: DataFrame) -> DataFrame:
 
 
 def _indexed(partials: DataFrame) -> DataFrame:
-    ordered = (partials.repartition("digest").withColumn("gone", F.col("rows") < 0)
-               .sortWithinPartitions("gone").drop("gone"))
-    return ordered.mapInArrow(_merged, _SCHEMA)
+    bucket, gone = F.substring("digest", 1, PREFIX), F.col("rows") < 0
+    ordered = (partials.repartition("digest").withColumn("bucket", bucket).withColumn("gone", gone)
+               .sortWithinPartitions("bucket", "gone").drop("bucket", "gone"))
+    return ordered.mapInArrow(_by_bucket, _SCHEMA)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

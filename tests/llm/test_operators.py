@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,21 @@ def test_index_with_deletions(spark):
     assert [(bytes(r["digest"]), r["keep_id"], r["rows"]) for r in live] == [(b"a" * 32, 1, 1)]
 
 
+def test_index_tasks_hold_few_buckets(spark, monkeypatch):
+    monkeypatch.setattr(cuckoo_dedup, "HELD", 20)
+    keys = sorted(hashlib.sha256(str(i).encode()).digest() for i in range(400))
+    keys += [keys[-1][:2] + hashlib.sha256(bytes([i])).digest()[2:] for i in range(60)]      # one full bucket
+    keys.sort(key=lambda k: k[:2])
+    rows = [(k, i + n, n + 1) for k in keys for i, n in [(keys.index(k), 0), (5000, 1)]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:i + 7])], ["digest", "keep_id", "rows"])
+               for i in range(0, len(rows), 7)]
+    sent = list(cuckoo_dedup._by_bucket(iter(batches)))
+    assert {k: (i, n) for b in sent for k, i, n in zip(*[c.to_pylist() for c in b.columns])} == {
+        k: (i, 3) for i, k in enumerate(keys)}
+    assert sum(b.num_rows for b in sent) == len(keys)
+    assert max(b.num_rows for b in sent) <= 20 + 61 and len(sent) > 10
+
+
 # --- op4 ------------------------------------------------------------------------------------
 
 def plain_sets(texts):
