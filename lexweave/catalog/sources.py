@@ -26,6 +26,24 @@ def text_folder(spark, folder):
         F.sum(T.count_tokens(F.col("text"))).alias("n_tokens"))
 
 
+@query("S1", f"""WITH lines AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT source AS author, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars,
+sum(len(regexp_extract_all(line, {B.sql_text(P.WORD)})))::BIGINT AS n_tokens, 0 AS misnumbered_files FROM lines GROUP BY source""")
+def text_folder_by_lines(spark, folder):
+    path = scratch_path(spark, "text-lines")
+    (B.documents(spark, folder).select(F.col("source").alias("author"), "text")
+     .write.partitionBy("author").text(path))
+    lines, _ = corpus.read_text_lines(spark, path)
+    files = lines.groupBy("path").agg(
+        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(T.count_tokens(F.col("text"))).alias("tokens"),
+        F.count_distinct("line").alias("places"), F.max("line").alias("last"))
+    author = F.regexp_extract("path", "author=([^/]+)/", 1).alias("author")
+    numbered = (F.col("places") == F.col("n")) & (F.col("last") == F.col("n") - 1)
+    return files.groupBy(author).agg(
+        F.sum("n").alias("n_lines"), F.sum("chars").cast("bigint").alias("n_chars"), F.sum("tokens").alias("n_tokens"),
+        F.count_if(~numbered).cast("int").alias("misnumbered_files"))
+
+
 @query("S2", """SELECT concat(source, '_', doc_id) AS doc_id, source AS author, doc_id::VARCHAR AS title,
 concat(source, '_', doc_id, '.txt') AS flat_name, concat(source, '_', doc_id) AS stem, source AS label FROM documents""")
 def file_names(spark, folder):

@@ -42,10 +42,22 @@ SELECT d.doc_id, coalesce(s.text, '') AS stopped_text FROM documents d LEFT JOIN
  WHERE lower(token) NOT IN (SELECT word FROM stop) GROUP BY doc_id) s USING (doc_id)""")
 def remove_stop_words(spark, folder):
     docs = B.documents(spark, folder).select("doc_id", "text")
-    words = stopword_table(spark, B.LANGUAGES).select("word")
+    words = sorted({w for words in stop_lists(B.LANGUAGES).values() for w in words})
     return tok.remove_stopwords(docs, words).select("doc_id", "stopped_text")
 
 
+@query("P8", f"""WITH {B.TOK}, common AS (SELECT lower(token) AS w FROM tok GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3)
+SELECT d.doc_id, coalesce(s.text, '') AS stopped_text FROM documents d LEFT JOIN
+(SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text FROM tok
+ WHERE lower(token) NOT IN (SELECT w FROM common) GROUP BY doc_id) s USING (doc_id)""")
+def remove_corpus_words(spark, folder):
+    """The words that at least three documents share go: a stop table that grows with the corpus."""
+    docs = B.documents(spark, folder).select("doc_id", "text")
+    pairs = B.tokens(spark, folder).groupBy("doc_id", F.lower("token").alias("word")).agg(F.count("*").alias("n"))
+    common = pairs.groupBy("word").agg(F.count("*").alias("n_docs")).filter("n_docs >= 3")
+    return tok.remove_stopwords(docs, common).select("doc_id", "stopped_text")
+
+
 @query("P9", f"""WITH {B.TOK}, keep AS (SELECT lower(token) AS w FROM tok GROUP BY 1 HAVING count(*) >= 5),
 clean AS (SELECT doc_id, pos, lower(translate(token, {B.sql_text(P.PUNCTUATION)}, '')) AS w FROM tok)
 SELECT d.doc_id, coalesce(s.text, '') AS clean_text FROM documents d LEFT JOIN

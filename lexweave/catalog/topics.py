@@ -8,6 +8,7 @@ from lexweave.catalog import base as B
 from lexweave.catalog.base import query
 from lexweave.operators import compare, morph, state as st, stats, topics, tree
 from lexweave.plans import diagnostics as plan
+from lexweave.sources.aligned import write_aligned
 
 _KINDS = """long AS (SELECT topic, 'lemma' AS kind, lemma AS value, n FROM cells UNION ALL SELECT topic, 'slot', slot, n FROM cells
 UNION ALL SELECT topic, 'pos', pos_tag, n FROM cells),
@@ -51,6 +52,24 @@ def unmapped_state(spark, folder):
     return topics.term_cells(st.unmap(B.state(spark, folder), treated)).select("topic", "term", "n")
 
 
+def _aligned(df):
+    """A token table in the layout that all tables of the corpus share."""
+    return write_aligned(df, buckets=int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+@query("J1", f"WITH {B.ASSIGNED} SELECT topic, term, lemma, slot, pos_tag, n FROM cells")
+def aligned_cells(spark, folder):
+    return morph.topic_cells(st.assigned_tokens(_aligned(B.state(spark, folder)), _aligned(B.gold(spark, folder))))
+
+
+@query("J2", f"""WITH {B.TOK}, {B.STATE}, {B.STATE_B} SELECT sb.topic, sa.term, count(*) AS n
+FROM sa JOIN sb USING (doc_id, pos) GROUP BY 1, 2""")
+def aligned_unmapped_state(spark, folder):
+    treated = B.state(spark, folder, with_position=False).withColumn("term", F.substring("term", 1, 5))
+    unmapped = st.unmap(_aligned(B.state(spark, folder)), _aligned(treated))
+    return topics.term_cells(unmapped).select("topic", "term", "n")
+
+
 @query("J3,M6", f"""WITH {B.TOK}, {B.STATE}, ids AS (SELECT term, row_number() OVER (ORDER BY f) - 1 AS term_id FROM
 (SELECT substr(term, 1, 5) AS term, min(doc_id * 1000000 + pos) AS f FROM sa GROUP BY 1))
 SELECT s.topic, i.term_id, i.term, count(*) AS n FROM (SELECT topic, substr(term, 1, 5) AS term FROM sa) s JOIN ids i USING (term) GROUP BY ALL""")
@@ -298,6 +317,20 @@ def voi_within_and_between_treatments(spark, folder):
     return B.rounded(compare.average_voi(voi, "treatment", ["num_topics"]))
 
 
+@query("M13", f"""WITH {B.TOK}, {B.STATE}, {B.STATE_B} SELECT sa.topic AS topic_a, sb.topic AS topic_b, count(*) AS n
+FROM sa JOIN sb USING (doc_id, pos) GROUP BY 1, 2""")
+def aligned_run_contingency(spark, folder):
+    return compare.contingency(_aligned(B.state(spark, folder)), _aligned(B.state(spark, folder, with_position=False)))
+
+
+@query("M14", mean_voi_sql(f"{B.TOK}, {B.STATES}"))
+def aligned_voi_within_and_between_treatments(spark, folder):
+    states = _aligned(B.states(spark, folder))
+    cells = compare.run_pair_contingency(states, ["treatment", "run"], ["num_topics"], sorted({(t, r) for t, _, r in B.RUNS}))
+    voi = compare.variation_of_information(cells, ["num_topics", "run_a", "run_b"])
+    return B.rounded(compare.average_voi(voi, "treatment", ["num_topics"]))
+
+
 _RUN_H = f"""{B.TOK}, {B.STATES}, dt AS (SELECT treatment, num_topics, run, topic, doc_id, count(*) AS n FROM runs GROUP BY ALL),
 tt AS (SELECT treatment, num_topics, run, topic, sum(n) AS total FROM dt GROUP BY ALL),
 run_h AS (SELECT treatment, num_topics, run, topic, round(-sum(n / total * log2(n / total)), 6) AS document_entropy

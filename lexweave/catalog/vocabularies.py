@@ -218,9 +218,9 @@ both_lens AS (SELECT n_all, coalesce(n, 0) AS n_kept FROM lens LEFT JOIN kept US
 SELECT count(*) AS documents, sum(n_all)::BIGINT AS tokens_read, round(avg(n_all), 6) AS mean_length_read, sum(n_kept)::BIGINT AS tokens_kept,
 round(avg(n_kept), 6) AS mean_length_kept, sum(n_all - n_kept)::BIGINT AS tokens_removed FROM both_lens""")
 def corpus_lengths(spark, folder):
-    from lexweave.functions.stopwords import stopword_table
+    from lexweave.functions.stopwords import stop_lists
 
-    words = tok.small_word_list(stopword_table(spark, B.LANGUAGES).select("word"))
+    words = sorted({w for words in stop_lists(B.LANGUAGES).values() for w in words})
     docs = B.documents(spark, folder).select(
         T.count_tokens(F.col("text")).alias("n_all"),
         T.count_tokens(tok.stopped_text(F.col("text"), words)).alias("n_kept"))

@@ -8,9 +8,8 @@ from lexweave.functions import text as T
 from lexweave.functions.patterns import WORD
 from lexweave.operators.keyed import lookup_join
 
-# A list this short travels inside the plan as a hash set; longer ones are joined.
-LITERAL_LIMIT = 2000
-
+# Word lists come in two forms, and the form alone decides the plan.  A Python list travels inside the plan as a
+# hash set and is tested within the row.  A DataFrame, of any size, is joined.
 
 def token_table(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
                 pattern: str = WORD) -> DataFrame:
@@ -42,94 +41,75 @@ def regroup(tokens: DataFrame, by: list[str], token_col: str = "token", pos_col:
                   .select(*by, F.array_join(F.col(f"__pairs.{token_col}"), " ").alias(out_col)))
 
 
-def _filter_by_table(docs: DataFrame, id_col: str, text_col: str, out_col: str,
-                     words: DataFrame, word: Column, how: str) -> DataFrame:
-    tokens = token_table(docs, text_col, [id_col]).withColumn("__key", word)
-    lookup = words.select(F.col("word").alias("__key")).distinct()
-    kept = lookup_join(tokens, lookup, ["__key"], how, spread_by=[id_col, "pos"])
-    kept_token = "__key" if how == "left_semi" else "token"
-    joined = regroup(kept, [id_col], kept_token, "pos", out_col)
-    return (docs.join(joined, id_col, "left")
-                .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(""))))
-
+def text_key(text: Column) -> Column:
+    """Digest that stands for a text where rows meet again: it survives recomputation and repeated ids."""
+    return F.sha2(text.cast("binary"), 256)
 
-def small_word_list(words: DataFrame, limit: int = LITERAL_LIMIT) -> list[str] | None:
-    """The words if there are at most ``limit`` of them, else ``None``."""
-    head = words.select("word").distinct().limit(limit + 1).collect()
-    return None if len(head) > limit else [r["word"] for r in head]
 
+def _filter_by_table(docs: DataFrame, text_col: str, out_col: str, words: DataFrame, word: Column, how: str) -> DataFrame:
+    """Each distinct text is filtered once by a join on its tokens; documents then fetch the result by text."""
+    keyed = docs.withColumn("__text", text_key(F.col(text_col)))
+    texts = keyed.filter(F.col(text_col).isNotNull()).select("__text", text_col).dropDuplicates(["__text"])
+    tokens = token_table(texts, text_col, ["__text"]).withColumn("__key", word)
+    lookup = words.select(F.col("word").alias("__key")).distinct()
+    kept = lookup_join(tokens, lookup, ["__key"], how, spread_by=["__text", "pos"])
+    kept_token = "__key" if how == "left_semi" else "token"
+    joined = regroup(kept, ["__text"], kept_token, "pos", "__out")
+    return (keyed.join(joined, "__text", "left")
+                 .withColumn(out_col, F.coalesce(F.col("__out"), F.lit(""))).drop("__text", "__out"))
 
-def remove_stopwords(docs: DataFrame, words: DataFrame, id_col: str = "doc_id",
-                     text_col: str = "text", out_col: str = "stopped_text") -> DataFrame:
-    """Text without the words of a ``(word)`` table of any size.
 
-    A short list is applied inside each row.  A long one goes through an anti join on the token
-    and an ordered regroup per document.
-    """
-    small = small_word_list(words)
-    if small is not None:
-        return docs.withColumn(out_col, stopped_text(F.col(text_col), small))
-    return _filter_by_table(docs, id_col, text_col, out_col, words, F.lower("token"), "left_anti")
+Words = DataFrame | list[str]
 
 
-def keep_vocabulary(docs: DataFrame, words: DataFrame, id_col: str = "doc_id",
-                    text_col: str = "text", out_col: str = "clean_text") -> DataFrame:
-    """Clean text restricted to the words of a ``(word)`` table of any size."""
-    small = small_word_list(words)
-    if small is not None:
-        return docs.withColumn(out_col, clean_text(F.col(text_col), small))
-    word = F.lower(T.strip_punctuation(F.col("token")))
-    return _filter_by_table(docs, id_col, text_col, out_col, words, word, "left_semi")
+def remove_stopwords(docs: DataFrame, words: Words, text_col: str = "text",
+                     out_col: str = "stopped_text") -> DataFrame:
+    """Text without the words of a list or of a ``(word)`` table of any size; a null text becomes empty."""
+    if isinstance(words, DataFrame):
+        return _filter_by_table(docs, text_col, out_col, words, F.lower("token"), "left_anti")
+    return docs.withColumn(out_col, F.coalesce(stopped_text(F.col(text_col), words), F.lit("")))
 
 
-StopWords = DataFrame | dict[str, list[str]]
+def keep_vocabulary(docs: DataFrame, words: Words, text_col: str = "text", out_col: str = "clean_text") -> DataFrame:
+    """Clean text restricted to the words of a list or of a ``(word)`` table of any size; a null text becomes empty."""
+    if isinstance(words, DataFrame):
+        word = F.lower(T.strip_punctuation(F.col("token")))
+        return _filter_by_table(docs, text_col, out_col, words, word, "left_semi")
+    return docs.withColumn(out_col, F.coalesce(clean_text(F.col(text_col), words), F.lit("")))
 
 
-def _stop_lists(stop_table: StopWords, limit: int) -> dict[str, list[str]] | None:
-    """Words by language, or ``None`` when the table is longer than ``limit``."""
-    if isinstance(stop_table, dict):
-        return stop_table
-    rows = stop_table.select("lang", "word").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    lists: dict[str, list[str]] = {}
-    for row in rows:
-        lists.setdefault(row["lang"], []).append(row["word"])
-    return {lang: sorted(words) for lang, words in sorted(lists.items())}
+StopLists = dict[str, list[str]]
+StopWords = DataFrame | StopLists
 
 
 def _is_stopped(token: Column, lang: Column, lists: dict[str, list[str]]) -> Column:
     stopped = F.lit(False)
     for code, words in lists.items():
-        stopped = stopped | ((lang == code) & in_words(F.lower(token), words))
+        stopped = stopped | (lang.eqNullSafe(F.lit(code)) & in_words(F.lower(token), words))
     return stopped
 
 
-def usable_words(text: Column, lang: Column, stop_table: StopWords, pattern: str = WORD) -> Column:
-    """Usable tokens of a text as an array, with stop words as lists by language or a short table."""
-    lists = _stop_lists(stop_table, LITERAL_LIMIT * 10)
-    if lists is None:
-        raise ValueError("stop table too long for one expression; use usable_tokens")
+def usable_words(text: Column, lang: Column, lists: StopLists, pattern: str = WORD) -> Column:
+    """Usable tokens of a text as an array, with stop words as lists by language."""
     found = T.tokenise(text, pattern)
     if pattern != WORD:
         return F.filter(found, lambda t: ~_is_stopped(t, lang, lists) & T.is_word(t))
     return F.filter(found, lambda t: ~_is_stopped(t, lang, lists))  # WORD tokens have the shape
 
 
-def usable_tokens(tokens: DataFrame, stop_table: StopWords, lang_col: str = "lang",
-                  token_col: str = "token") -> DataFrame:
+def usable_tokens(tokens: DataFrame, stop_words: StopWords, lang_col: str = "lang",
+                  token_col: str = "token", spread_by: list[str] | None = None) -> DataFrame:
     """Tokens that are no stop word of their language and have the shape of a word throughout.
 
-    ``stop_table`` holds lists by language or a ``(lang, word)`` table, a few hundred words each; they
-    go into one expression so that the token rows are not shuffled.  A longer table is joined.
+    Lists by language go into one expression, so that the token rows are not shuffled; a ``(lang, word)`` table of
+    any size is joined.  A token without a language has no stop words.
     """
     shaped = tokens.filter(T.is_word(F.col(token_col)))
-    lists = _stop_lists(stop_table, LITERAL_LIMIT * 10)
-    if lists is not None:
-        return shaped.filter(~_is_stopped(F.col(token_col), F.col(lang_col), lists))
-    lookup = stop_table.select(F.col("lang").alias(lang_col), F.col("word").alias("__key")).distinct()
+    if not isinstance(stop_words, DataFrame):
+        return shaped.filter(~_is_stopped(F.col(token_col), F.col(lang_col), stop_words))
+    lookup = stop_words.select(F.col("lang").alias(lang_col), F.col("word").alias("__key")).distinct()
     keyed = shaped.withColumn("__key", F.lower(token_col))
-    return lookup_join(keyed, lookup, [lang_col, "__key"], "left_anti").drop("__key")
+    return lookup_join(keyed, lookup, [lang_col, "__key"], "left_anti", spread_by).drop("__key")
 
 
 def long_documents(tokens: DataFrame, min_tokens: int = 100, id_col: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ class PreparedCorpus:
     sizes: DataFrame
 
 
-def prepare_corpus(tokens: DataFrame, stop_table: tok.StopWords, treatments: dict | None = None,
+def prepare_corpus(tokens: DataFrame, stop_words: tok.StopWords, treatments: dict | None = None,
                    min_tokens: int = 100, has_oracle: bool = False, id_col: str = "doc_id",
                    token_col: str = "token", lang_col: str = "lang") -> PreparedCorpus:
     """Drop stop words and non-words, treat what is left, keep documents of ``min_tokens`` or more.
@@ -27,7 +27,7 @@ def prepare_corpus(tokens: DataFrame, stop_table: tok.StopWords, treatments: dic
     The minimum counts kept tokens.  With ``has_oracle`` the gold ``lemma`` becomes a treatment.
     """
     treatments = treatments if treatments is not None else treat.column_treatments()
-    usable = tok.usable_tokens(tokens, stop_table, lang_col, token_col)
+    usable = tok.usable_tokens(tokens, stop_words, lang_col, token_col)
     long_enough = tok.long_documents(usable, min_tokens, id_col)
     treated = treat.treated_columns(long_enough, treatments, token_col)
     if has_oracle:
@@ -46,17 +46,35 @@ def prepare_corpus(tokens: DataFrame, stop_table: tok.StopWords, treatments: dic
     return PreparedCorpus(treated, sizes)
 
 
-def prepare_documents(docs: DataFrame, stop_table: tok.StopWords, min_tokens: int = 100,
+def prepare_documents(docs: DataFrame, stop_words: tok.StopWords, min_tokens: int = 100,
                       text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Plain-text documents with a ``words`` array of usable tokens, short documents left out.
 
-    Stop words, word shape and the minimum length are all settled inside the row, so nothing is
-    shuffled.  A short document is an empty ``explode`` rather than a filter: Spark would move the
-    filter down and tokenise every text a second time for it.
+    With stop lists, stop words, word shape and the minimum length are all settled inside the row, so nothing is
+    shuffled.  A short document is an empty ``explode`` rather than a filter: Spark would move the filter down and
+    tokenise every text a second time for it.  A stop table, of any size, is joined with the tokens of each distinct
+    text and language.
     """
-    words = tok.usable_words(F.col(text_col), F.col(lang_col), stop_table)
+    kept = [F.col(c) for c in docs.columns if c != text_col]
+    if isinstance(stop_words, DataFrame):
+        found = _words_by_table(docs, stop_words, min_tokens, text_col, lang_col)
+        keyed = docs.withColumn("__text", tok.text_key(F.col(text_col))).alias("d")
+        same = (F.col("d.__text") == F.col("w.__text")) & F.col(f"d.{lang_col}").eqNullSafe(F.col("w.__lang"))
+        return keyed.join(found.alias("w"), same).select(*[F.col(f"d.{c}") for c in docs.columns if c != text_col], "w.words")
+    words = tok.usable_words(F.col(text_col), F.col(lang_col), stop_words)
     long_enough = F.filter(F.array(words), lambda found: F.size(found) >= min_tokens)
-    return docs.select(*[c for c in docs.columns if c != text_col], F.explode(long_enough).alias("words"))
+    return docs.select(*kept, F.explode(long_enough).alias("words"))
+
+
+def _words_by_table(docs: DataFrame, stop_table: DataFrame, min_tokens: int, text_col: str, lang_col: str) -> DataFrame:
+    """``__text, __lang, words`` of the distinct texts that keep at least ``min_tokens`` words."""
+    texts = (docs.select(tok.text_key(F.col(text_col)).alias("__text"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__body"))
+             .filter(F.col("__body").isNotNull()).dropDuplicates(["__text", "__lang"]))
+    tokens = tok.token_table(texts, "__body", ["__text", "__lang"])
+    usable = tok.usable_tokens(tokens, stop_table, "__lang", spread_by=["__text", "pos"])
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    grouped = usable.groupBy("__text", "__lang").agg(ordered.alias("__t")).filter(F.size("__t") >= min_tokens)
+    return grouped.select("__text", "__lang", F.col("__t.token").alias("words"))
 
 
 def document_texts(prepared: DataFrame, treatments: dict) -> DataFrame:

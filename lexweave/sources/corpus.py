@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window, functions as F
 from pyspark.sql.streaming import DataStreamReader
 
 from lexweave.operators.treat import stack
+from lexweave.session import materialised
 
 CORPUS_SCHEMA = "doc_id string, label string, text string"
 VOCAB_SCHEMA = "word string, term_freq bigint, doc_freq bigint"
@@ -57,6 +58,42 @@ def read_text_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     return good, bad
 
 
+def read_text_lines(spark: SparkSession, folder: str, suffix: str = "*.txt") -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, label, line, text, path)`` of UTF-8 files of any size, and the files that are not UTF-8.
+
+    Spark cuts the files into byte ranges at line ends, so one large file is read by many tasks; lines are numbered
+    from 0 within their file from one count per range.  Lines end in a line feed, which is left out; a carriage
+    return stays.  An empty file has no lines.  A file with a line that is not UTF-8 is left out whole and reported
+    as ``(path, bad_lines)``.
+    """
+    place = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
+    # ranges depend on the cluster's size at the moment of the scan, so they and the places in them are fixed once
+    rows = materialised(
+        spark.read.option("lineSep", "\n").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true")
+        .text(folder).select(*place, "value", F.monotonically_increasing_id().alias("row"),
+                             F.is_valid_utf8("value").alias("valid")), "lines")
+    ranges = rows.groupBy("path", "start").agg(
+        F.min("row").alias("first"), F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("bad"))
+    whole = Window.partitionBy("path")
+    ranges = ranges.select(
+        "path", "start", "first", (F.sum("n").over(whole.orderBy("start")) - F.col("n")).alias("before"),
+        F.sum("bad").over(whole).alias("bad_lines"))
+    stem = file_stem(F.col("path"))
+    # one row for each range of 128 MB: Spark may broadcast them, or split the longer side where a file is hot
+    lines = (rows.join(ranges.filter("bad_lines = 0"), ["path", "start"])
+             .select(stem.alias("doc_id"), author_of(stem).alias("label"),
+                     (F.col("before") + F.col("row") - F.col("first")).alias("line"), F.col("value").alias("text"), "path"))
+    return lines, ranges.filter("bad_lines > 0").select("path", "bad_lines").distinct()
+
+
+def line_passages(lines: DataFrame, line_count: int) -> DataFrame:
+    """``(doc_id, label, passage, text, path)``: every ``line_count`` lines of a file as one text."""
+    passage = F.floor(F.col("line") / line_count).alias("passage")
+    ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
+    return (lines.groupBy("path", "doc_id", "label", passage).agg(ordered.alias("t"))
+            .select("doc_id", "label", "passage", F.array_join(F.col("t.text"), "\n").alias("text"), "path"))
+
+
 def read_corpus_tsv(spark: SparkSession, path: str) -> DataFrame:
     return tsv_reader(spark.read, CORPUS_SCHEMA).csv(path)
 

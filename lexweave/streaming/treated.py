@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from lexweave.operators.tokens import StopWords
+from lexweave.operators.tokens import StopLists
 from lexweave.plans.prepare import document_texts, prepare_documents
 from lexweave.session import scratch_path
 from lexweave.sources.corpus import CORPUS_SCHEMA, tsv_reader
@@ -20,9 +20,10 @@ def read_corpus_stream(spark: SparkSession, folder: str) -> DataFrame:
     return tsv_reader(spark.readStream, CORPUS_SCHEMA).csv(folder)
 
 
-def treated_stream(docs: DataFrame, stop_table: StopWords, treatments: dict,
+def treated_stream(docs: DataFrame, stop_lists: StopLists, treatments: dict,
                    min_tokens: int = 100, lang_col: str = "lang") -> DataFrame:
-    return document_texts(prepare_documents(docs, stop_table, min_tokens, lang_col=lang_col), treatments)
+    """Texts under every treatment; stop words are lists by language, as a joined table would need state."""
+    return document_texts(prepare_documents(docs, stop_lists, min_tokens, lang_col=lang_col), treatments)
 
 
 def write_treated(stream: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:

@@ -20,6 +20,31 @@ def test_text_folder_skips_other_encodings(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in bad.collect()] == ["Tolstoy_War.txt"]
 
 
+def test_lines_of_byte_ranges_equal_the_whole_read(spark, tmp_path):
+    texts = {"Tolstoy_Anna": "мир\nда\n\r\nи " + "слово " * 40 + "\nend", "Gogol_Nose": "\n\nодна\n", "Gogol_Empty": "",
+             "Gogol_Many": "".join(f"{i} {'x' * (i % 37)}\n" for i in range(300))}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_bytes(text.encode("utf-8"))
+    (tmp_path / "Bad_File.txt").write_bytes(b"good line\n" * 30 + "мир".encode("cp1251") + b"\nmore\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "23"):                      # the second cuts every file into ranges of 23 bytes
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines, bad = corpus.read_text_lines(spark, str(tmp_path))
+            got = {}
+            for r in lines.orderBy("doc_id", "line").collect():
+                got.setdefault(r["doc_id"], []).append((r["line"], r["text"], r["label"]))
+            bad_rows = [(r["path"].rsplit("/", 1)[1], r["bad_lines"]) for r in bad.collect()]
+            passages = corpus.line_passages(lines, 7).orderBy("doc_id", "passage").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        whole = {name: text.removesuffix("\n").split("\n") for name, text in texts.items() if text}
+        assert got == {n: [(i, t, n.split("_")[0]) for i, t in enumerate(parts)] for n, parts in whole.items()}
+        assert bad_rows == [("Bad_File.txt", 1)]
+        assert [r["text"] for r in passages if r["doc_id"] == "Gogol_Many"] == [
+            "\n".join(whole["Gogol_Many"][i:i + 7]) for i in range(0, 300, 7)]
+
+
 def test_names(spark):
     df = spark.createDataFrame([("/c/Gogol/Nose.txt",)], "path string")
     flat = corpus.nested_name(F.col("path"))

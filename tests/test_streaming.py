@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexweave.functions.stopwords import stopword_table
+from lexweave.functions.stopwords import stop_lists
 from lexweave.operators import treat
 from lexweave.plans import prepare
 from lexweave.sources import corpus
@@ -14,7 +14,7 @@ def test_stream_equals_batch(spark, tmp_path):
     source.mkdir()
     (source / "a.tsv").write_text("1\tde\tDas Haus und die Haustür\n2\tde\tund\n", encoding="utf-8")
     (source / "b.tsv").write_text("3\tde\tGarten\n4\tde\t\n", encoding="utf-8")
-    stop, table = stopword_table(spark, ["de"]), treat.column_treatments()
+    stop, table = stop_lists(["de"]), treat.column_treatments()
     stream = treated.read_corpus_stream(spark, str(source)).withColumn("lang", F.col("label"))
     query = treated.write_treated(treated.treated_stream(stream, stop, table, 1), str(tmp_path / "out"), str(tmp_path / "ckpt"))
     assert query.awaitTermination(60)

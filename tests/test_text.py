@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions import patterns as P, text as T
-from lexweave.functions.stopwords import RUSSIAN_EXTRAS, stopword_table, stopwords
+from lexweave.functions.stopwords import RUSSIAN_EXTRAS, stop_lists, stopword_table, stopwords
 from lexweave.operators import authors, tokens as tok, treat, vocab
 from lexweave.plans import prepare
 
@@ -83,31 +83,59 @@ def test_stop_lists(spark):
     assert stopword_table(spark, ["de", "xx"]).select("lang").distinct().collect()[0]["lang"] == "de"
 
 
-def test_stop_and_keep_lists_agree_between_short_and_long_lists(spark, monkeypatch):
+def test_stop_and_keep_words_agree_between_lists_and_tables(spark):
+    # repeated ids, repeated texts, a null id, a null text and an empty one
     docs = spark.createDataFrame(
-        [(1, "The cat, the DOG and e-mail"), (2, "the the"), (3, "")], "doc_id bigint, text string")
-    words = spark.createDataFrame([("the",), ("and",)], "word string")
-    keep = spark.createDataFrame([("cat",), ("e-mail",), ("dog",)], "word string")
-
-    def both():
-        return (sorted(tok.remove_stopwords(docs, words).select("doc_id", "stopped_text").collect()),
-                sorted(tok.keep_vocabulary(docs, keep).select("doc_id", "clean_text").collect()))
-
-    short = both()
-    assert [r[1] for r in short[0]] == ["cat DOG e-mail", "", ""]
-    assert [r[1] for r in short[1]] == ["cat dog e-mail", "", ""]
-    monkeypatch.setattr(tok.small_word_list, "__defaults__", (1,))
-    assert both() == short
-
-
-@pytest.mark.parametrize("limit", [None, -1])
-def test_usable_tokens_test_the_whole_token(spark, monkeypatch, limit):
-    if limit is not None:
-        monkeypatch.setattr(tok, "LITERAL_LIMIT", 0)
-    rows = [(i, "de", t) for i, t in enumerate(["und", "Und", "Haus", "x1", "!", "Haus-Tür", "the"])]
+        [(1, "The cat, the DOG and e-mail"), (2, "the the"), (3, ""), (1, "and another cat"), (None, "dog the dog"),
+         (4, None), (5, "The cat, the DOG and e-mail")], "doc_id bigint, text string")
+    stop, keep = ["the", "and"], ["cat", "e-mail", "dog"]
+
+    def both(form):
+        return (sorted(tok.remove_stopwords(docs, form(stop)).select("doc_id", "stopped_text").collect(), key=str),
+                sorted(tok.keep_vocabulary(docs, form(keep)).select("doc_id", "clean_text").collect(), key=str))
+
+    listed = both(lambda words: words)
+    assert sorted(r[1] for r in listed[0]) == ["", "", "", "another cat", "cat DOG e-mail", "cat DOG e-mail", "dog dog"]
+    assert sorted(r[1] for r in listed[1]) == ["", "", "", "cat", "cat dog e-mail", "cat dog e-mail", "dog dog"]
+    table = lambda words: spark.createDataFrame([(w,) for w in [*words, words[0], None]], "word string")
+    assert both(table) == listed
+
+
+def test_word_tables_of_any_size(spark):
+    words = spark.range(100_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
+    letters = words.select(F.translate("word", "0123456789", "abcdefghij").alias("word"))
+    docs = spark.createDataFrame([(1, "wa keep wjjjjj wbaaaaa Wb"), (2, "keep")], "doc_id int, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for bytes_ in (limit, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bytes_)
+        try:
+            stopped = {r["doc_id"]: r["stopped_text"] for r in tok.remove_stopwords(docs, letters).collect()}
+            kept = {r["doc_id"]: r["clean_text"] for r in tok.keep_vocabulary(docs, letters).collect()}
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        assert stopped == {1: "keep wbaaaaa", 2: "keep"} and kept == {1: "wa wjjjjj wb", 2: ""}
+
+
+@pytest.mark.parametrize("form", ["lists", "table"])
+def test_usable_tokens_test_the_whole_token(spark, form):
+    stop = stop_lists(["de", "en"]) if form == "lists" else stopword_table(spark, ["de", "en"])
+    rows = [(i, "de", t) for i, t in enumerate(["und", "Und", "Haus", "x1", "!", "Haus-Tür", "the"])] + [(9, None, "und")]
     tokens = spark.createDataFrame(rows, "pos int, lang string, token string")
-    kept = tok.usable_tokens(tokens, stopword_table(spark, ["de", "en"]))
-    assert [r["token"] for r in kept.orderBy("pos").collect()] == ["Haus", "Haus-Tür", "the"]
+    kept = tok.usable_tokens(tokens, stop)
+    assert [r["token"] for r in kept.orderBy("pos").collect()] == ["Haus", "Haus-Tür", "the", "und"]
+
+
+def test_prepared_documents_agree_between_lists_and_tables(spark):
+    docs = spark.createDataFrame(
+        [(1, "de", "und das Haus steht"), (1, "en", "und the house stands"), (2, "de", "und das Haus steht"),
+         (3, None, "und das Haus"), (4, "de", "und"), (5, "de", None), (6, "en", "")], "doc_id int, lang string, text string")
+
+    def rows(stop):
+        return sorted(prepare.prepare_documents(docs, stop, min_tokens=2).collect(), key=str)
+
+    listed = rows(stop_lists(["de", "en"]))
+    assert rows(stopword_table(spark, ["de", "en"])) == listed
+    assert sorted((r["doc_id"], len(r["words"])) for r in listed) == [(1, 2), (1, 3), (2, 2), (3, 3)]
 
 
 def test_russian_stems(spark):
