@@ -3,13 +3,16 @@
 Each distinct set has a prefix: its rarest shingles, so many that two sets similar enough share one.  The
 inverted index holds prefix shingles with set, size and position.  Two means keep its lists from being paired off:
 
-* index level: in a list, a pair is formed only if sizes and positions leave room for enough common shingles;
+* index level: a list is cut into blocks of similar set sizes.  Size and position of an entry bound the sizes of its
+  partners, so it visits the blocks within its reach and skips the others whole; deep entries often reach none.
+  In a visited block a pair is formed only if both sizes and positions leave room for enough common shingles;
 * answer level: each list first asks only its pivot, the entry of lowest position.  Sets whose link to a pivot is
   verified share the pivot's answers: they are one component already, and pairs inside a component are skipped.
   What remains of a list is then formed in full across components, so no link between components is lost.
 
 Shingles frequent everywhere come last in the order, before them those of long lists; both are recognised from
-counts over all documents.  Lists of one entry are left out before anything is sorted.
+counts over all documents.  Lists of one entry are left out before anything is sorted.  Lists of frequent shingles
+are spread over tasks by set name; what is known of a whole list is put together from its parts.
 Words and shingles are 64-bit hashes.  A formed pair is tested on parity sketches, which rule it out only if its
 sets differ in too many shingles, and then verified on the whole sets.
 """
@@ -37,6 +40,9 @@ CHUNK = 512                 # sets counted together when frequent shingles are l
 FREQUENT = 1 / 200          # share of the sets from which a shingle is frequent; 200 times the mean size is the most there are
 FEW = 200                   # long lists are looked for until fewer than one in so many shingles has a new one
 LONG_LIST = 16              # entries from which a list's shingle is moved back in the order
+SPREAD = 64                 # tasks over which the list of a frequent shingle is spread
+COPIES = 8                  # parts of a block of such a list when it is paired off
+BLOCK = 1.1                 # ratio of the set sizes in a block of a list
 FILTER_BITS = 27            # of the bit maps of shingles and of sets: 16 MB each, whatever the input's size
 
 
@@ -212,11 +218,13 @@ def _indexer(sent):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, shared_bits = received(sent)
         for batch in batches:
-            parts, places, sizes, lengths = [], [], [], []
+            parts, places, sizes, lengths, hot = [], [], [], [], []
             for raw in batch.column(1).to_pylist():
                 whole = np.frombuffer(raw, dtype=np.uint64)
                 first = order.prefix(whole)
-                place = np.flatnonzero(_bits(shared_bits, first) | order._often(first)[0])
+                often = order._often(first)[0]
+                place = np.flatnonzero(_bits(shared_bits, first) | often)
+                hot.append(often[place])
                 parts.append(first[place])
                 places.append(place)
                 sizes.append(len(whole))
@@ -226,7 +234,8 @@ def _indexer(sent):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(parts or none).view(np.int64)), batch.column(0).take(pa.array(rows, pa.int64())),
                  pa.array(np.array(sizes, dtype=np.int32)[rows] if sizes else np.zeros(0, np.int32)),
-                 pa.array(np.concatenate(places or none).astype(np.int32))], ["token", "name", "n", "pos"])
+                 pa.array(np.concatenate(places or none).astype(np.int32)),
+                 pa.array(np.concatenate(hot or none).astype(bool))], ["token", "name", "n", "pos", "hot"])
     return index
 
 
@@ -238,6 +247,51 @@ def _possible(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     return sizes & (F.least(n1 - p1, n2 - p2) >= needed)
 
 
+def _reach(n: Column, pos: Column) -> Column:
+    """Size of the largest set that can link by an entry of this size and position."""
+    return F.floor((n - pos) * (100 + THRESHOLD) / THRESHOLD) - n
+
+
+def _block(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(BLOCK))).cast("int")
+
+
+def _part(parts: int) -> Column:
+    """Part of a frequent shingle's list in which an entry lies; other lists are whole."""
+    return F.when(F.col("hot"), F.pmod(F.xxhash64("name"), F.lit(parts))).otherwise(0).cast("int")
+
+
+def block_pairs(entries: DataFrame) -> DataFrame:
+    """``a, b``: possible pairs across components among ``token, name, n, pos, hot, component``, repeated ones included.
+
+    The larger set of a pair, of equal ones that of the smaller name, visits the blocks that its size and position
+    reach; the other lies in the block of its size, and only if its own position leaves it a partner not smaller.
+    """
+    entries = entries.withColumns({c: F.col(c).cast("bigint") for c in ("n", "pos")})
+    n, reach = F.col("n"), _reach(F.col("n"), F.col("pos"))
+    least, most = F.ceil(n * THRESHOLD / 100), F.least(n, reach)
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    x = (entries.filter(most >= least).withColumn("block", F.explode(F.sequence(_block(least), _block(most))))
+         .withColumn("part", F.explode(parts)).alias("x"))
+    y = entries.filter(reach >= n).withColumns({"block": _block(n), "part": _part(COPIES)}).alias("y")
+    larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.name") < F.col("y.name")))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block"))
+                   & (F.col("x.part") == F.col("y.part")))
+    return pairs.filter(larger & (F.col("x.component") != F.col("y.component"))
+                        & _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))).select(
+        F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
+
+
+def _whole_lists(parts: DataFrame, of_list: dict[str, Column]) -> DataFrame:
+    """Rows of parts of lists with the columns ``of_list`` put together for the lists of frequent shingles.
+
+    There are at most (mean set size / FREQUENT) such lists, so a row for each is broadcast.
+    """
+    hot = parts.filter("hot")
+    lists = hot.groupBy("token").agg(*[c.alias(k) for k, c in of_list.items()])
+    return parts.filter("not hot").unionByName(hot.drop(*of_list).join(F.broadcast(lists), "token"))
+
+
 def _bitmap(keys: DataFrame) -> BitMap:
     """Bit map of fixed size with the bit of each ``key`` (its low bits)."""
     place = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
@@ -253,7 +307,7 @@ def _bitmap(keys: DataFrame) -> BitMap:
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:
-    """``token, name, n, pos, pivot, entries`` of the lists with more than one set, one row per entry."""
+    """``token, name, n, pos, hot, pivot, entries`` of the lists with more than one set, one row per entry."""
     spark = sets.sparkSession
     order = ShingleOrder(*frequent_shingles(sets))
     tokens = sets.select("tokens")
@@ -273,15 +327,15 @@ def inverted_lists(sets: DataFrame) -> DataFrame:
         fresh = far.filter(F.col("n") > LONG_LIST)
         if fresh.count() * FEW <= far.count():      # the rest of the long lists costs pairs, not links
             break
-    own = Window.partitionBy("token")
+    own = Window.partitionBy("token", "part")
     with _broadcast(spark, (order, met)) as sent:
         entries = sets.select("name", "tokens").mapInArrow(
-            _indexer(sent), "token bigint, name bigint, n int, pos int")
+            _indexer(sent), "token bigint, name bigint, n int, pos int, hot boolean").withColumn("part", _part(SPREAD))
         lists = entries.select("*", F.min("name").over(own).alias("low"), F.max("name").over(own).alias("high"),
                                F.min(F.struct("pos", "n", "name")).over(own).alias("pivot"))
-        lists = (lists.filter("low <> high").select("token", "name", "n", "pos", "pivot")
-                 .dropDuplicates(["token", "name"]))
-        return materialised(lists.withColumn("entries", F.count("*").over(own)), "lists")
+        lists = lists.filter("hot or low <> high").dropDuplicates(["token", "part", "name"])
+        lists = materialised(lists.withColumn("entries", F.count("*").over(own)).drop("part", "low", "high"), "lists")
+    return _whole_lists(lists, {"pivot": F.min("pivot"), "entries": F.count("*")}).filter("entries > 1")
 
 
 def parity_sketch(whole: np.ndarray) -> bytes:
@@ -381,19 +435,15 @@ def set_links(sets: DataFrame) -> DataFrame:
     asked = materialised(asked, "asked")
     answers = materialised(verified(asked, sets), "answers")
     groups = components(answers).select(F.col("node").alias("name"), "component")
-    own = Window.partitionBy("token")
+    own = Window.partitionBy("token", "part")
     # with two entries, the pivot has answered all
-    open_lists = (lists.filter("entries > 2").select("token", "name", "n", "pos").join(groups, "name", "left")
-                  .withColumn("component", F.coalesce("component", "name"))
-                  .withColumn("low", F.min("component").over(own)).withColumn("high", F.max("component").over(own))
-                  .filter("low <> high").drop("low", "high"))
-    open_lists = materialised(open_lists, "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    rest = (x.join(y, F.col("x.token") == F.col("y.token")).filter(
-        (F.col("x.name") < F.col("y.name")) & (F.col("x.component") != F.col("y.component"))
-        & _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-        .select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
-        .join(asked, ["a", "b"], "left_anti"))
+    open_lists = (lists.filter("entries > 2").select("token", "name", "n", "pos", "hot").join(groups, "name", "left")
+                  .withColumns({"component": F.coalesce("component", "name"), "part": _part(SPREAD)})
+                  .withColumns({"low": F.min("component").over(own), "high": F.max("component").over(own)})
+                  .filter("hot or low <> high").drop("part"))
+    open_lists = _whole_lists(materialised(open_lists, "open"), {"low": F.min("low"), "high": F.max("high")})
+    rest = (block_pairs(open_lists.filter("low <> high").drop("low", "high")).distinct()
+            .join(asked, ["a", "b"], "left_anti"))
     stars = groups.filter("name <> component").select(F.col("name").alias("a"), F.col("component").alias("b"))
     return stars.unionByName(verified(materialised(rest, "rest"), sets))
 

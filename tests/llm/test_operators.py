@@ -282,6 +282,44 @@ def test_long_lists_lose_no_link(spark, monkeypatch):
     assert rows == dict(enumerate(plain_components(plain_sets(texts), list(range(len(texts))))))
 
 
+def test_lists_of_frequent_shingles_are_spread_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 0.2)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 10)
+    draw, texts = random.Random(3), near_copies(3, groups=3, size=12)
+    for _ in range(60):     # most shingles of these are frequent, and not all of them are linked
+        words = [f"b{i}" for i in range(60)]
+        for _ in range(draw.randrange(4)):
+            words[draw.randrange(60)] = f"n{draw.randrange(400)}"
+        texts.append(" ".join(words))
+    expected = plain_components(plain_sets(texts), list(range(len(texts))))
+    sets = jaccard_join.shingle_sets(table(spark, texts), "doc_id", "text", 5).filter("tokens IS NOT NULL").cache()
+    lists = jaccard_join.inverted_lists(sets.select("name", "tokens")).toPandas()
+    assert lists["hot"].any() and not lists["hot"].all()
+    for _, rows in lists.groupby("token"):
+        lowest = rows.sort_values(["pos", "n", "name"]).iloc[0]["name"]
+        assert {p["name"] for p in rows["pivot"]} == {lowest} and set(rows["entries"]) == {len(rows)}
+        assert rows["name"].is_unique
+    rows = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(table(spark, texts)).collect()}
+    assert rows == dict(enumerate(expected))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_skip_no_possible_pair(spark, seed):
+    draw, rows = random.Random(seed), []
+    for token in range(6):
+        for name in draw.sample(range(400), 40):
+            n = draw.choice([1, 2, 3, 9, 10, 50, 55, 61, 100, 121, 1000, 1250]) + draw.randrange(3)
+            rows.append((token, name, n, draw.randrange(jaccard_join._prefix_length(n)), token % 2 == 0, name % 30))
+    entries = spark.createDataFrame(rows, "token bigint, name bigint, n int, pos int, hot boolean, component bigint")
+    expected = Counter()
+    for (t, x, n1, p1, _, c1), (u, y, n2, p2, _, c2) in combinations(rows, 2):
+        needed = -(-(n1 + n2) * 80 // 180)
+        if t == u and c1 != c2 and 100 * min(n1, n2) >= 80 * max(n1, n2) and min(n1 - p1, n2 - p2) >= needed:
+            expected[min(x, y), max(x, y)] += 1
+    got = Counter((r["a"], r["b"]) for r in jaccard_join.block_pairs(entries).collect())
+    assert got == expected and expected
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
