@@ -114,9 +114,10 @@ def sql_tokens(pattern: str = P.WORD, name: str = "tok") -> str:
 
 
 TOK = sql_tokens()
-GOLD = (TOK + ", gold AS (SELECT doc_id, pos, token AS surface, substr(lower(token), 1, 5) AS lemma, "
-        "concat(CASE WHEN length(token) <= 3 THEN 'F' WHEN length(token) <= 6 THEN 'N' ELSE 'V' END, ',', "
-        "lang, ',', right(lower(token), 1)) AS slot, lang, source FROM tok)")
+GOLD_PART = ("gold AS (SELECT doc_id, pos, token AS surface, substr(lower(token), 1, 5) AS lemma, "
+             "concat(CASE WHEN length(token) <= 3 THEN 'F' WHEN length(token) <= 6 THEN 'N' ELSE 'V' END, ',', "
+             "lang, ',', right(lower(token), 1)) AS slot, lang, source FROM tok)")
+GOLD = f"{TOK}, {GOLD_PART}"
 _STATE = ("SELECT doc_id, pos, source, lower(token) AS term, "
           "((doc_id * 31 + {place} + length(token) * 7) % 10)::INT AS topic FROM tok")
 STATE = "sa AS (" + _STATE.format(place="pos * 17") + ")"

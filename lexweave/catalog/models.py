@@ -144,20 +144,25 @@ def experiment_voi(spark, folder):
     return B.rounded(_experiment(spark, folder).mean_voi())
 
 
-@query("M6")
+_CELLS_OF_GRID = [(t, 5, r) for t, r in _GRID]
+_LEMMA_RUNS = (GRID_SQL.replace("runs AS MATERIALIZED", "trained AS MATERIALIZED") + f""", {B.GOLD_PART},
+runs AS MATERIALIZED (SELECT s.doc_id, s.pos, s.treatment, s.num_topics, s.run, g.lemma AS term, s.topic FROM trained s JOIN gold g USING (doc_id, pos))""")
+
+
+@query("M6", topic_queries.run_diagnostics_sql(_LEMMA_RUNS, _CELLS_OF_GRID))
 def experiment_lemma_diagnostics(spark, folder):
     lemmas = B.gold(spark, folder).select("doc_id", "pos", F.col("lemma").alias("term"))
-    return _experiment(spark, folder).diagnostics_of(lemmas)
+    return B.rounded(_experiment(spark, folder).diagnostics_of(lemmas))
 
 
-@query("M7,M8,M9,M10,M11,M12")
+@query("M7,M8,M9,M10,M11,M12", topic_queries.run_diagnostics_sql(GRID_SQL, _CELLS_OF_GRID))
 def experiment_diagnostics(spark, folder):
-    return _experiment(spark, folder).diagnostics()
+    return B.rounded(_experiment(spark, folder).diagnostics())
 
 
-@query("A4,A5,T1,T2")
+@query("A4,A5,T1,T2", topic_queries.run_morphology_sql(f"{GRID_SQL}, {B.GOLD_PART}", _CELLS_OF_GRID))
 def experiment_morphology(spark, folder):
-    return _experiment(spark, folder).morphology(B.gold(spark, folder))
+    return B.rounded(_experiment(spark, folder).morphology(B.gold(spark, folder)))
 
 
 # --- sampled topics -------------------------------------------------------------------------

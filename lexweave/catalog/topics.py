@@ -113,19 +113,20 @@ def top_term_cells(spark, folder):
     return cells.join(F.broadcast(tops), ["topic", "term"]).select("topic", "term", "count", "lemma", "slot", "n")
 
 
-_MORPHOLOGY = f"""WITH {B.ASSIGNED}, {_KINDS}, {_TOPS}, {_ENTROPY},
+_MORPHOLOGY_PARTS = f"""{_KINDS}, {_TOPS}, {_ENTROPY},
 covered AS (SELECT c.* FROM cells c JOIN top_terms t USING (topic, term)),
 sets AS (SELECT topic, count(DISTINCT lemma) / 20 AS l20, count(DISTINCT slot) / 20 AS s20, count(DISTINCT pos_tag) / 20 AS p20,
  list_sort(list(DISTINCT term)) AS terms, list_sort(list(DISTINCT lemma)) AS covered FROM covered GROUP BY topic),
 lems AS (SELECT topic, list_sort(list(lemma)) AS lemmas FROM top_lemmas GROUP BY topic),
 diffs AS (SELECT *, list_filter(lemmas, lambda x: NOT list_contains(covered, x)) AS extra,
- list_filter(covered, lambda x: NOT list_contains(lemmas, x)) AS missing FROM sets JOIN lems USING (topic))
-SELECT topic, round(lemma_entropy, 6) AS lemma_entropy, round(slot_entropy, 6) AS slot_entropy, round(pos_entropy, 6) AS pos_entropy,
+ list_filter(covered, lambda x: NOT list_contains(lemmas, x)) AS missing FROM sets JOIN lems USING (topic))"""
+_MORPHOLOGY_ROWS = """topic, round(lemma_entropy, 6) AS lemma_entropy, round(slot_entropy, 6) AS slot_entropy, round(pos_entropy, 6) AS pos_entropy,
 round(l20, 6) AS lemmas_to_top_20_surface_forms, round(s20, 6) AS slots_to_top_20_surface_forms, round(p20, 6) AS pos_to_top_20_surface_forms,
 array_to_string(terms, ' ') AS top_20_term_set, array_to_string(lemmas, ' ') AS top_20_lemma_set, array_to_string(covered, ' ') AS lemmas_in_top_20_terms,
 array_to_string(extra, ' ') AS top_lemmas_minus_top_term_lemmas, array_to_string(missing, ' ') AS top_term_lemmas_minus_top_lemmas,
 len(covered) AS num_lemmas_in_top_20_terms, len(extra) AS num_top_lemmas_excluded_by_top_terms, len(missing) AS num_top_term_lemmas_excluded_by_top_lemmas
 FROM diffs JOIN entropies USING (topic)"""
+_MORPHOLOGY = f"WITH {B.ASSIGNED}, {_MORPHOLOGY_PARTS}\nSELECT {_MORPHOLOGY_ROWS}"
 
 
 @query("A4,A5,A6,J4,J5,T1,T2,T3,W1,W2", _MORPHOLOGY)
@@ -159,7 +160,8 @@ def entropy_bands(spark, folder):
 
 # --- diagnostics ------------------------------------------------------------------------------
 
-_TC = f"{B.TOK}, {B.STATE}, cells AS (SELECT topic, term, count(*) AS n FROM sa GROUP BY 1, 2), totals AS (SELECT topic, sum(n) AS total FROM cells GROUP BY 1)"
+_CELLS = "cells AS (SELECT topic, term, count(*) AS n FROM sa GROUP BY 1, 2), totals AS (SELECT topic, sum(n) AS total FROM cells GROUP BY 1)"
+_TC = f"{B.TOK}, {B.STATE}, {_CELLS}"
 _TOP = """tops AS (SELECT * FROM (SELECT topic, term, n, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS rank FROM cells) WHERE rank <= 20)"""
 _DOC_H = """doc_h AS (SELECT topic, -sum(n / total * log2(n / total)) AS document_entropy FROM
 (SELECT topic, doc_id, count(*) AS n FROM sa GROUP BY 1, 2) JOIN totals USING (topic) GROUP BY topic)"""
@@ -211,13 +213,15 @@ def top_word_length(spark, folder):
     return B.rounded(topics.word_length(topics.term_cells(B.state(spark, folder))))
 
 
-_DIAG = f"{_TC}, {_TOP}, {_DOC_H}, {_DIST}, {_EXCL}, {_COH}, {_WLEN}"
-
-
-@query("M7,M8,M9,M10,M11,M12,P24", f"""WITH {_DIAG} SELECT topic, total::BIGINT AS tokens, round(document_entropy, 6) AS document_entropy,
+_METRICS = f"{_TOP}, {_DOC_H}, {_DIST}, {_EXCL}, {_COH}, {_WLEN}"
+_DIAG = f"{_TC}, {_METRICS}"
+_DIAG_ROWS = """topic, total::BIGINT AS tokens, round(document_entropy, 6) AS document_entropy,
 round(uniform_dist, 6) AS uniform_dist, round(corpus_dist, 6) AS corpus_dist, round(exclusivity, 6) AS exclusivity, round(coherence, 6) AS coherence,
 round(word_length, 6) AS word_length, round(-coherence, 6) AS negative_coherence
-FROM totals JOIN doc_h USING (topic) JOIN dist USING (topic) JOIN excl USING (topic) JOIN coh USING (topic) JOIN wlen USING (topic)""")
+FROM totals JOIN doc_h USING (topic) JOIN dist USING (topic) JOIN excl USING (topic) JOIN coh USING (topic) JOIN wlen USING (topic)"""
+
+
+@query("M7,M8,M9,M10,M11,M12,P24", f"WITH {_DIAG} SELECT {_DIAG_ROWS}")
 def topic_diagnostics(spark, folder):
     return B.rounded(plan.topic_diagnostics(B.state(spark, folder)))
 
@@ -275,6 +279,22 @@ def topic_summary(spark, folder):
     return B.rounded(plan.topic_summary(B.state(spark, folder), B.gold(spark, folder), "source"))
 
 
+def _of_each_run(runs: str, grid: list[tuple[str, int, int]], parts: str, rows: str) -> str:
+    """``rows`` of every run of CTE ``runs``, computed from ``parts`` that read its assignment as ``sa``."""
+    return f"WITH {runs} " + " UNION ALL ".join(
+        f"""SELECT * FROM (WITH sa AS (SELECT * FROM runs WHERE treatment = '{t}' AND num_topics = {k} AND run = {r}), {parts}
+SELECT '{t}' AS treatment, {k} AS num_topics, {r} AS run, {rows})""" for t, k, r in grid)
+
+
+def run_diagnostics_sql(runs: str, grid: list[tuple[str, int, int]]) -> str:
+    return _of_each_run(runs, grid, f"{_CELLS}, {_METRICS}", _DIAG_ROWS)
+
+
+def run_morphology_sql(runs: str, grid: list[tuple[str, int, int]]) -> str:
+    """The same of assignments joined with the analyses in CTE ``gold``."""
+    return _of_each_run(runs, grid, f"{B.CELLS}, {_MORPHOLOGY_PARTS}", _MORPHOLOGY_ROWS)
+
+
 # --- comparing runs ---------------------------------------------------------------------------
 
 @query("M13", f"""WITH {B.TOK}, {B.STATE}, {B.STATE_B} SELECT sa.topic AS topic_a, sb.topic AS topic_b, count(*) AS n
