@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave.catalog import base as B
 from lexweave.catalog.base import query
-from lexweave.functions import patterns as P, text as T
+from lexweave.functions import patterns as P, snowball as S, text as T
 from lexweave.functions.stopwords import stop_lists, stopword_table
 from lexweave.operators import split, tokens as tok, treat, vocab
 from lexweave.operators.keyed import lookup_join
@@ -245,6 +245,39 @@ def snowball_tokens(spark, folder):
     return stemmed.groupBy("source", "normalized").agg(F.count("*").alias("n"))
 
 
+# the corpus is in Latin script: its words written letter by letter in Cyrillic are the Russian stemmer's input
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyzé", "абцдефгхийклмнопярстувшьызё"
+
+
+def _sql_russian_stems(words: str) -> str:
+    """CTEs that stem the ``token`` column of table ``words`` into ``russian(token, stem)``."""
+    v, gerund = S.RUSSIAN_VOWELS, f"(?:{S.RUSSIAN_GERUND})$"
+    adjectival = f"(?:{S.RUSSIAN_PARTICIPLE})?(?:{S.RUSSIAN_ADJECTIVE})$"
+    verb = f"(?:([ая])(?:{S.RUSSIAN_VERB_AFTER_A})|(?:{S.RUSSIAN_VERB}))$"
+    return f"""r0 AS (SELECT DISTINCT token, replace(lower(token), 'ё', 'е') AS w FROM {words}),
+r1 AS (SELECT token, w, regexp_extract(w, '^.*?[{v}]') AS head, regexp_extract(w, '^.*?[{v}][^{v}].*?[{v}][^{v}]') AS b FROM r0),
+r2 AS (SELECT token, CASE WHEN head = '' THEN w ELSE head END AS head, CASE WHEN head = '' THEN '' ELSE substr(w, length(head) + 1) END AS r,
+ CASE WHEN b = '' THEN length(w) ELSE length(b) END AS p2 FROM r1),
+r3 AS (SELECT *, regexp_replace(r, '(?:{S.RUSSIAN_REFLEXIVE})$', '') AS bare FROM r2),
+r4 AS (SELECT token, head, p2, regexp_replace(CASE WHEN regexp_matches(r, '{gerund}') THEN regexp_replace(r, '{gerund}', '\\1')
+ WHEN regexp_matches(bare, '{adjectival}') THEN regexp_replace(bare, '{adjectival}', '\\1')
+ WHEN regexp_matches(bare, '{verb}') THEN regexp_replace(bare, '{verb}', '\\1')
+ ELSE regexp_replace(bare, '(?:{S.RUSSIAN_NOUN})$', '') END, 'и$', '') AS r FROM r3),
+r5 AS (SELECT token, head, CASE WHEN regexp_matches(substr(head || r, p2 + 1), 'ость?$') THEN regexp_replace(r, 'ость?$', '') ELSE r END AS r FROM r4),
+r6 AS (SELECT token, head, CASE WHEN regexp_matches(r, 'ейше?$') THEN regexp_replace(regexp_replace(r, 'ейше?$', ''), 'нн$', 'н')
+ WHEN regexp_matches(r, 'нн$') THEN regexp_replace(r, 'нн$', 'н') ELSE regexp_replace(r, 'ь$', '') END AS r FROM r5),
+russian AS (SELECT token, CASE WHEN regexp_matches(token, '\\p{{Cyrillic}}') THEN head || r ELSE token END AS stem FROM r6)"""
+
+
+@query("P26", f"""WITH {B.TOK}, written AS (SELECT source, translate(lower(token), '{_LATIN}', '{_CYRILLIC}') AS token FROM tok),
+{_sql_russian_stems('written')} SELECT source, stem AS normalized, count(*) AS n FROM written JOIN russian USING (token) GROUP BY ALL""")
+def russian_snowball_tokens(spark, folder):
+    written = B.tokens(spark, folder).select(
+        "doc_id", "pos", "source", F.translate(F.lower("token"), _LATIN, _CYRILLIC).alias("token"))
+    stemmed = treat.stem_vocabulary(written, "ru", spread_by=["doc_id", "pos"])
+    return stemmed.groupBy("source", "normalized").agg(F.count("*").alias("n"))
+
+
 _CONFIG = [("de", "raw"), ("de", "truncate5"), ("de", "truncate6"), ("fr", "raw"), ("fr", "truncate5"), ("es", "raw"), ("en", "raw"), ("en", "truncate6")]
 
 
