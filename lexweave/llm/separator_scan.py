@@ -8,7 +8,7 @@ summaries: the open tail before a block is a running sum that starts anew at eac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from lexweave.session import materialised
 
 SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 16
+RANGE_BYTES = 1 << 27     # of a flat file, read by one task
 
 
 def _flattener(vocabulary, block: int, separator: int):
@@ -63,33 +64,56 @@ def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _flattener(shared, block, separator), "stream bigint, block bigint, payload binary, ids array<bigint>")
 
 
-def _cutter(block: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def open_file(path: str) -> pa.NativeFile:
+    """A file for reading at any place: local and mounted paths, or a store that pyarrow knows (hdfs, s3, gs)."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return pa.OSFile("/" + rest.lstrip("/"))
+    system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_file(name)
+
+
+def _range_reader(block: int, opener: Callable[[str], pa.NativeFile]):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for stream, number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = payload.as_buffer()
-                for k, at in enumerate(range(0, len(data) // 2 * 2, 2 * block)):
-                    part = data[at:min(at + 2 * block, len(data) // 2 * 2)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([stream], pa.int64()), pa.array([(number << 20) + k], pa.int64()),
-                         pa.array([part.to_pybytes()], pa.binary()), pa.array([None], pa.list_(pa.int64()))],
-                        ["stream", "block", "payload", "ids"])
-    return cut
-
-
-def read_blocks(spark: SparkSession, path: str, block: int = BLOCK_TOKENS) -> DataFrame:
+            for path, stream, number, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+                with opener(path) as file:
+                    for at in range(start, end, 2 * block):
+                        part = file.read_at(min(2 * block, end - at), at)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([stream], pa.int64()), pa.array([(number << 40) + at // (2 * block)], pa.int64()),
+                             pa.array([part], pa.binary()), pa.array([None], pa.list_(pa.int64()))],
+                            ["stream", "block", "payload", "ids"])
+    return read
+
+
+def read_blocks(spark: SparkSession, path: str, block: int = BLOCK_TOKENS, range_bytes: int = RANGE_BYTES,
+                opener: Callable[[str], pa.NativeFile] = open_file) -> DataFrame:
     """Blocks of flat files of 16-bit ids: a folder is a stream, its files follow each other in order of name.
 
-    A file is cut into blocks of ``block`` ids; a last byte without a partner is no id and is left out.  A file may
-    be as large as Spark reads into one row (2 GiB); longer streams are several files.
+    Spark lists the files and deals byte ranges of them over the tasks, which read block by block at the range's
+    place; a file may have any size, and a task holds one block.  A last byte without a partner is no id and is left
+    out; an empty file has no blocks.  ``opener`` opens a listed path where tasks run; give your own for a store that
+    pyarrow does not know.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select("path", "length"))       # names and sizes only, contents are not read here
     folder = F.regexp_extract("path", "^(.*)/", 1)
     number = F.row_number().over(Window.partitionBy(folder).orderBy("path")) - 1
-    # number the names first, so that contents are not sorted
-    names = files.select("path", F.xxhash64(folder).alias("stream"), number.cast("bigint").alias("number"))
-    return files.select("path", "content").join(names, "path").select("stream", "number", "content").mapInArrow(
-        _cutter(block), "stream bigint, block bigint, payload binary, ids array<bigint>")
+    whole = (F.col("length") - F.col("length") % 2).alias("whole")
+    step = max(range_bytes // (2 * block), 1) * 2 * block
+    ranges = (files.select("path", F.xxhash64(folder).alias("stream"), number.cast("bigint").alias("number"), whole)
+              .filter("whole > 0")
+              .select("path", "stream", "number", "whole",
+                      F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1, F.lit(step).cast("bigint"))).alias("start"))
+              .select("path", "stream", "number", "start", F.least(F.col("start") + step, "whole").alias("end")))
+    # a stated number of partitions: adaptive execution would join such small rows into one
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return ranges.repartition(spread, "path", "start").mapInArrow(
+        _range_reader(block, opener), "stream bigint, block bigint, payload binary, ids array<bigint>")
 
 
 def _scanner(separator: int):

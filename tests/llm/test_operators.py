@@ -449,6 +449,25 @@ def test_flat_files_with_an_open_end(spark, tmp_path):
         assert sorted((r["ordinal"], r["n_tokens"]) for r in rows) == [(0, 2), (1, 0), (2, 4), (3, 1)]
 
 
+@pytest.mark.parametrize("range_bytes", [1, 50, 1 << 27])
+def test_ranges_of_flat_files_equal_the_whole_file(spark, tmp_path, range_bytes):
+    rng = np.random.default_rng(3)
+    expected = []
+    for name, n in (("one stream", 3_001), ("empty", 0), ("hot", 9_000)):
+        ids = rng.integers(0, 50, n).astype(np.uint16)
+        ids[ids == 0] = separator_scan.SEPARATOR
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "ids 1.bin").write_bytes(ids.tobytes())
+        stops = np.flatnonzero(ids == separator_scan.SEPARATOR)
+        lengths = (np.diff(stops, prepend=-1) - 1).tolist()
+        rest = int(n - 1 - stops[-1]) if len(stops) else n
+        expected += list(enumerate(lengths + ([rest] if rest else [])))
+    blocks = separator_scan.read_blocks(spark, str(tmp_path), block=16, range_bytes=range_bytes)
+    rows = separator_scan.count_documents(blocks).collect()
+    assert sorted((r["ordinal"], r["n_tokens"]) for r in rows) == sorted(expected)
+    assert len({r["stream"] for r in rows}) == 2 and all(r["doc_id"] is None for r in rows)
+
+
 # --- op7 ------------------------------------------------------------------------------------
 
 def alphanumeric(text):
@@ -621,6 +640,35 @@ def test_empty_tables(spark):
     assert not any(r["contaminated"] for r in decontaminate.mark_contaminated(docs, bench, ["doc_id"]).collect())
 
 
+def test_repeated_and_null_ids_and_long_texts_in_every_operator(spark):
+    """Rows are documents: neither an id borne by many rows nor a missing one costs a row or mixes texts."""
+    long = LONG[:60_000]
+    texts = ["a b c d e f", "a b c d e f", "other words stand in this one", None, "", long, long, "a b c d e f"]
+    ids = [1, 1, 1, None, None, None, 2, 3]
+    docs = table(spark, texts, ids=ids, langs=["en", None, "de", None, "en", "en", None, "en"],
+                 sources=[None, "s", "s", "t", None, "s", "s", "t"])
+    bench = spark.createDataFrame([(1, long), (1, long), (None, "other words stand in this one"), (2, None), (3, "")],
+                                  "item_id bigint, text string")
+    model = language_filters.train(docs)
+    results = {
+        "secrets": secret_scan.scan_secrets(docs), "private": pii_bootstrap.find_pii(docs),
+        "near": jaccard_join.jaccard_components(docs), "mixture": mixing.mix(docs, ["doc_id"]),
+        "counts": separator_scan.count_documents(separator_scan.token_blocks(docs)),
+        "benchmark": decontaminate.mark_contaminated(docs, bench, ["doc_id"]),
+        "languages": language_filters.identify(docs, model, ["doc_id"]),
+        "lines": line_winnowing.without_repeats(docs), "shards": minimax_shards.assign_shards(docs, 3)}
+    rows = {name: result.collect() for name, result in results.items()}
+    for name, found in rows.items():
+        assert Counter(r["doc_id"] for r in found) == Counter(ids), name
+    # a benchmark text is found in each of its copies, whatever their ids; an item without an id has no windows
+    assert sorted(r["n_hit"] for r in rows["benchmark"]) == [0] * 6 + [len(long.split())] * 2
+    # the last of two long single lines goes: ids order the copies, and null ids come last
+    kept = Counter(r["text"] for r in rows["lines"])
+    assert kept[long] == 1 and kept["a b c d e f"] == 3
+    assert sorted(r["slot"] for r in rows["shards"] if r["size"] == 8 + len(long.encode())) == [0, 1]
+    assert len({r["shard"] for r in rows["shards"] if r["size"] == 8 + len(long.encode())}) == 1
+
+
 def test_queries_are_registered():
     assert [sum(n.startswith(f"op{k}_") for n in LLM_QUERIES) for k in range(1, 14)] == [1] * 13
     assert set(LLM_SQL) <= set(LLM_QUERIES)
