@@ -111,10 +111,7 @@ class BitMap:
         self.table = table
 
     def __reduce__(self):
-        return _unpacked, (pa.compress(self.table.tobytes(), codec="zstd", asbytes=True), len(self.table))
-
-    def __or__(self, other: "BitMap") -> "BitMap":
-        return BitMap(self.table | other.table)
+        return _unpacked, (pa.compress(pa.py_buffer(self.table), codec="zstd", asbytes=True), len(self.table))
 
 
 def _unpacked(raw: bytes, size: int) -> BitMap:
@@ -292,18 +289,18 @@ def _whole_lists(parts: DataFrame, of_list: dict[str, Column]) -> DataFrame:
     return parts.filter("not hot").unionByName(hot.drop(*of_list).join(F.broadcast(lists), "token"))
 
 
-def _bitmap(keys: DataFrame) -> BitMap:
-    """Bit map of fixed size with the bit of each ``key`` (its low bits)."""
+def _bitmap(keys: DataFrame, into: BitMap | None = None) -> BitMap:
+    """Bit map of fixed size with the bit of each ``key`` (its low bits); ``into`` gets them beside its own."""
     place = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
     bucket = F.bitmap_bucket_number("p")
     # keys meet by bucket before they become bits, so tasks hold few partial maps
     rows = (keys.select(place.alias("p")).repartition(bucket).groupBy(bucket.alias("b"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toArrow())
-    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for b, raw in zip(rows["b"].to_pylist(), rows["bits"].to_pylist()):
-        part = np.frombuffer(raw, dtype=np.uint8)
-        bits[(b - 1) * len(part):b * len(part)] = part
-    return BitMap(bits)
+    into = into or BitMap(np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8))
+    for b, raw in zip(rows["b"].to_pylist(), rows["bits"]):     # no second copy of the bits on the driver
+        part = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
+        into.table[(b - 1) * len(part):b * len(part)] |= part
+    return into
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:
@@ -318,12 +315,11 @@ def inverted_lists(sets: DataFrame) -> DataFrame:
     met = _bitmap(lengths)      # shingles met twice; the others' lists have one entry and need not be sent
     fresh = lengths.filter(F.col("n") > LONG_LIST)
     while True:     # shingles that take the place of those moved back may have long lists too
-        bits = _bitmap(fresh) if order.long is None else order.long | _bitmap(fresh)
-        order = ShingleOrder(order.keys, order.counts, bits)
+        order = ShingleOrder(order.keys, order.counts, _bitmap(fresh, order.long))
         with _broadcast(spark, order) as sent:
             far = materialised(tokens.mapInArrow(_overflow(sent), counted)
                                .groupBy(F.col("token").alias("key")).agg(F.sum("n").alias("n")), "far")
-        met = met | _bitmap(far)
+        met = _bitmap(far, met)
         fresh = far.filter(F.col("n") > LONG_LIST)
         if fresh.count() * FEW <= far.count():      # the rest of the long lists costs pairs, not links
             break

@@ -672,3 +672,14 @@ def test_repeated_and_null_ids_and_long_texts_in_every_operator(spark):
 def test_queries_are_registered():
     assert [sum(n.startswith(f"op{k}_") for n in LLM_QUERIES) for k in range(1, 14)] == [1] * 13
     assert set(LLM_SQL) <= set(LLM_QUERIES)
+
+
+def test_bit_maps_grow_in_place(spark):
+    from lexweave.llm.jaccard_join import _bitmap, _bits
+
+    keys = [np.array([3, 70000, 1 << 26]), np.array([4, 70000])]
+    first = _bitmap(spark.createDataFrame([(int(k),) for k in keys[0]], "key bigint"))
+    # the driver holds one map of a kind, however many rounds add to it
+    both = _bitmap(spark.createDataFrame([(int(k),) for k in keys[1]], "key bigint"), first)
+    assert both is first and np.bitwise_count(both.table).sum() == 4
+    assert _bits(both, np.array([3, 4, 70000, 1 << 26, 5], dtype=np.uint64)).tolist() == [True, True, True, True, False]
