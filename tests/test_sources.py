@@ -258,3 +258,27 @@ def test_state_rows_with_nulls_and_spaces_read_back(spark, tmp_path):
     assert files.read_state(spark, str(tmp_path / "bad")).count() == 1
     assert sorted(r["value"] for r in files.rejected_state_lines(spark, str(tmp_path / "bad")).collect()) == [
         "1 s 0 4 term", "1 s x 4 term 2"]
+
+
+def test_annotated_tokens_become_rows_behind_the_shuffles(spark, tmp_path):
+    token = '<token text="{0}"><tfr><v><l t="{0}"/></v></tfr></token>'
+    (tmp_path / "c.xml").write_text(
+        '<annotation><text id="1" parent="0"><p>' + token.format("a") + '<text id="2" parent="1">' + token.format("b") + token.format("c")
+        + "</text>" + token.format("d") + '</p></text><text id="2" parent="0">' + token.format("e") + "</text></annotation>", encoding="utf-8")
+    tokens = annotated.opencorpora_tokens(spark, str(tmp_path / "c.xml"))
+    # pieces of texts are moved and put in order, not their tokens; a repeated id goes on where it was left
+    plan = tokens._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Exchange")
+    assert sorted((r["doc_id"], r["pos"], r["t"]["_text"]) for r in tokens.collect()) == [
+        ("1", 0, "a"), ("1", 1, "d"), ("2", 0, "b"), ("2", 1, "c"), ("2", 2, "e")]
+    (tmp_path / "s.xml").write_text('<corpus><s id="s1"><graph><terminals><t word="x" lemma="x" pos="N" morph="--"/></terminals></graph></s></corpus>')
+    (tmp_path / "d.tsv").write_text("a\t1\n")
+    plan = annotated.read_tiger(spark, str(tmp_path / "s.xml"), str(tmp_path / "d.tsv"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < min(plan.index(x) for x in ("Exchange", "Join"))
+
+
+def test_derived_xml_is_written_compressed(spark, tmp_path):
+    from lexweave.catalog import sources
+
+    sources._write_xml(spark.createDataFrame([(1, "x")], "_id int, w string"), str(tmp_path / "x"), "corpus", "s")
+    assert [p.suffix for p in (tmp_path / "x").glob("part-*")] == [".gz"]
