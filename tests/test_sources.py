@@ -281,4 +281,4 @@ def test_derived_xml_is_written_compressed(spark, tmp_path):
     from lexweave.catalog import sources
 
     sources._write_xml(spark.createDataFrame([(1, "x")], "_id int, w string"), str(tmp_path / "x"), "corpus", "s")
-    assert [p.suffix for p in (tmp_path / "x").glob("part-*")] == [".gz"]
+    assert {p.suffix for p in (tmp_path / "x").glob("part-*")} == {".gz"}
