@@ -74,3 +74,19 @@ def test_layout_is_kept_and_spread(spark, tables, tmp_path):
     assert write_aligned(state.filter("false"), buckets=BUCKETS).count() == 0
     nulls = spark.createDataFrame([(None, 1, "a"), (1, None, "b"), (None, None, "c")], "doc_id int, pos int, term string")
     assert sorted(r["term"] for r in write_aligned(nulls, buckets=BUCKETS).collect()) == ["a", "b", "c"]
+
+
+def test_wide_states_give_the_pairs_of_long_ones(spark, tmp_path):
+    from lexweave.catalog import base, topics
+
+    texts = [(1, "a bb ccc dd e"), (2, "ff g"), (2, "g ff hhh"), (2, "ff g"), (None, "i jj"), (3, None), (4, "")]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts], "doc_id bigint, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    folder = str(tmp_path)
+    long = compare.run_pair_contingency(base.states(spark, folder), ["treatment", "run"], ["num_topics"], sorted({(t, r) for t, _, r in base.RUNS}))
+    wide = topics._pair_cells(base.run_states(spark, folder))
+    assert wide.dtypes == long.dtypes and sorted(wide.collect(), key=str) == sorted(long.collect(), key=str) != []
+    aligned = write_aligned(base.wide_states(base.tokens(spark, folder)), buckets=BUCKETS)
+    # a row for each token, without terms and names of runs
+    assert aligned.count() == 14 and aligned.columns == ["doc_id", "pos", *base.RUN_TOPICS]
+    assert sorted(topics._pair_cells(base.one_per_token(aligned)).collect(), key=str) == sorted(long.collect(), key=str)
