@@ -102,3 +102,11 @@ def test_draws_are_spread_evenly(spark):
     rows = spark.range(2000).select(sampling.draw(1, 2, F.col("id"), F.lit(3)).alias("u")).collect()
     values = [r["u"] for r in rows]
     assert 0 <= min(values) and max(values) < 1 and abs(sum(values) / 2000 - 0.5) < 0.03
+
+
+def test_topics_are_counted_in_one_compiled_step(spark):
+    state = spark.createDataFrame([(1, 0), (1, 2), (1, 2), (2, 1)], "doc_id bigint, topic int")
+    counts = sampling._topic_counts(state, "doc_id", 3, "n")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and plan.count("Exchange") == 1
+    assert sorted((r["doc_id"], r["n"]) for r in counts.collect()) == [(1, [1.0, 0.0, 2.0]), (2, [0.0, 1.0, 0.0])]
