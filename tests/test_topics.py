@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lexweave.session import materialised
 from lexweave.operators import compare, lda, morph, state as st, stats, topics
 from lexweave.plans import diagnostics as plan
 
@@ -216,3 +217,21 @@ def test_online_training_refuses_a_matrix_too_large(spark, bag, monkeypatch):
     counts = lda.bag_of_words(bag, bag.select("term").distinct())
     with pytest.raises(ValueError, match="train_joined"):
         lda.train_online(counts, 2, 1)
+
+
+def test_joined_training_adds_numbers_without_objects_or_copies(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialised(df, name)
+
+    monkeypatch.setattr(lda, "materialised", recorded)
+    counts = spark.createDataFrame([(i % 5, f"w{i % 7}", 1 + i % 3) for i in range(35)], "doc_id bigint, term string, n bigint")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lda.train_joined(counts, 3, 2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plans and not any("ObjectHashAggregate" in p or "__salt" in p for p in plans)
