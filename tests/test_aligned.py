@@ -90,3 +90,11 @@ def test_wide_states_give_the_pairs_of_long_ones(spark, tmp_path):
     # a row for each token, without terms and names of runs
     assert aligned.count() == 14 and aligned.columns == ["doc_id", "pos", *base.RUN_TOPICS]
     assert sorted(topics._pair_cells(base.one_per_token(aligned)).collect(), key=str) == sorted(long.collect(), key=str)
+
+
+def test_aligned_tables_hold_the_columns_that_are_compared(spark, monkeypatch):
+    from lexweave.catalog import topics
+
+    row = spark.createDataFrame([(1, 0, "s", "t", 2)], "doc_id bigint, pos int, source string, term string, topic int")
+    assert topics._aligned(row, "topic").columns == ["doc_id", "pos", "topic"]
+    assert topics._aligned(row).columns == row.columns
