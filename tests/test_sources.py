@@ -223,6 +223,28 @@ def test_words_at_any_depth_in_order_and_counted(spark, tmp_path):
     assert annotated.rnc_word_counts(spark, str(tmp_path), good, bad.limit(0)).first()["missing"] == 1
 
 
+def test_words_of_byte_ranges_and_of_odd_forms(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    odd = ('<w><ana lex="a&amp;b" gr="N"/>x &lt; y</w><w/><w>both<ana lex="a" gr="N"/>ends</w><w>\n t\n <ana lex="q" gr="W"/>\n</w>'
+           '<w><ana gr="S" lex="z"/>z</w ><wx>no</wx><w><ana lex=" s " gr=""></ana>s</w><w><!-- c --><ana lex="c" gr="d"/>c</w><w>  </w>')
+    plain = "".join(f'<w><ana lex="l{i}" gr="G"/>ж{i}</w> ' for i in range(40))
+    (tmp_path / "g" / "f.xml").write_text(f"<html><body>{odd}<p>{plain}</p></body></html>", encoding="cp1251")
+    want = [(0, "x < y", "a&b", "N"), (2, "ends", "a", "N"), (3, "t", "q", "W"), (4, "z", "z", "S"), (5, "s", "s", ""),
+            (6, "c", "c", "d"), *[(8 + i, f"ж{i}", f"l{i}", "G") for i in range(40)]]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "700"):      # the second cuts the file into ranges of 700 bytes
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            good, bad = annotated.read_rnc(spark, str(tmp_path))
+            assert [tuple(r) for r in good.select("pos", "surface", "lemma", "slot").orderBy("pos").collect()] == want
+            assert sorted(r["pos"] for r in bad.collect()) == [1, 7]
+            assert annotated.rnc_word_counts(spark, str(tmp_path), good, bad).first()["missing"] == 0
+            # words are numbered without bringing a file's words into one task
+            assert "Window" not in good._jdf.queryExecution().optimizedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_texts_within_texts(spark, tmp_path):
     def token(w):
         return f'<token text="{w}"><tfr><v><l t="{w}"><g v="N"/></l></v></tfr></token>'
