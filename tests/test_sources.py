@@ -304,3 +304,25 @@ def test_derived_xml_is_written_compressed(spark, tmp_path):
 
     sources._write_xml(spark.createDataFrame([(1, "x")], "_id int, w string"), str(tmp_path / "x"), "corpus", "s")
     assert {p.suffix for p in (tmp_path / "x").glob("part-*")} == {".gz"}
+
+
+def test_tokens_of_the_usual_form_and_others_are_read_alike(spark, tmp_path):
+    tokens = [
+        '<token id="1" text="Дом"><tfr rev_id="5" t="Дом"><v><l id="9" t="дом"><g v="NOUN"/><g v="a,b"/></l></v><v><l t="дома"><g v="ADV"/></l></v></tfr></token>',
+        '<token text="x&amp;y"><tfr><v><l t="&quot;q"><g v="N"/></l></v></tfr></token>',                # references
+        '<token text=" z "><tfr>\n<v><l t="z"><g v="N"/><g v="sg"/></l></v>\n<v><l t="w"/></v></tfr></token>',  # blanks, no grammemes
+        '<token text="b"/>', '<token text="c"><tfr/></token>',
+        '<token text="d"><tfr><v><l t=""><g v="N"/></l></v></tfr></token>',
+        "<token text='e'><tfr><v><l t='e'><g v='N'/></l></v></tfr></token>",
+    ]
+    (tmp_path / "c.xml").write_text(
+        '<annotation><text id="1" parent="0"><tags><tag>Тип:Блог</tag></tags><p>' + "".join(tokens) + "</p></text></annotation>", encoding="utf-8")
+    rows = annotated.read_opencorpora(spark, str(tmp_path / "c.xml"))
+    # the files are read once, into pieces; what is read of these are words, not XML
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "from_xml" not in plan and "FileScan parquet" in plan
+    got = sorted(tuple(r) for r in rows.select("pos", "surface", "lemma", "slot").collect())
+    parsed = annotated.opencorpora_tokens(spark, str(tmp_path / "c.xml")).collect()     # each token through the XML parser
+    assert got == sorted((r["pos"], r["t"]["_text"], "|".join(v["l"]["_t"] for v in (r["t"]["tfr"] or {"v": None})["v"] or []), "|".join(
+        ",".join(g["_v"] for g in v["l"]["g"]) for v in (r["t"]["tfr"] or {"v": None})["v"] or [] if v["l"]["g"] is not None)) for r in parsed)
+    assert got[0][1:] == ("Дом", "дом|дома", "NOUN,a,b|ADV") and got[1][1:] == ("x&y", '"q', "N") and len(got) == 7
