@@ -235,3 +235,64 @@ def test_joined_training_adds_numbers_without_objects_or_copies(spark, monkeypat
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert plans and not any("ObjectHashAggregate" in p or "__salt" in p for p in plans)
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    words = ["sun", "sky", "Cloud", "rain", "bread", "milk", "salt", "soup", "sunny", "clouds"]
+    rows = [(d, [words[(p * 7 + d * (1 + p % 3)) % 10] for p in range(5 + d % 6)]) for d in range(40)]
+    rows += [(3, ["sky", "sun", "sky"]), (3, ["salt", "sky"]), (41, None), (42, []), (43, ["once"])]     # an id on several rows
+    return spark.createDataFrame(rows, "doc_id bigint, words array<string>")
+
+
+def _sorted(df):
+    return sorted(tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df.collect())
+
+
+def test_grid_on_texts_is_that_on_tokens(spark, texts, monkeypatch):
+    from lexweave.plans import experiment
+
+    monkeypatch.setattr(lda, "BLOCK_TOKENS", 20)
+    cut = lambda w: F.substring(w, 1, 3)
+    tokens = texts.select("doc_id", F.posexplode("words").alias("pos", "raw")).withColumn("short", cut("raw"))
+    in_order = texts.repartition(3, "doc_id").sortWithinPartitions("doc_id").select("doc_id", F.col("words").alias("raw"), F.transform("words", cut).alias("short"))
+    settings = dict(runs=2, iterations=3, max_doc_share=0.9, min_count=2)
+    rows = experiment.run_experiment(tokens, ["raw", "short"], [2, 3], **settings)
+    moved = []
+    monkeypatch.setattr(lda, "assign_topics", lambda *_: moved.append(1))      # tokens stay where they lie
+    whole = experiment.run_experiment(in_order, ["raw", "short"], [2, 3], **settings)
+    assert not moved and whole.texts.count() < whole.states.select("doc_id", "pos", "treatment", "num_topics").distinct().count()
+    assert dict(whole.states.dtypes) == dict(rows.states.dtypes) and _sorted(whole.states) == _sorted(rows.states.select(whole.states.columns)) != []
+    assert _sorted(whole.pair_voi()) == _sorted(rows.pair_voi()) and len(_sorted(whole.pair_voi())) == 2 * 6
+    assert whole.pair_voi().dtypes == rows.pair_voi().dtypes
+    gold = tokens.select("doc_id", "pos", F.col("raw").alias("lemma"), F.lit("N,x").alias("slot")).distinct()
+    lemmas = gold.select("doc_id", "pos", F.substring("lemma", 1, 2).alias("term"))
+    for name, given in (("diagnostics", []), ("diagnostics_of", [lemmas]), ("morphology", [gold])):
+        a, b = getattr(whole, name)(*given), getattr(rows, name)(*given)
+        assert _sorted(a) == _sorted(b.select(a.columns)) != []
+
+
+def test_words_of_texts_are_counted_in_their_blocks(spark, texts, monkeypatch):
+    monkeypatch.setattr(lda, "BLOCK_TOKENS", 7)
+    nulls = texts.unionByName(spark.createDataFrame([(None, ["sun"]), (None, ["sun", "moon"])], texts.schema))
+    blocks = lda.token_blocks(nulls.repartition(2, "doc_id").sortWithinPartitions("doc_id"))
+    assert blocks.documents.select("block").distinct().count() > 10
+    assert blocks.documents.count() == blocks.documents.select("doc_id").distinct().count() == 40 + 2   # with tokens, null among them
+    tokens = nulls.select("doc_id", F.explode("words").alias("term"))
+    counts = tokens.groupBy("term", "doc_id").count().groupBy("term").agg(F.sum("count"), F.count("*"))
+    assert _sorted(blocks.vocabulary) == _sorted(counts)
+    several = blocks.documents.filter("doc_id = 3").first()
+    assert several["pos"] == [0, 1, 2, 3, 4, 5, 6, 7, 0, 1, 2, 0, 1] and sum(several["counts"]) == 13 == len(several["at"])
+
+
+def test_joined_training_counts_words_where_documents_lie(spark, tmp_path, monkeypatch):
+    """Each round joined every word of every document with two tables, and all tokens were moved to get their topics."""
+    from lexweave.catalog import models
+
+    words = [f"w{c}" for c in "abcdefghijklmnopqrstuvwx"]
+    rows = [(i, " ".join(words[(i % 6) * 4 + j % 4] for j in range(8)), "en", "a") for i in range(60)] + [(None, "wb wc", "en", "a"), (7, "wa", "en", "a")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(lda, "assign_topics", None)
+    monkeypatch.setattr(lda, "bag_of_words", None)
+    found = models.joined_lda_token_topics(spark, str(tmp_path))
+    assert found.agg(F.sum("tokens")).first()[0] == 60 * 8 + 1 and dict(found.dtypes) == {"topic": "int", "tokens": "bigint", "terms": "bigint"}
