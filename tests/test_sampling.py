@@ -110,3 +110,24 @@ def test_topics_are_counted_in_one_compiled_step(spark):
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and plan.count("Exchange") == 1
     assert sorted((r["doc_id"], r["n"]) for r in counts.collect()) == [(1, [1.0, 0.0, 2.0]), (2, [0.0, 1.0, 0.0])]
+
+
+def test_texts_in_blocks_are_sampled_like_tokens(spark, monkeypatch):
+    from lexweave.operators import lda
+
+    monkeypatch.setattr(lda, "BLOCK_TOKENS", 11)
+    draw = random.Random(3)
+    rows = [(d, [f"w{draw.randrange(9)}" for _ in range(4 + d % 5)]) for d in range(25)] + [(4, ["w1", "w2", "rare"]), (30, None), (31, ["rare"])]
+    texts = spark.createDataFrame(rows, "doc_id bigint, words array<string>").repartition(2, "doc_id").sortWithinPartitions("doc_id")
+    kept = spark.createDataFrame([(f"w{i}",) for i in range(9)], "term string")
+    tokens = texts.select("doc_id", F.posexplode("words").alias("pos", "term")).join(kept, "term", "left_semi")
+    settings = dict(num_topics=3, sweeps=4, seed=4, burn_in=1, optimise_every=2)
+    plain = sampling.sample_topics(tokens, **settings)
+    monkeypatch.setattr(sampling, "lookup_join", None)      # no token is joined with counts
+    blocks = sampling.sample_topics(lda.token_blocks(texts).restricted(kept), **settings)
+    assert rows_of(blocks) == rows_of(plain) and blocks.num_terms == plain.num_terms == 9
+    assert blocks.alpha == pytest.approx(plain.alpha) and dict(blocks.state.dtypes) == dict(plain.state.select(blocks.state.columns).dtypes)
+    monkeypatch.undo()
+    held = tokens.filter("pos % 3 = 0").select("doc_id", "term")
+    assert sampling.completion_likelihood(blocks, 3).first()["tokens"] == held.count()
+    assert sampling.completion_likelihood(blocks, 3).first()[1] == pytest.approx(sampling.token_likelihood(plain, held).first()[1])
