@@ -11,6 +11,7 @@ from lexweave.functions.stopwords import stop_lists, stopword_table
 from lexweave.operators import split, tokens as tok, treat, vocab
 from lexweave.operators.keyed import lookup_join
 from lexweave.plans import prepare
+from lexweave.session import WHOLE_JOIN_KEYS, materialised, setting
 
 
 def _tokenised(pattern):
@@ -53,8 +54,9 @@ SELECT d.doc_id, coalesce(s.text, '') AS stopped_text FROM documents d LEFT JOIN
 def remove_corpus_words(spark, folder):
     """The words that at least three documents share go: a stop table that grows with the corpus."""
     docs = B.documents(spark, folder).select("doc_id", "text")
-    pairs = B.tokens(spark, folder).groupBy("doc_id", F.lower("token").alias("word")).agg(F.count("*").alias("n"))
-    common = pairs.groupBy("word").agg(F.count("*").alias("n_docs")).filter("n_docs >= 3")
+    pairs = B.tokens_by_document(spark, folder).groupBy("doc_id", F.lower("token").alias("word")).agg(F.count("*").alias("n"))
+    with setting(spark, WHOLE_JOIN_KEYS, "false", "true"):      # words are counted where their documents lie
+        common = materialised(pairs.groupBy("word").agg(F.count("*").alias("n_docs")).filter("n_docs >= 3"), "common")
     return tok.remove_stopwords(docs, common).select("doc_id", "stopped_text")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import patterns as P, text as T
 from lexweave.functions.stopwords import RUSSIAN_EXTRAS, stop_lists, stopword_table, stopwords
+from lexweave.operators.keyed import lookup_join
 from lexweave.operators import authors, tokens as tok, treat, vocab
 from lexweave.plans import prepare
 
@@ -303,3 +304,21 @@ def test_quantiles_over_many_partitions(spark):
         assert row["count"] == len(values)
         for name, p in stats.QUARTILES.items():
             assert abs(row[name] - plain(values, p)) < 1e-9
+
+
+def test_word_tables_meet_the_words_of_blocks(spark, monkeypatch):
+    """Every token was moved to the word table and back to its text, with the digest of the text."""
+    from lexweave.operators import lda
+
+    monkeypatch.setattr(lda, "BLOCK_TOKENS", 5)
+    docs = spark.createDataFrame([(i % 7, f"The cat{chr(97 + i % 5)} and the Dog, dog the") for i in range(30)] + [(None, "the"), (9, None)], "doc_id int, text string")
+    words = spark.createDataFrame([("the",), ("dog",), ("cata",)], "word string")
+    seen = []
+    monkeypatch.setattr(tok, "lookup_join", lambda left, *rest, **more: seen.append(left.columns) or lookup_join(left, *rest, **more))
+    monkeypatch.setattr(tok, "token_table", None)
+    stopped = tok.remove_stopwords(docs, words).select("doc_id", "text", "stopped_text").collect()
+    kept = tok.keep_vocabulary(docs, words).select("doc_id", "clean_text").collect()
+    assert all("of_block" in columns and "pos" not in columns for columns in seen) and len(seen) == 2
+    assert len(stopped) == len(kept) == 32
+    assert {(r["text"] or "")[4:8]: r["stopped_text"] for r in stopped} == {"": "", "cata": "and", **{f"cat{c}": f"cat{c} and" for c in "bcde"}}
+    assert {r["clean_text"] for r in kept} == {"", "the", "the cata the dog dog the", "the the dog dog the"}
