@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.session import scratch_path
+from lexweave.session import SHUFFLE_CLEANUP, scratch_path, setting
 
 KEY = ("doc_id", "pos")
 BUCKETS = 200
@@ -29,8 +29,9 @@ def write_aligned(tokens: DataFrame, name: str | None = None, buckets: int = BUC
     """
     spark = tokens.sparkSession
     name = name or f"aligned_{uuid.uuid4().hex}"
-    (tokens.repartition(buckets, *key).write.bucketBy(buckets, *key).sortBy(*key).format("parquet")
-     .option("path", path or scratch_path(spark, "aligned")).saveAsTable(name))
+    with setting(spark, SHUFFLE_CLEANUP, "true", "false"):      # the table stands for the shuffle it came from
+        (tokens.repartition(buckets, *key).write.bucketBy(buckets, *key).sortBy(*key).format("parquet").option("compression", "zstd")
+         .option("path", path or scratch_path(spark, "aligned")).saveAsTable(name))
     return spark.table(name)
 
 

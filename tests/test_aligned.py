@@ -98,3 +98,20 @@ def test_aligned_tables_hold_the_columns_that_are_compared(spark, monkeypatch):
     row = spark.createDataFrame([(1, 0, "s", "t", 2)], "doc_id bigint, pos int, source string, term string, topic int")
     assert topics._aligned(row, "topic").columns == ["doc_id", "pos", "topic"]
     assert topics._aligned(row).columns == row.columns
+
+
+def test_aligned_tables_stand_for_their_shuffle(spark, tables, monkeypatch):
+    from lexweave.session import SHUFFLE_CLEANUP
+    from lexweave.sources import aligned
+
+    seen = []
+
+    def path(session, name):
+        seen.append(session.conf.get(SHUFFLE_CLEANUP))
+        return scratch_path(session, name)
+
+    scratch_path = aligned.scratch_path
+    monkeypatch.setattr(aligned, "scratch_path", path)
+    table = write_aligned(tables[0], buckets=BUCKETS)
+    assert seen == ["true"] and spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
+    assert table.count() == 600 and all(".zstd." in f for f in table.inputFiles())
