@@ -1,6 +1,7 @@
 """Readers and writers on tiny files."""
 
 import gzip
+from pathlib import Path
 
 import pytest
 
@@ -326,3 +327,18 @@ def test_tokens_of_the_usual_form_and_others_are_read_alike(spark, tmp_path):
     assert got == sorted((r["pos"], r["t"]["_text"], "|".join(v["l"]["_t"] for v in (r["t"]["tfr"] or {"v": None})["v"] or []), "|".join(
         ",".join(g["_v"] for g in v["l"]["g"]) for v in (r["t"]["tfr"] or {"v": None})["v"] or [] if v["l"]["g"] is not None)) for r in parsed)
     assert got[0][1:] == ("Дом", "дом|дома", "NOUN,a,b|ADV") and got[1][1:] == ("x&y", '"q', "N") and len(got) == 7
+
+
+def test_state_rows_are_made_once_and_leave_nothing_behind(spark, tmp_path, monkeypatch):
+    from lexweave.sources import state as files
+    tables = []
+
+    def recorded(df, name):
+        tables.append(materialised(df, name))
+        return tables[-1]
+
+    monkeypatch.setattr(files, "materialised", recorded)
+    state = spark.range(50).select("id", F.lit("s").alias("source"), F.lit(0).alias("pos"), F.col("id").alias("term_id"), F.lit("t").alias("term"), F.lit(1).alias("topic"))
+    files.write_state(state.withColumnRenamed("id", "doc_id"), str(tmp_path / "s"), [0.5], 0.01)
+    assert len(tables) == 1 and not Path(tables[0].inputFiles()[0].replace("file://", "")).exists()     # the rows were joined for the ranges and again for the file
+    assert files.read_state(spark, str(tmp_path / "s")).count() == 50
