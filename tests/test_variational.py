@@ -84,3 +84,11 @@ def test_queries_hold_no_model_on_the_driver(spark, tmp_path, monkeypatch):
         assert models.lda_priors(spark, folder).agg(F.sum("mean_share")).first()[0] == pytest.approx(1.0)
         assert models.lda_top_documents(spark, folder).count() == 20 * models.TOPICS
     assert found[0] == found[1] and sum(r[2] for r in found[0]) == 61 * 8
+
+
+def test_queries_train_on_texts_in_blocks(spark, tmp_path, monkeypatch):
+    """Words were grouped as rows and moved to blocks behind that."""
+    monkeypatch.setattr(lda, "_blocks", None)
+    rows = [(i, " ".join(f"w{chr(97 + (i % 4) * 3 + j % 3)}" for j in range(6)), "en", "a") for i in range(24)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert models.lda_document_topics(spark, str(tmp_path)).agg(F.sum("proportion")).first()[0] == pytest.approx(24.0)
